@@ -29,8 +29,10 @@ ACTING_TERMS = [
 ]
 
 
-def single_winner_contests(df: DataFrame, keys: Sequence[str] = CONTEST) -> DataFrame:
-    return with_group_stats(df, keys, __w=F.sum("won")).filter(F.col("__w") == 1).drop("__w")
+def single_winner_contests(
+    df: DataFrame, keys: Sequence[str] = CONTEST, source: DataFrame | None = None
+) -> DataFrame:
+    return with_group_stats(df, keys, source, __w=F.sum("won")).filter(F.col("__w") == 1).drop("__w")
 
 
 def impute(df: DataFrame) -> DataFrame:
@@ -62,11 +64,14 @@ def _vector(df: DataFrame, terms: Sequence[str]) -> DataFrame:
 
 def fit_glm(df: DataFrame, terms: Sequence[str], label: str = "won") -> GeneralizedLinearRegressionModel:
     """Binomial GLM with logit link."""
-    data = _vector(df, terms).select(F.col(label).cast("double").alias("label"), "features")
+    data = _vector(df, terms).select(F.col(label).cast("double").alias("label"), "features").persist()
     glr = GeneralizedLinearRegression(
         family="binomial", link="logit", labelCol="label", maxIter=50, tol=1e-10
     )
-    return glr.fit(data)
+    try:
+        return glr.fit(data)
+    finally:
+        data.unpersist()
 
 
 def tidy(spark: SparkSession, model: GeneralizedLinearRegressionModel, terms: Sequence[str]) -> DataFrame:

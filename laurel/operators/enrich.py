@@ -71,9 +71,11 @@ def with_lagged_ratings(df: DataFrame, recent: DataFrame, older: DataFrame | Non
     )
 
 
-def with_relative(df: DataFrame, value: str, name: str, exclude_self: bool = False) -> DataFrame:
+def with_relative(
+    df: DataFrame, value: str, name: str, exclude_self: bool = False, source: DataFrame | None = None
+) -> DataFrame:
     """Value minus the contest mean (missing values skipped, own value included by default)."""
-    out = with_group_stats(df, CONTEST, __s=F.sum(value), __n=F.count(value))
+    out = with_group_stats(df, CONTEST, source, __s=F.sum(value), __n=F.count(value))
     if exclude_self:
         mean = F.try_divide(F.col("__s") - F.col(value), F.col("__n") - 1)
     else:
@@ -81,10 +83,13 @@ def with_relative(df: DataFrame, value: str, name: str, exclude_self: bool = Fal
     return out.withColumn(name, F.col(value) - mean).drop("__s", "__n")
 
 
-def with_also_nominated(df: DataFrame) -> DataFrame:
-    """1/0 whether the person's work competes as a series in the same period; NULL for series."""
+def with_also_nominated(df: DataFrame, nominees: DataFrame | None = None) -> DataFrame:
+    """1/0 whether the person's work competes as a series in the same period; NULL for series.
+
+    Here and below ``nominees`` is the plain nomination table (default: ``df``).
+    """
     series = (
-        df.filter(F.col("cat_group") == "series")
+        (df if nominees is None else nominees).filter(F.col("cat_group") == "series")
         .select("period", "work")
         .distinct()
         .withColumn("__hit", F.lit(1))
@@ -97,15 +102,15 @@ def with_also_nominated(df: DataFrame) -> DataFrame:
     )
 
 
-def with_period_noms(df: DataFrame) -> DataFrame:
+def with_period_noms(df: DataFrame, nominees: DataFrame | None = None) -> DataFrame:
     """Nominations of the row's work in its period."""
-    return with_group_stats(df, ["period", "work"], total_noms=F.count(F.lit(1)))
+    return with_group_stats(df, ["period", "work"], nominees, total_noms=F.count(F.lit(1)))
 
 
-def with_won_last_period(df: DataFrame) -> DataFrame:
+def with_won_last_period(df: DataFrame, nominees: DataFrame | None = None) -> DataFrame:
     """Did this candidate win the same category one period earlier?  Never multiplies rows."""
     winners = (
-        df.filter(F.col("won") == 1)
+        (df if nominees is None else nominees).filter(F.col("won") == 1)
         .select("category", (F.col("period") + 1).alias("period"), "candidate")
         .distinct()
         .withColumn("__hit", F.lit(True))

@@ -22,9 +22,15 @@ from pyspark.sql import functions as F
 OrderBy = Sequence["str | Column"]
 
 
-def with_group_stats(df: DataFrame, keys: Sequence[str], **stats: Column) -> DataFrame:
-    """Attach aggregates of the row's group to every row."""
-    table = df.groupBy(*keys).agg(*[c.alias(name) for name, c in stats.items()])
+def with_group_stats(
+    df: DataFrame, keys: Sequence[str], source: DataFrame | None = None, **stats: Column
+) -> DataFrame:
+    """Attach aggregates of the row's group to every row.
+
+    The aggregates are taken over ``source`` (default: ``df`` itself).  Passing
+    the narrow table a pipeline started from keeps its plan linear.
+    """
+    table = (df if source is None else source).groupBy(*keys).agg(*[c.alias(name) for name, c in stats.items()])
     return df.join(table, list(keys), "left")
 
 
@@ -104,10 +110,14 @@ def with_first_rank_capped(
     row_key: Sequence[str],
     cap: int,
     name: str,
+    source: DataFrame | None = None,
 ) -> DataFrame:
-    """``least(row_number, cap)``: only the first ``cap - 1`` rows need ranking."""
+    """``least(row_number, cap)``: only the first ``cap - 1`` rows need ranking.
+
+    Ranks are taken over ``source`` (default: ``df``), which holds the same rows.
+    """
     join_on = list(dict.fromkeys([*keys, *row_key]))
-    head = top_k(df, keys, order, cap - 1, name).select(*join_on, name)
+    head = top_k(df if source is None else source, keys, order, cap - 1, name).select(*join_on, name)
     return (
         df.join(head, join_on, "left")
         .select(*df.columns, F.coalesce(F.col(name), F.lit(cap)).cast("int").alias(name))

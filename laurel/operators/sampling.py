@@ -14,11 +14,11 @@ def row_hash(keys: Sequence[str], seed: int) -> Column:
     return F.md5(F.concat_ws("|", *keys, F.lit(str(seed))))
 
 
-def slot_numbers(df: DataFrame, contest: Sequence[str], row_key: Sequence[str], seed: int = 0) -> DataFrame:
+def slot_numbers(df: DataFrame, contest: Sequence[str], row_key: Sequence[str], seed: int = 0, ties: Sequence[str] = ()) -> DataFrame:
     """1..n inside each contest in hash order; the hash prefix splits big contests."""
     hashed = df.withColumn("__h", row_hash([*contest, *row_key], seed))
     return with_position(
-        hashed, contest, F.substring("__h", 1, 2), ["__h", *row_key], "slot"
+        hashed, contest, F.substring("__h", 1, 2), ["__h", *row_key, *ties], "slot"
     ).drop("__h")
 
 

@@ -33,7 +33,7 @@ def _history(spark: SparkSession, d: str, **kw) -> DataFrame:
 
 @query("season_weighted_mean", "SELECT * FROM t_seasons")
 def season_weighted_mean(spark: SparkSession, d: str) -> DataFrame:
-    return enrich.combine_seasons(tables.season_ratings(spark, d))
+    return tables.seasons(spark, d)
 
 
 @query("win_fraction_by", "SELECT category, count(*) AS n, round(avg(won), 6) AS win_frac FROM t_noms GROUP BY 1")
@@ -269,7 +269,7 @@ def season_from_episodes(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "first_non_null_in_group",
-    """SELECT contest, arg_min(CASE WHEN person = '' THEN NULL ELSE person END, {'a': line, 'b': part_id, 'c': supp_id})
+    """SELECT contest, arg_min(CASE WHEN person = '' THEN NULL ELSE person END, {'a': line, 'b': part_id, 'c': supp_id, 'd': score})
        FILTER (WHERE person <> '') AS first_person FROM t_short GROUP BY 1""",
 )
 def first_non_null_in_group(spark: SparkSession, d: str) -> DataFrame:
@@ -326,10 +326,12 @@ def pivot_wide(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _slotted(spark: SparkSession, d: str) -> DataFrame:
-    return sampling.slot_numbers(tables.shortlists(spark, d), ["contest"], tables.LINE_KEY, 3)
+    return sampling.slot_numbers(
+        tables.shortlists(spark, d), ["contest"], tables.LINE_KEY[:3], 3, ties=tables.LINE_KEY[3:]
+    )
 
 
-_SLOTS = """(SELECT *, row_number() OVER (PARTITION BY contest ORDER BY md5(concat_ws('|', contest, line, part_id, supp_id, '3')), line, part_id, supp_id) AS slot
+_SLOTS = """(SELECT *, row_number() OVER (PARTITION BY contest ORDER BY md5(concat_ws('|', contest, line, part_id, supp_id, '3')), line, part_id, supp_id, score) AS slot
   FROM t_short)"""
 
 
@@ -356,7 +358,7 @@ def wide_contests(spark: SparkSession, d: str, columns: list[str]) -> DataFrame:
 
 @query(
     "slot_number",
-    f"SELECT contest, line, part_id, supp_id, slot FROM {_SLOTS}",
+    f"SELECT contest, line, part_id, supp_id, score, slot FROM {_SLOTS}",
 )
 def slot_number(spark: SparkSession, d: str) -> DataFrame:
     return _slotted(spark, d).select("contest", *tables.LINE_KEY, "slot")
@@ -428,12 +430,12 @@ _LABEL = """CASE WHEN prev_noms = 0 THEN 'No' WHEN won_last_period THEN 'Yes; wo
     f"SELECT cat_group, {_LABEL} AS prior, count(*) AS n, round(avg(won), 6) AS win_frac FROM t_feat GROUP BY 1, 2",
 )
 def prior_group_label(spark: SparkSession, d: str) -> DataFrame:
-    flagged = enrich.with_won_last_period(_history(spark, d))
+    flagged = enrich.with_won_last_period(_history(spark, d), tables.nominations(spark, d))
     return cohorts.win_fraction(flagged, ["cat_group", cohorts.prior_noms_label().alias("prior")])
 
 
 _WINPOS = """SELECT contest, {keep} CAST(least(coalesce(min(CASE WHEN won = 1 THEN r END), 5), 5) AS INT) AS winner_pos
-  FROM (SELECT *, row_number() OVER (PARTITION BY contest ORDER BY {order}, line, part_id, supp_id) AS r FROM {src} WHERE {where})
+  FROM (SELECT *, row_number() OVER (PARTITION BY contest ORDER BY {order}, line, part_id, supp_id, score) AS r FROM {src} WHERE {where})
   GROUP BY ALL"""
 SURNAME_SQL = "split_part(person, ' ', -1)"
 
@@ -455,7 +457,7 @@ def winpos_sql(order: str, group: str = "acting", src: str = "t_short") -> str:
 
 @query(
     "observed_vs_expected_wins",
-    f"""SELECT winner_pos, n, total, total * 0.2 AS expected, round(n / total, 6) AS share FROM (
+    f"""SELECT winner_pos, n, total, total * 0.2::DOUBLE AS expected, round(n / total, 6) AS share FROM (
           SELECT winner_pos, count(*) AS n, CAST(sum(count(*)) OVER () AS BIGINT) AS total FROM ({winpos_sql(SURNAME_SQL)}) GROUP BY 1)""",
 )
 def observed_vs_expected_wins(spark: SparkSession, d: str) -> DataFrame:
@@ -538,7 +540,8 @@ def prior_losses(spark: SparkSession, d: str) -> DataFrame:
 
 @query("relative_to_contest", f"SELECT {ROW}, round(rel_rating, 6) + 0.0 AS rel_rating FROM t_feat")
 def relative_to_contest(spark: SparkSession, d: str) -> DataFrame:
-    out = enrich.with_relative(lagged(spark, d), "av_rating", "rel_rating")
+    rated = enrich.with_lagged_ratings(tables.nominations(spark, d), tables.seasons(spark, d))
+    out = enrich.with_relative(rated, "av_rating", "rel_rating")
     return _row(out, (F.round("rel_rating", 6) + 0.0).alias("rel_rating"))
 
 
@@ -563,7 +566,7 @@ def average_ranked(spark: SparkSession, d: str) -> DataFrame:
     return groupwise.with_average_rank_capped(acting_lists(spark, d), ["contest"], "surname", 5, "alph_pos")
 
 
-@query("average_rank_capped", f"SELECT contest, line, part_id, supp_id, alph_pos FROM {AVG_RANK_SQL}")
+@query("average_rank_capped", f"SELECT contest, line, part_id, supp_id, score, alph_pos FROM {AVG_RANK_SQL}")
 def average_rank_capped(spark: SparkSession, d: str) -> DataFrame:
     return average_ranked(spark, d).select("contest", *tables.LINE_KEY, "alph_pos")
 
@@ -585,7 +588,7 @@ def winner_position(spark: SparkSession, d: str) -> DataFrame:
 
 _FOLDED = """SELECT contest, CAST(CASE WHEN n > 5 AND i = n - 1 THEN 4 WHEN n > 5 AND i = n - 2 THEN 3 ELSE i END AS INT) AS {name} FROM (
   SELECT contest, count(*) AS n, count(*) FILTER (WHERE x < pick) AS i FROM (
-    SELECT *, first_value(x) OVER (PARTITION BY contest ORDER BY line, part_id, supp_id) AS pick
+    SELECT *, first_value(x) OVER (PARTITION BY contest ORDER BY line, part_id, supp_id, score) AS pick
     FROM (SELECT *, {x} AS x FROM t_short WHERE cat_group = 'acting')) GROUP BY 1)"""
 
 
@@ -669,8 +672,8 @@ def group_trend_local(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "contest_size_filter",
-    f"""SELECT contest, line, part_id, supp_id, work, 'listed' AS source FROM (SELECT *, count(*) OVER (PARTITION BY contest) AS n FROM t_short) WHERE n >= 5
-        UNION ALL SELECT contest, line, part_id, supp_id, 'Substitute ' || work, 'substitute'
+    f"""SELECT contest, line, part_id, supp_id, score, work, 'listed' AS source FROM (SELECT *, count(*) OVER (PARTITION BY contest) AS n FROM t_short) WHERE n >= 5
+        UNION ALL SELECT contest, line, part_id, supp_id, score, 'Substitute ' || work, 'substitute'
         FROM (SELECT *, count(*) OVER (PARTITION BY contest) AS n FROM t_short) WHERE n = 4""",
 )
 def contest_size_filter(spark: SparkSession, d: str) -> DataFrame:

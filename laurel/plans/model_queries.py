@@ -68,7 +68,7 @@ def length_flagged(spark: SparkSession, d: str) -> DataFrame:
     """Acting nominees of the orders with their name-length position flag and last season."""
     lists = acting_lists(spark, d).withColumn("len", text.name_length("person"))
     ranked = groupwise.with_average_rank_capped(lists, ["contest"], "len", 5, "len_pos")
-    seasons = enrich.combine_seasons(tables.season_ratings(spark, d))
+    seasons = tables.seasons(spark, d)
     lagged = enrich.lag_join(ranked, seasons, 1, ["season"])
     return lagged.withColumn("len_1or5", F.col("len_pos").isin(1.0, 5.0))
 
@@ -145,20 +145,20 @@ def pending_nominees(spark: SparkSession, d: str) -> DataFrame:
 
 
 def score_pending(
-    pending: DataFrame, past: DataFrame, seasons: DataFrame, external: DataFrame,
+    pending: DataFrame, nominees: DataFrame, seasons: DataFrame, external: DataFrame,
     acting: dict[str, float], series: dict[str, float],
 ) -> DataFrame:
     """Roll history forward, enrich and score undecided contests."""
-    state = history.latest_state(past)
+    state = history.latest_state(history.with_history(nominees))
     out = history.attach_state(pending, state)
     out = enrich.with_lagged_ratings(out, seasons)
-    winners = past.filter("won = 1").select(
+    winners = nominees.filter("won = 1").select(
         "category", (F.col("period") + 1).alias("period"), "candidate", F.lit(True).alias("won_last_period")
     ).distinct()
     out = out.join(winners, ["category", "period", "candidate"], "left").fillna(False, subset=["won_last_period"])
     out = enrich.with_external_win(out, external)
-    out = enrich.with_period_noms(enrich.with_also_nominated(out))
-    out = glm.with_indicators(with_capped_positions(out))
+    out = enrich.with_period_noms(enrich.with_also_nominated(out, pending), pending)
+    out = glm.with_indicators(with_capped_positions(out, pending))
     scored = glm.score_by_group(out, acting, series)
     return glm.normalise_in_contest(scored, "score_raw")
 
@@ -171,8 +171,8 @@ def score_pending_query(spark: SparkSession, d: str) -> DataFrame:
     noms = tables.nominations(spark, d)
     out = score_pending(
         pending_nominees(spark, d),
-        history.with_history(noms),
-        enrich.combine_seasons(tables.season_ratings(spark, d)),
+        noms,
+        tables.seasons(spark, d),
         tables.external_winners(noms),
         glm.coefficients(acting, a_terms),
         glm.coefficients(series, s_terms),
@@ -201,8 +201,8 @@ def score_pending_fixed(spark: SparkSession, d: str) -> DataFrame:
     noms = tables.nominations(spark, d)
     out = score_pending(
         pending_nominees(spark, d),
-        history.with_history(noms),
-        enrich.combine_seasons(tables.season_ratings(spark, d)),
+        noms,
+        tables.seasons(spark, d),
         tables.external_winners(noms),
         ACTING_COEFS,
         SERIES_COEFS,

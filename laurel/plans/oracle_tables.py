@@ -62,7 +62,7 @@ FROM t_ties
     "t_hist": _HIST.format(scope=_CAND_SCOPE, source="t_noms"),
     "t_hist_pair": _HIST.format(scope=_PAIR_SCOPE, source="t_noms"),
     "t_ratings": """
-SELECT work, season, season_start, num_eps, q / num_eps / 5 AS av_rating, v / num_eps AS av_num_votes
+SELECT work, season, season_start, num_eps, q / num_eps / 5.07 AS av_rating, v / num_eps AS av_num_votes
 FROM (
   SELECT p_brand AS work,
          CAST(floor((m - 1) / 12.0) * 2 + 1 + l_linenumber % 2 AS INT) AS season,
@@ -73,7 +73,7 @@ FROM (
         FROM lineitem WHERE l_returnflag = 'R')
   JOIN part ON l_partkey = p_partkey
   GROUP BY 1, 2, 3)
-WHERE q / num_eps / 5 >= 4
+WHERE q / num_eps / 5.07 >= 4
 """,
     "t_seasons": """
 SELECT work, season_start, min(season) AS season,

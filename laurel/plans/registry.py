@@ -29,6 +29,8 @@ def with_ctes(body: str) -> str:
     """Prefix an oracle body with the shared table expressions it names."""
     from laurel.plans.oracle_tables import TABLES
 
+    if body.lstrip().startswith("WITH t_"):  # already complete
+        return body.strip()
     needed: dict[str, None] = {}
 
     def visit(text: str) -> None:

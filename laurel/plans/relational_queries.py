@@ -148,7 +148,7 @@ def impute_constant(spark: SparkSession, d: str) -> DataFrame:
        FROM t_seasons x FULL JOIN t_seasons y ON x.work = y.work AND x.season_start + 1 = y.season_start + 2""",
 )
 def mean_of_available(spark: SparkSession, d: str) -> DataFrame:
-    pairs = enrich.two_lags(enrich.combine_seasons(tables.season_ratings(spark, d)))
+    pairs = enrich.two_lags(tables.seasons(spark, d))
     mean = enrich.mean_of_available(F.col("x1.av_rating"), F.col("x2.av_rating"))
     return pairs.select("work", "period", F.round(mean, 6).alias("av_rating"))
 
@@ -270,7 +270,7 @@ def quality_flag(spark: SparkSession, d: str) -> DataFrame:
        LEFT JOIN t_seasons s ON n.work = s.work AND n.period - 1 = s.season_start""",
 )
 def join_lag1_ratings(spark: SparkSession, d: str) -> DataFrame:
-    seasons = enrich.combine_seasons(tables.season_ratings(spark, d))
+    seasons = tables.seasons(spark, d)
     out = enrich.lag_join(tables.nominations(spark, d), seasons, 1, ["season", "av_rating"])
     return _row(out, "season", F.round("av_rating", 6).alias("av_rating"))
 
@@ -328,9 +328,9 @@ def external_prev_winner(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "winner_vs_top_pick",
     """SELECT category, period, candidate AS winner, p AS pred_winner, round(s, 6) AS pred FROM (
-         SELECT *, sum(won) OVER c AS n_won, first_value(candidate) OVER o AS p, first_value(prev_wins + 0.5 * prev_noms) OVER o AS s
+         SELECT *, sum(won) OVER c AS n_won, first_value(candidate) OVER o AS p, first_value(prev_wins + 0.5::DOUBLE * prev_noms) OVER o AS s
          FROM t_hist WINDOW c AS (PARTITION BY period, category),
-         o AS (PARTITION BY period, category ORDER BY prev_wins + 0.5 * prev_noms DESC, person, work))
+         o AS (PARTITION BY period, category ORDER BY prev_wins + 0.5::DOUBLE * prev_noms DESC, person, work))
        WHERE n_won = 1 AND won = 1""",
 )
 def winner_vs_top_pick(spark: SparkSession, d: str) -> DataFrame:
@@ -390,8 +390,8 @@ def attach_latest_state(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "first_in_group_is_winner",
-    """SELECT s.contest, s.line, s.part_id, s.supp_id, s.work, CAST(CASE WHEN s.work = f.work THEN 1 ELSE 0 END AS INT) AS won_by_order
-       FROM t_short s JOIN (SELECT DISTINCT contest, first_value(work) OVER (PARTITION BY contest ORDER BY line, part_id, supp_id) AS work
+    """SELECT s.contest, s.line, s.part_id, s.supp_id, s.score, s.work, CAST(CASE WHEN s.work = f.work THEN 1 ELSE 0 END AS INT) AS won_by_order
+       FROM t_short s JOIN (SELECT DISTINCT contest, first_value(work) OVER (PARTITION BY contest ORDER BY line, part_id, supp_id, score) AS work
        FROM t_short) f ON s.contest = f.contest""",
 )
 def first_in_group_is_winner(spark: SparkSession, d: str) -> DataFrame:
@@ -413,7 +413,7 @@ def membership_flag(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "exclude_contests_with",
-    """SELECT contest, line, part_id, supp_id, person FROM t_short WHERE contest NOT IN
+    """SELECT contest, line, part_id, supp_id, score, person FROM t_short WHERE contest NOT IN
        (SELECT contest FROM t_short WHERE person = 'red widget')""",
 )
 def exclude_contests_with(spark: SparkSession, d: str) -> DataFrame:
@@ -554,7 +554,7 @@ def stratified_split(spark: SparkSession, d: str) -> DataFrame:
         UNION ALL SELECT 'Manual', 2, 2003, 8.6""",
 )
 def union_by_name(spark: SparkSession, d: str) -> DataFrame:
-    seasons = enrich.combine_seasons(tables.season_ratings(spark, d))
+    seasons = tables.seasons(spark, d)
     manual = spark.createDataFrame(
         [(8.6, "Manual", 2003, 2)], "av_rating double, work string, season_start int, season int"
     )
@@ -593,14 +593,14 @@ def dense_spine(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "str_regex",
-    r"""SELECT doc_id, regexp_matches(text, '(tion|ment)\b') AS has_ending, regexp_extract(text, '^([^ ]+) ', 1) AS first_word,
+    r"""SELECT doc_id, regexp_matches(text, '(tion|ment)[ .,]') AS has_ending, regexp_extract(text, '^([^ ]+) ', 1) AS first_word,
         CAST(len(regexp_extract_all(text, '\. ', 0)) AS INT) AS stops FROM documents""",
 )
 def str_regex(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("text")
     return tables.table(spark, d, "documents").select(
         "doc_id",
-        t.rlike(r"(tion|ment)\b").alias("has_ending"),
+        t.rlike(r"(tion|ment)[ .,]").alias("has_ending"),
         F.regexp_extract(t, "^([^ ]+) ", 1).alias("first_word"),
         F.size(F.expr(r"regexp_extract_all(text, '\\. ', 0)")).alias("stops"),
     )

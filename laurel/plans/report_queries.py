@@ -28,7 +28,7 @@ def _history(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _won_last(spark: SparkSession, d: str) -> DataFrame:
-    return enrich.with_won_last_period(lagged(spark, d))
+    return enrich.with_won_last_period(lagged(spark, d), tables.nominations(spark, d))
 
 
 @query(
@@ -77,7 +77,8 @@ def rp_04(spark: SparkSession, d: str) -> DataFrame:
 
 
 def winners_relative(spark: SparkSession, d: str) -> DataFrame:
-    relative = enrich.with_relative(lagged(spark, d), "av_rating", "rel_rating")
+    rated = enrich.with_lagged_ratings(tables.nominations(spark, d), tables.seasons(spark, d))
+    relative = enrich.with_relative(rated, "av_rating", "rel_rating")
     rounded = relative.withColumn("rel_rating", F.round("rel_rating", 6))
     return rounded.filter("won = 1 AND av_num_votes IS NOT NULL")
 
@@ -238,7 +239,7 @@ def rp_19(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "rp_20",
-    f"""SELECT o.season, o.result, o.n, m.num_cases AS exp_noms, round(m.num_cases * 0.2, 6) AS exp_wins
+    f"""SELECT o.season, o.result, o.n, m.num_cases AS exp_noms, round(m.num_cases * 0.2::DOUBLE, 6) AS exp_wins
         FROM ({_SEASON_RESULT.format(k='')}) o JOIN ({_MIX}) m ON o.season = m.season""",
 )
 def rp_20(spark: SparkSession, d: str) -> DataFrame:
@@ -323,7 +324,7 @@ def rp_29(spark: SparkSession, d: str) -> DataFrame:
     bounds_oracle(
         f"""SELECT winner_pos, wins, CAST(sum(wins) OVER () AS BIGINT) AS n FROM (
               SELECT winner_pos, count(*) AS wins FROM ({winpos_sql(SURNAME_SQL)}) GROUP BY 1)""",
-        "winner_pos, wins, n, round(wins / n, 6) AS share, n * 0.2 AS expected",
+        "winner_pos, wins, n, round(wins / n, 6) AS share, n * 0.2::DOUBLE AS expected",
     ),
 )
 def rp_30(spark: SparkSession, d: str) -> DataFrame:

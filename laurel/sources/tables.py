@@ -16,7 +16,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from laurel.operators.groupwise import with_group_stats, with_position
+from laurel.operators.enrich import combine_seasons
 from laurel.operators.history import listing_order
+from laurel.sources.staging import staged
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -59,17 +61,26 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+SOURCES = ["lineitem", "orders", "part"]
+
+
 def nominations(spark: SparkSession, sf_dir: str, tie_width: int | None = None) -> DataFrame:
     """All nominees of all contests; ``tie_width`` (currency) makes near-best nominees tie."""
+    base = staged(spark, sf_dir, "nominations", SOURCES, lambda: _nominations(spark, sf_dir))
+    if tie_width is None:
+        return base.drop("cents")
+    level = F.floor(F.col("cents") / (tie_width * 100))
+    tied = with_group_stats(base, ["category", "period"], __best=F.max(level))
+    return tied.withColumn("won", (level == F.col("__best")).cast("int")).drop("cents", "__best")
+
+
+def _nominations(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = (
         _lines(spark, sf_dir)
         .groupBy("period", "category", "person", "work")
         .agg(F.sum("cents").alias("cents"))
     )
-    level = F.col("cents") if tie_width is None else F.floor(F.col("cents") / (tie_width * 100))
-    base = with_group_stats(
-        base.withColumn("level", level), ["category", "period"], best=F.max("level")
-    )
+    base = with_group_stats(base, ["category", "period"], best=F.max("cents"))
     return (
         base.withColumn("cat_group", cat_group())
         .withColumn("candidate", candidate_name())
@@ -81,7 +92,8 @@ def nominations(spark: SparkSession, sf_dir: str, tie_width: int | None = None)
             "work",
             "candidate",
             (F.col("cents") / 100.0).alias("score"),
-            (F.col("level") == F.col("best")).cast("int").alias("won"),
+            (F.col("cents") == F.col("best")).cast("int").alias("won"),
+            "cents",
         )
     )
 
@@ -125,10 +137,21 @@ def shortlists(spark: SparkSession, sf_dir: str, tie_width: int | None = None) -
     )
 
 
-LINE_KEY = ["line", "part_id", "supp_id"]
+# Listing order of an order's lines; the price settles repeated line numbers.
+LINE_KEY = ["line", "part_id", "supp_id", "score"]
 
 
 def season_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rated seasons, staged: one small row per (work, season, start)."""
+    return staged(spark, sf_dir, "ratings", ["lineitem", "part"], lambda: _season_ratings(spark, sf_dir))
+
+
+def seasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ratings combined to one row per (work, season_start)."""
+    return combine_seasons(season_ratings(spark, sf_dir))
+
+
+def _season_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rated seasons: returned lines by brand and ship month, two sub-seasons each.
 
     Seasons rated below 4 are unlisted, which leaves gaps for the lag joins.
@@ -160,7 +183,7 @@ def season_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
             "season",
             "season_start",
             "num_eps",
-            (F.col("q") / 100.0 / F.col("num_eps") / 5).alias("av_rating"),
+            (F.col("q") / 100.0 / F.col("num_eps") / 5.07).alias("av_rating"),
             (F.col("v") / 100.0 / F.col("num_eps")).alias("av_num_votes"),
         )
         .filter(F.col("av_rating") >= 4)
