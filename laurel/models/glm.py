@@ -7,10 +7,12 @@ coefficients reach the driver.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
+from pyspark.errors import UnsupportedOperationException
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression, GeneralizedLinearRegressionModel
-from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,43 +64,69 @@ def _vector(df: DataFrame, terms: Sequence[str]) -> DataFrame:
     return assembler.transform(numeric).drop(*[f"__x_{t}" for t in terms])
 
 
-def fit_glm(df: DataFrame, terms: Sequence[str], label: str = "won") -> GeneralizedLinearRegressionModel:
-    """Binomial GLM with logit link."""
-    data = _vector(df, terms).select(F.col(label).cast("double").alias("label"), "features").persist()
-    glr = GeneralizedLinearRegression(
-        family="binomial", link="logit", labelCol="label", maxIter=50, tol=1e-10
+@dataclass(frozen=True)
+class Fit:
+    """A fitted GLM; ``kept`` are the terms that vary, the others are aliased."""
+
+    model: GeneralizedLinearRegressionModel
+    terms: list[str]
+    kept: list[str]
+
+    @property
+    def coefficients(self) -> dict[str, float]:
+        """Coefficient per kept term; an aliased term contributes nothing."""
+        out = {t: float(c) for t, c in zip(self.kept, self.model.coefficients)}
+        out["(Intercept)"] = float(self.model.intercept)
+        return out
+
+
+def varying_terms(df: DataFrame, terms: Sequence[str]) -> list[str]:
+    """Terms with more than one value; a constant is aliased with the intercept."""
+    complete = df.select(*[F.col(t).cast("double").alias(t) for t in terms]).dropna()
+    spread = complete.agg(*[(F.max(t) > F.min(t)).alias(t) for t in terms]).first()
+    return [t for t in terms if spread[t]]
+
+
+def _glr() -> GeneralizedLinearRegression:
+    return GeneralizedLinearRegression(
+        family="binomial", link="logit", labelCol="label", maxIter=25, tol=1e-8
     )
+
+
+def fit_glm(df: DataFrame, terms: Sequence[str], label: str = "won") -> Fit:
+    """Binomial GLM with logit link."""
+    kept = varying_terms(df, terms)
+    data = _vector(df.dropna(subset=list(terms)), kept)
+    data = data.select(F.col(label).cast("double").alias("label"), "features").persist()
     try:
-        return glr.fit(data)
+        return Fit(_glr().fit(data), list(terms), kept)
     finally:
         data.unpersist()
 
 
-def tidy(spark: SparkSession, model: GeneralizedLinearRegressionModel, terms: Sequence[str]) -> DataFrame:
+def _inference(model: GeneralizedLinearRegressionModel, size: int) -> list[tuple]:
+    """(std. error, statistic, p-value) per coefficient; NULLs for a singular fit."""
+    summary = model.summary
+    try:
+        errors = [float(x) for x in summary.coefficientStandardErrors]
+    except UnsupportedOperationException:
+        return [(None, None, None)] * size
+    return list(zip(errors, map(float, summary.tValues), map(float, summary.pValues)))
+
+
+def tidy(spark: SparkSession, fit: Fit) -> DataFrame:
     """Coefficient table: term, estimate, std_error, statistic, p_value (one row per term)."""
-    s = model.summary
-    names = [*terms, "(Intercept)"]
-    estimates = [float(x) for x in model.coefficients] + [float(model.intercept)]
-    rows = list(
-        zip(
-            names,
-            estimates,
-            [float(x) for x in s.coefficientStandardErrors],
-            [float(x) for x in s.tValues],
-            [float(x) for x in s.pValues],
-        )
-    )
+    names = [*fit.kept, "(Intercept)"]
+    known = {
+        name: (fit.coefficients[name], *rest)
+        for name, rest in zip(names, _inference(fit.model, len(names)))
+    }
+    rows = [(t, *known.get(t, (None,) * 4)) for t in [*fit.terms, "(Intercept)"]]
     return spark.createDataFrame(
         rows, "term string, estimate double, std_error double, statistic double, p_value double"
     )
 
 
-def coefficients(model: GeneralizedLinearRegressionModel, terms: Sequence[str]) -> dict[str, float]:
-    out = {t: float(c) for t, c in zip(terms, model.coefficients)}
-    out["(Intercept)"] = float(model.intercept)
-    return out
-
-
 def predict(coefs: dict[str, float]) -> Column:
     """Probability from fixed coefficients; NULL where a term is missing."""
     eta = F.lit(coefs.get("(Intercept)", 0.0))
@@ -180,15 +208,14 @@ def repeated_holdout(
 ) -> DataFrame:
     """Test RMSE of ``repeats`` fits on hash-split rows: (repeat, n_test, rmse)."""
     spark = df.sparkSession
-    data = _vector(df, terms).select(
+    data = _vector(df.dropna(subset=list(terms)), varying_terms(df, terms)).select(
         *row_key, F.col(label).cast("double").alias("label"), "features"
     ).persist()
     out = []
     try:
         for repeat in range(1, repeats + 1):
             split = holdout_split(data, row_key, repeat, fraction)
-            glr = GeneralizedLinearRegression(family="binomial", link="logit", labelCol="label")
-            model = glr.fit(split.filter("train"))
+            model = _glr().fit(split.filter("train"))
             row = (
                 model.transform(split.filter("not train"))
                 .agg(F.count(F.lit(1)).alias("n"), rmse(F.col("label"), F.col("prediction")).alias("r"))
@@ -200,8 +227,9 @@ def repeated_holdout(
     return spark.createDataFrame(out, "repeat int, n_test long, rmse double")
 
 
-def pseudo_r2(spark: SparkSession, model: GeneralizedLinearRegressionModel) -> DataFrame:
-    s = model.summary
+def pseudo_r2(spark: SparkSession, fit: Fit) -> DataFrame:
+    """Deviance, null deviance and the share explained."""
+    s = fit.model.summary
     return spark.createDataFrame(
         [(float(s.deviance), float(s.nullDeviance), 1.0 - s.deviance / s.nullDeviance)],
         "deviance double, null_deviance double, pseudo_r2 double",

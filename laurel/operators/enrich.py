@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from laurel.operators.groupwise import with_group_stats
+from laurel.operators.groupwise import top_k, with_group_stats
 
 CONTEST = ["category", "period"]
 
@@ -203,10 +203,21 @@ def with_first_in_group_winner(df: DataFrame, keys: Sequence[str], name: str, or
     )
 
 
-def with_seeded_winners(df: DataFrame, overrides: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The first k listed nominees win, k from ``overrides`` (keys + k), default 1."""
-    return (
-        df.join(overrides, list(keys), "left")
-        .withColumn("won_listed", (F.col("pos") <= F.coalesce(F.col("k"), F.lit(1))).cast("int"))
-        .drop("k")
-    )
+def with_listed_winners(
+    df: DataFrame,
+    nominees: DataFrame,
+    overrides: DataFrame,
+    keys: Sequence[str],
+    row_key: Sequence[str],
+    order: Sequence[str | Column],
+) -> DataFrame:
+    """The first k listed nominees win, k from ``overrides`` (keys + k), default 1.
+
+    Only the largest k of the overrides is ever ranked, not whole contests.
+    """
+    most = overrides.agg(F.max("k")).first()[0] or 1
+    head = top_k(nominees, keys, order, max(int(most), 1), "__pos").join(overrides, list(keys), "left")
+    winners = head.filter(F.col("__pos") <= F.coalesce(F.col("k"), F.lit(1)))
+    on = list(dict.fromkeys([*keys, *row_key]))
+    flagged = winners.select(*on, F.lit(1).alias("won_listed"))
+    return df.join(flagged, on, "left").fillna(0, subset=["won_listed"])

@@ -538,11 +538,11 @@ def prior_losses(spark: SparkSession, d: str) -> DataFrame:
     return _row(_history(spark, d), "prev_losses", "prev_noms_without_win")
 
 
-@query("relative_to_contest", f"SELECT {ROW}, round(rel_rating, 6) + 0.0 AS rel_rating FROM t_feat")
+@query("relative_to_contest", f"SELECT {ROW}, round(rel_rating, 10) + 0.0 AS rel_rating FROM t_feat")
 def relative_to_contest(spark: SparkSession, d: str) -> DataFrame:
     rated = enrich.with_lagged_ratings(tables.nominations(spark, d), tables.seasons(spark, d))
     out = enrich.with_relative(rated, "av_rating", "rel_rating")
-    return _row(out, (F.round("rel_rating", 6) + 0.0).alias("rel_rating"))
+    return _row(out, (F.round("rel_rating", 10) + 0.0).alias("rel_rating"))
 
 
 @query("nominations_in_period", f"SELECT {ROW}, total_noms FROM t_feat")
@@ -642,8 +642,10 @@ def k_listed_winners(spark: SparkSession, d: str) -> DataFrame:
     noms = tables.nominations(spark, d)
     sizes = cohorts.count_by(noms, CONTEST)
     overrides = sizes.filter("n > 24").select(*CONTEST, F.when(F.col("n") > 60, 3).otherwise(2).alias("k"))
-    listed = tables.with_listing_pos(noms)
-    return _row(enrich.with_seeded_winners(listed, overrides, CONTEST), "won_listed")
+    out = enrich.with_listed_winners(
+        noms, noms, overrides, CONTEST, ["person", "work"], history.listing_order()
+    )
+    return _row(out, "won_listed")
 
 
 @query(

@@ -65,4 +65,4 @@ def modelling_table(spark: SparkSession, sf_dir: str) -> DataFrame:
         single = glm.single_winner_contests(features(spark, sf_dir), source=nominees)
         return glm.with_indicators(glm.impute(with_capped_positions(single, nominees)))
 
-    return staged(spark, sf_dir, "modelling", ["lineitem", "orders", "part"], build)
+    return staged(spark, sf_dir, "modelling", tables.SOURCES, build, spread=ROW_KEY)

@@ -23,10 +23,10 @@ from laurel.streaming.history import stream_history
 ROW = "period, category, person, work"
 
 
-def group_model(spark: SparkSession, d: str, group: str):
+def group_model(spark: SparkSession, d: str, group: str) -> glm.Fit:
     terms = glm.ACTING_TERMS if group == "acting" else glm.SERIES_TERMS
     data = modelling_table(spark, d).filter(F.col("cat_group") == group)
-    return glm.fit_glm(data, terms), terms
+    return glm.fit_glm(data, terms)
 
 
 def _rounded(coefs: DataFrame) -> DataFrame:
@@ -35,14 +35,12 @@ def _rounded(coefs: DataFrame) -> DataFrame:
 
 @query("glm_series")
 def glm_series(spark: SparkSession, d: str) -> DataFrame:
-    model, terms = group_model(spark, d, "series")
-    return _rounded(glm.tidy(spark, model, terms))
+    return _rounded(glm.tidy(spark, group_model(spark, d, "series")))
 
 
 @query("glm_acting")
 def glm_acting(spark: SparkSession, d: str) -> DataFrame:
-    model, terms = group_model(spark, d, "acting")
-    return _rounded(glm.tidy(spark, model, terms))
+    return _rounded(glm.tidy(spark, group_model(spark, d, "acting")))
 
 
 def single_factor_sql(source: str) -> str:
@@ -75,9 +73,8 @@ def length_flagged(spark: SparkSession, d: str) -> DataFrame:
 
 @query("glm_mixed")
 def glm_mixed(spark: SparkSession, d: str) -> DataFrame:
-    terms = ["season", "len_1or5"]
-    model = glm.fit_glm(length_flagged(spark, d), terms)
-    return _rounded(glm.tidy(spark, model, terms))
+    fit = glm.fit_glm(length_flagged(spark, d), ["season", "len_1or5"])
+    return _rounded(glm.tidy(spark, fit))
 
 
 @query(
@@ -166,16 +163,14 @@ def score_pending(
 @query("score_pending")
 def score_pending_query(spark: SparkSession, d: str) -> DataFrame:
     """Scores of the pending contests from the two fitted models."""
-    acting, a_terms = group_model(spark, d, "acting")
-    series, s_terms = group_model(spark, d, "series")
     noms = tables.nominations(spark, d)
     out = score_pending(
         pending_nominees(spark, d),
         noms,
         tables.seasons(spark, d),
         tables.external_winners(noms),
-        glm.coefficients(acting, a_terms),
-        glm.coefficients(series, s_terms),
+        group_model(spark, d, "acting").coefficients,
+        group_model(spark, d, "series").coefficients,
     )
     return out.select(*ROW_KEY, "candidate", "prev_noms", "prev_wins", F.round("pred", 6).alias("pred"))
 
@@ -215,13 +210,12 @@ def interaction_terms(spark: SparkSession, d: str) -> DataFrame:
     data = history.with_history(tables.nominations(spark, d)).withColumn("late", F.col("period") >= 40)
     data = glm.with_interactions(data, [("prev_noms", "prev_wins"), ("late", "prev_noms")])
     terms = ["prev_noms", "prev_wins", "prev_noms_x_prev_wins", "late_x_prev_noms"]
-    return _rounded(glm.tidy(spark, glm.fit_glm(data, terms), terms))
+    return _rounded(glm.tidy(spark, glm.fit_glm(data, terms)))
 
 
 @query("pseudo_r2")
 def pseudo_r2(spark: SparkSession, d: str) -> DataFrame:
-    model, _ = group_model(spark, d, "acting")
-    out = glm.pseudo_r2(spark, model)
+    out = glm.pseudo_r2(spark, group_model(spark, d, "acting"))
     return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
 
 

@@ -64,7 +64,7 @@ def rp_03(spark: SparkSession, d: str) -> DataFrame:
     return cohorts.win_fraction(rated, ["category", "won"], measure="av_rating", name="mean_rating")
 
 
-_REL = "round(rel_rating, 6)"
+_REL = "round(rel_rating, 10)"
 
 
 @query(
@@ -79,7 +79,7 @@ def rp_04(spark: SparkSession, d: str) -> DataFrame:
 def winners_relative(spark: SparkSession, d: str) -> DataFrame:
     rated = enrich.with_lagged_ratings(tables.nominations(spark, d), tables.seasons(spark, d))
     relative = enrich.with_relative(rated, "av_rating", "rel_rating")
-    rounded = relative.withColumn("rel_rating", F.round("rel_rating", 6))
+    rounded = relative.withColumn("rel_rating", F.round("rel_rating", 10))
     return rounded.filter("won = 1 AND av_num_votes IS NOT NULL")
 
 
@@ -405,8 +405,7 @@ def rp_37(spark: SparkSession, d: str) -> DataFrame:
     out = None
     for group, terms in (("series", glm.SERIES_TERMS), ("acting", glm.ACTING_TERMS)):
         data = modelling_table(spark, d).filter(F.col("cat_group") == group)
-        model = glm.fit_glm(data, terms)
-        probability = glm.predict(glm.coefficients(model, terms))
+        probability = glm.predict(glm.fit_glm(data, terms).coefficients)
         train = data.agg(F.lit(group).alias("model"), F.round(glm.rmse(F.col("won"), probability), 6).alias("train_rmse"))
         test = glm.repeated_holdout(data, terms, MQ.ROW_KEY).agg(F.round(F.avg("rmse"), 6).alias("test_rmse"))
         part = train.crossJoin(F.broadcast(test))  # one row each
@@ -418,11 +417,9 @@ def rp_37(spark: SparkSession, d: str) -> DataFrame:
 def rp_38(spark: SparkSession, d: str) -> DataFrame:
     """Normalised scores of both models and the accuracy of the top pick."""
     data = modelling_table(spark, d)
-    acting = glm.fit_glm(data.filter("cat_group = 'acting'"), glm.ACTING_TERMS)
-    series = glm.fit_glm(data.filter("cat_group = 'series'"), glm.SERIES_TERMS)
-    scored = glm.score_by_group(
-        data, glm.coefficients(acting, glm.ACTING_TERMS), glm.coefficients(series, glm.SERIES_TERMS)
-    )
+    acting = MQ.group_model(spark, d, "acting").coefficients
+    series = MQ.group_model(spark, d, "series").coefficients
+    scored = glm.score_by_group(data, acting, series)
     scored = glm.normalise_in_contest(scored, "score_raw")
     winners = glm.single_winner_contests(tables.nominations(spark, d)).filter("won = 1")
     winners = winners.select(*CONTEST, F.col("candidate").alias("winner"))
@@ -432,11 +429,9 @@ def rp_38(spark: SparkSession, d: str) -> DataFrame:
 @query("rp_39")
 def rp_39(spark: SparkSession, d: str) -> DataFrame:
     """Coefficients of both models as formatted probability effects."""
-    acting, a_terms = MQ.group_model(spark, d, "acting")
-    series, s_terms = MQ.group_model(spark, d, "series")
     effects = MQ.coefficient_effects(
-        glm.tidy(spark, series, s_terms).select("term", "estimate"),
-        glm.tidy(spark, acting, a_terms).select("term", "estimate"),
+        glm.tidy(spark, MQ.group_model(spark, d, "series")).select("term", "estimate"),
+        glm.tidy(spark, MQ.group_model(spark, d, "acting")).select("term", "estimate"),
     )
     return effects.select(
         "term",
@@ -469,11 +464,14 @@ _LISTED = """(SELECT *, CAST(pos <= CASE WHEN n > 60 THEN 3 WHEN n > 24 THEN 2 E
 )
 def rp_41(spark: SparkSession, d: str) -> DataFrame:
     """Dense win fractions by prior noms, wins and losses of (person, work) pairs, listed winners."""
-    noms = history.with_history(tables.nominations(spark, d), style="pair")
-    sized = groupwise.with_group_stats(noms, CONTEST, n=F.count(F.lit(1))).filter("n >= 5")
-    sizes = cohorts.count_by(noms, CONTEST).filter("n > 24")
-    overrides = sizes.select(*CONTEST, F.when(F.col("n") > 60, 3).otherwise(2).alias("k"))
-    listed = enrich.with_seeded_winners(tables.with_listing_pos(sized), overrides, CONTEST)
+    noms = tables.nominations(spark, d)
+    sizes = cohorts.count_by(noms, CONTEST)
+    overrides = sizes.filter("n > 24").select(*CONTEST, F.when(F.col("n") > 60, 3).otherwise(2).alias("k"))
+    past = history.with_history(noms, style="pair")
+    sized = past.join(sizes.filter("n >= 5").select(*CONTEST), CONTEST, "left_semi")
+    listed = enrich.with_listed_winners(
+        sized, noms, overrides, CONTEST, ["person", "work"], history.listing_order()
+    )
     # One pass over the rows: each row counts once under each of the three measures.
     measures = F.explode(
         F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("bin")) for m in ("prev_noms", "prev_wins", "prev_losses")])

@@ -36,10 +36,12 @@ def sectioned_lines(spark: SparkSession, d: str) -> DataFrame:
     One file per category group.  The line number orders year, category, month
     and listing; blocks stand for the splits of a large file and cut sections.
     """
-    noms = tables.with_listing_pos(tables.nominations(spark, d))
+    noms = tables.nominations(spark, d)
     year = (F.floor((F.col("period") - 1) / 12) + 1995).cast("bigint")
+    year_no = (year - 1900) * 10**14
     section = F.substring("category", 1, 1).cast("bigint") * 10**12
-    noms = noms.withColumn("year", year).withColumn("year_no", (year - 1900) * 10**14)
+    listed = tables.with_listing_pos(noms).withColumn("year_no", year_no)
+    noms = noms.withColumn("year", year).withColumn("year_no", year_no)
     years = noms.select("cat_group", "year", "year_no").distinct()
     heads = noms.select("cat_group", "year_no", "category").distinct()
     nominee = F.when(F.col("cat_group") == "series", F.col("work")).otherwise(
@@ -53,7 +55,7 @@ def sectioned_lines(spark: SparkSession, d: str) -> DataFrame:
     out = (
         lines(years, F.col("year_no"), F.col("year").cast("string"))
         .unionByName(lines(heads, F.col("year_no") + section, F.col("category")))
-        .unionByName(lines(noms, order, nominee))
+        .unionByName(lines(listed, order, nominee))
     )
     return out.withColumn("block", F.expr("line_no div 10000000000"))
 

@@ -101,9 +101,14 @@ def sectioned_rows(
     filled = forward_fill(
         lines.filter(text != ""), file, block, order, {"period": year, "category": category}
     )
-    fields = F.from_csv(
-        F.col(line), F.lit("work STRING, person STRING"), {"mode": "PERMISSIVE"}
+    parts = F.split(F.col(line), ",", 2)
+    plain = F.struct(
+        parts[0].alias("work"), F.try_element_at(parts, F.lit(2)).alias("person")
     )
+    # The CSV parser is only needed where a field is quoted.
+    fields = F.when(
+        F.col(line).contains('"'), F.from_csv(F.col(line), F.lit("work STRING, person STRING"))
+    ).otherwise(plain)
     nominee = number.isNull() | (number <= 1960) | (number >= 2020)
     return (
         filled.filter(nominee & ~text.isin(*categories) & (F.col("category") != ""))

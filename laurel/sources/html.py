@@ -6,79 +6,77 @@ one page at a time, no shuffle.  Links and blocks are native expressions.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
-from html.parser import HTMLParser
+from html import unescape
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-class _Cells(HTMLParser):
-    """Collects (table, row, col, tag, text, link, italic, rowspan) per table cell."""
-
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.out: list[dict] = []
-        self.tables = 0
-        self.open: list[list[int]] = []  # per open table: [number, row, next column]
-        self.cell: dict | None = None
-        self.capture: str | None = None
-
-    def handle_starttag(self, tag, attrs):
-        if tag == "table":
-            self._close_cell()
-            self.open.append([self.tables, -1, 0])
-            self.tables += 1
-        elif tag == "tr" and self.open:
-            self._close_cell()
-            self.open[-1][1] += 1
-            self.open[-1][2] = 0
-        elif tag in ("td", "th") and self.open:
-            self._close_cell()
-            number, row, col = self.open[-1]
-            span = dict(attrs).get("rowspan") or ""
-            self.cell = {
-                "table_no": number, "row_no": max(row, 0), "col_no": col, "tag": tag,
-                "text": "", "a": None, "i": None,
-                "rowspan": int(span) if span.isdigit() else 1,
-            }
-            self.open[-1][2] += 1
-        elif tag in ("a", "i") and self.cell is not None and self.cell[tag] is None:
-            self.cell[tag] = ""
-            self.capture = tag
-
-    def handle_data(self, data):
-        if self.cell is not None:
-            self.cell["text"] += data
-            if self.capture:
-                self.cell[self.capture] += data
-
-    def handle_endtag(self, tag):
-        if tag == self.capture:
-            self.capture = None
-        if tag in ("td", "th", "tr"):
-            self._close_cell()
-        elif tag == "table":
-            self._close_cell()
-            if self.open:
-                self.open.pop()
-
-    def _close_cell(self):
-        if self.cell is not None:
-            self.out.append(self.cell)
-            self.cell, self.capture = None, None
-
-    def close(self):
-        super().close()
-        self._close_cell()
+_TOKEN = re.compile(
+    r"<!--.*?-->|<(?P<raw>script|style)\b.*?</(?P=raw)\s*>"
+    r"|<(?P<end>/?)(?P<tag>[a-z][a-z0-9]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
+    re.S | re.I,
+)
+_ROWSPAN = re.compile(r"\browspan\s*=\s*[\"']?(\d+)", re.I)
 
 
 def parse_cells(html: str) -> list[dict]:
-    parser = _Cells()
-    parser.feed(html or "")
-    parser.close()
-    return parser.out
+    """Table cells of a page: table, row and column number, tag, texts, rowspan.
+
+    One pass over the tags; markup other than tables, links and italics only
+    separates text.  Cells close at the next cell, row or table tag.
+    """
+    out: list[dict] = []
+    tables = 0
+    stack: list[list[int]] = []  # per open table: [number, row, next column]
+    cell: dict | None = None
+    inner: str | None = None  # the a or i element being read
+    last = 0
+    for m in _TOKEN.finditer(html or ""):
+        if cell is not None and m.start() > last:
+            _add_text(cell, inner, html[last : m.start()])
+        last = m.end()
+        tag = (m["tag"] or "").lower()
+        if tag in ("a", "i"):
+            if m["end"]:
+                inner = None if inner == tag else inner
+            elif cell is not None and cell[tag] is None:
+                cell[tag], inner = "", tag
+        elif tag in ("table", "tr", "td", "th"):
+            if cell is not None:
+                out.append(cell)
+                cell = inner = None
+            if m["end"]:
+                if tag == "table" and stack:
+                    stack.pop()
+            elif tag == "table":
+                stack.append([tables, -1, 0])
+                tables += 1
+            elif stack and tag == "tr":
+                stack[-1][1] += 1
+                stack[-1][2] = 0
+            elif stack:
+                number, row, col = stack[-1]
+                span = _ROWSPAN.search(m["attrs"])
+                cell = {
+                    "table_no": number, "row_no": max(row, 0), "col_no": col, "tag": tag,
+                    "text": "", "a": None, "i": None, "rowspan": int(span[1]) if span else 1,
+                }
+                stack[-1][2] += 1
+    if cell is not None:
+        _add_text(cell, inner, html[last:])
+        out.append(cell)
+    return out
+
+
+def _add_text(cell: dict, inner: str | None, text: str) -> None:
+    text = unescape(text)
+    cell["text"] += text
+    if inner:
+        cell[inner] += text
 
 
 def carry_rowspans(cells: Iterable[tuple[str, int]], n_cols: int) -> Iterator[tuple[int, int, str]]:
@@ -103,25 +101,40 @@ def carry_rowspans(cells: Iterable[tuple[str, int]], n_cols: int) -> Iterator[tu
 
 CELL_SCHEMA = (
     "page string, table_no int, row_no int, col_no int, tag string, text string, "
-    "link_text string, italic_text string, rowspan int"
+    "link_text string, italic_text string, rowspan int, header string"
 )
 
 
+def _with_tables(pages: DataFrame) -> DataFrame:
+    return pages.select("page", "html").filter(F.lower("html").contains("<table"))
+
+
 def html_cells(pages: DataFrame) -> DataFrame:
-    """Every table cell of every page; ``pages`` has (page string, html string)."""
+    """Every table cell of every page; ``pages`` has (page string, html string).
+
+    ``header`` is the cell's column heading, from the first row of its table.
+    Pages without a table have no cells and never reach Python.
+    """
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = [c.split()[0] for c in CELL_SCHEMA.split(", ")]
         for batch in batches:
-            rows = [
-                (page, c["table_no"], c["row_no"], c["col_no"], c["tag"], c["text"].strip(),
-                 c["a"], c["i"], c["rowspan"])
-                for page, html in zip(batch["page"], batch["html"])
-                for c in parse_cells(html)
-            ]
+            rows = []
+            for page, html in zip(batch["page"], batch["html"]):
+                cells = parse_cells(html)
+                heads = {
+                    (c["table_no"], c["col_no"]): c["text"].strip()
+                    for c in cells
+                    if c["tag"] == "th" and c["row_no"] == 0
+                }
+                rows.extend(
+                    (page, c["table_no"], c["row_no"], c["col_no"], c["tag"], c["text"].strip(),
+                     c["a"], c["i"], c["rowspan"], heads.get((c["table_no"], c["col_no"])))
+                    for c in cells
+                )
             yield pd.DataFrame(rows, columns=columns)
 
-    return pages.select("page", "html").mapInPandas(parse, CELL_SCHEMA)
+    return _with_tables(pages).mapInPandas(parse, CELL_SCHEMA)
 
 
 def linked_cells(cells: DataFrame) -> DataFrame:
@@ -146,18 +159,13 @@ def rowspan_grid(pages: DataFrame, n_cols: int) -> DataFrame:
                 rows.extend((page, *cell) for cell in carry_rowspans(flat, n_cols))
             yield pd.DataFrame(rows, columns=["page", "row", "col", "text"])
 
-    return pages.select("page", "html").mapInPandas(lay, "page string, row int, col int, text string")
+    return _with_tables(pages).mapInPandas(lay, "page string, row int, col int, text string")
 
 
 def table_records(cells: DataFrame, columns: list[str], first_table: int, last_table: int) -> DataFrame:
     """Body rows of the tables first..last, the named columns found by header text."""
-    chosen = cells.filter(F.col("table_no").between(first_table, last_table))
-    heads = chosen.filter((F.col("tag") == "th") & (F.col("row_no") == 0)).select(
-        "page", "table_no", "col_no", F.col("text").alias("header")
-    )
-    body = chosen.filter(F.col("tag") == "td").select("page", "table_no", "row_no", "col_no", "text")
-    named = body.join(heads, ["page", "table_no", "col_no"])
-    return named.groupBy("page", "table_no", "row_no").agg(
+    body = cells.filter((F.col("tag") == "td") & F.col("table_no").between(first_table, last_table))
+    return body.groupBy("page", "table_no", "row_no").agg(
         *[F.max(F.when(F.col("header") == c, F.col("text"))).alias(c) for c in columns]
     )
 

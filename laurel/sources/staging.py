@@ -34,14 +34,25 @@ def _fingerprint(spark: SparkSession, paths: Sequence[str]) -> str:
 
 
 def staged(
-    spark: SparkSession, sf_dir: str, name: str, inputs: Sequence[str], build: Callable[[], DataFrame]
+    spark: SparkSession,
+    sf_dir: str,
+    name: str,
+    inputs: Sequence[str],
+    build: Callable[[], DataFrame],
+    spread: Sequence[str] = (),
 ) -> DataFrame:
-    """The derived table ``name``, built on first use."""
+    """The derived table ``name``, built on first use.
+
+    ``spread`` (a row key) deals the rows evenly over as many files as the
+    cluster has cores, so that later readers use all of them.
+    """
     key = name + ":" + _fingerprint(spark, [f"{sf_dir}/{t}.parquet" for t in inputs])
     with _lock:
         if key not in _tables:
             path = scratch_path(spark, f"staged-{name}")
             table = build()
+            if spread:
+                table = table.repartition(spark.sparkContext.defaultParallelism, *spread)
             table.write.parquet(path)
             _tables[key] = (path, table.schema)
     path, schema = _tables[key]

@@ -62,11 +62,14 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SOURCES = ["lineitem", "orders", "part"]
+NOMINEE_KEY = ["period", "category", "person", "work"]
 
 
 def nominations(spark: SparkSession, sf_dir: str, tie_width: int | None = None) -> DataFrame:
     """All nominees of all contests; ``tie_width`` (currency) makes near-best nominees tie."""
-    base = staged(spark, sf_dir, "nominations", SOURCES, lambda: _nominations(spark, sf_dir))
+    base = staged(
+        spark, sf_dir, "nominations", SOURCES, lambda: _nominations(spark, sf_dir), spread=NOMINEE_KEY
+    )
     if tie_width is None:
         return base.drop("cents")
     level = F.floor(F.col("cents") / (tie_width * 100))
@@ -109,31 +112,37 @@ def with_listing_pos(nominees: DataFrame) -> DataFrame:
 
 
 def shortlists(spark: SparkSession, sf_dir: str, tie_width: int | None = None) -> DataFrame:
-    """One contest per order, its lines as nominees; no aggregation, no cap."""
-    lines = _lines(spark, sf_dir)
-    level = F.col("cents") if tie_width is None else F.floor(F.col("cents") / (tie_width * 100))
-    lines = with_group_stats(
-        lines.select(
-            F.col("l_orderkey").alias("contest"),
-            "period",
-            "category",
-            "person",
-            "work",
-            F.col("l_linenumber").alias("line"),
-            F.col("l_partkey").alias("part_id"),
-            F.col("l_suppkey").alias("supp_id"),
-            "cents",
-            level.alias("level"),
-        ),
-        ["contest"],
-        best=F.max("level"),
+    """One contest per order, its lines as nominees; no aggregation, no cap.
+
+    Staged: position queries read it two to four times each.
+    """
+    base = staged(spark, sf_dir, "shortlists", SOURCES, lambda: _shortlists(spark, sf_dir))
+    if tie_width is None:
+        return base.drop("cents")
+    level = F.floor(F.col("cents") / (tie_width * 100))
+    tied = with_group_stats(base, ["contest"], __best=F.max(level))
+    return tied.withColumn("won", (level == F.col("__best")).cast("int")).drop("cents", "__best")
+
+
+def _shortlists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _lines(spark, sf_dir).select(
+        F.col("l_orderkey").alias("contest"),
+        "period",
+        "category",
+        "person",
+        "work",
+        F.col("l_linenumber").alias("line"),
+        F.col("l_partkey").alias("part_id"),
+        F.col("l_suppkey").alias("supp_id"),
+        "cents",
     )
+    lines = with_group_stats(lines, ["contest"], best=F.max("cents"))
     return (
         lines.withColumn("cat_group", cat_group())
         .withColumn("candidate", candidate_name())
-        .withColumn("won", (F.col("level") == F.col("best")).cast("int"))
+        .withColumn("won", (F.col("cents") == F.col("best")).cast("int"))
         .withColumn("score", F.col("cents") / 100.0)
-        .drop("cents", "level", "best")
+        .drop("best")
     )
 
 
