@@ -63,7 +63,7 @@ def sectioned_lines(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "sectioned_to_rows",
     "SELECT cat_group AS file, CAST((period - 1) // 12 + 1995 AS INT) AS period, category, "
-    "period * 1000000000 + pos AS pos, work, person FROM t_pos",
+    "CAST(period AS BIGINT) * 1000000000 + pos AS pos, work, person FROM t_pos",
 )
 def sectioned_to_rows(spark: SparkSession, d: str) -> DataFrame:
     rows = files.sectioned_rows(sectioned_lines(spark, d), CATEGORIES)
