@@ -190,14 +190,13 @@ def single_factor_logit(df: DataFrame, factor: str, label: str = "won") -> DataF
     variance = F.when(mixed, 1.0 / F.col("wins") + 1.0 / (F.col("n") - F.col("wins")))
     levels = levels.withColumn("logit", logit).withColumn("variance", variance)
     base = levels.agg(
-        F.min("level").alias("base"),
-        F.min_by("logit", "level").alias("base_logit"),
-        F.min_by("variance", "level").alias("base_var"),
-    )
-    is_base = F.col("level") == F.col("base")
-    estimate = F.when(is_base, F.col("logit")).otherwise(F.col("logit") - F.col("base_logit"))
-    error = F.when(is_base, F.sqrt("variance")).otherwise(F.sqrt(F.col("variance") + F.col("base_var")))
-    return levels.crossJoin(F.broadcast(base)).select(  # one base row
+        F.min_by(F.struct("level", "logit", "variance"), "level").alias("base")
+    ).scalar()
+    out = levels.withColumn("base", base)
+    is_base = F.col("level") == F.col("base.level")
+    estimate = F.when(is_base, F.col("logit")).otherwise(F.col("logit") - F.col("base.logit"))
+    error = F.sqrt(F.col("variance") + F.when(is_base, 0.0).otherwise(F.col("base.variance")))
+    return out.select(
         "level", "n", "wins", F.round(estimate, 6).alias("estimate"), F.round(error, 6).alias("std_error")
     )
 

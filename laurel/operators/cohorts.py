@@ -40,12 +40,8 @@ def count_by(df: DataFrame, keys: Sequence[str | Column]) -> DataFrame:
 
 def with_share(counts: DataFrame, value: str = "n", name: str = "share") -> DataFrame:
     """Value over its total; meant for the small aggregated table."""
-    total = counts.agg(F.sum(value).alias("__t"))
-    return (
-        counts.crossJoin(F.broadcast(total))  # one row
-        .withColumn(name, F.round(F.try_divide(F.col(value), F.col("__t").cast("double")), 6))
-        .drop("__t")
-    )
+    total = counts.agg(F.sum(value).cast("double")).scalar()
+    return counts.withColumn(name, F.round(F.try_divide(F.col(value), total), 6))
 
 
 def prior_wins_bucket(column: str = "prev_wins") -> Column:

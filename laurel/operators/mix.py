@@ -63,11 +63,10 @@ def expected_wins(run_lengths: DataFrame, total_wins: DataFrame, last: int = 15)
         "season",
         F.sum(F.coalesce(F.col("share") / F.col("length"), F.lit(0.0))).over(above).alias("w"),
     )
-    return (
-        weights.withColumn("frac", F.try_divide(F.col("w"), F.sum("w").over(everything)))
-        .crossJoin(F.broadcast(total_wins.select("wins")))
-        .select("season", (F.col("frac") * F.col("wins")).alias("exp_wins"))
-    )
+    share = F.try_divide(F.col("w"), F.sum("w").over(everything))
+    scaled = weights.select("season", share.alias("frac"))
+    wins = total_wins.select("wins").scalar()
+    return scaled.select("season", (F.col("frac") * wins).alias("exp_wins"))
 
 
 def histogram_fixed_width(df: DataFrame, value: str, width: float, facets: list[str]) -> DataFrame:

@@ -466,8 +466,7 @@ def observed_vs_expected_wins(spark: SparkSession, d: str) -> DataFrame:
 
 
 def observed_vs_expected(counts: DataFrame) -> DataFrame:
-    total = counts.agg(F.sum("n").alias("total"))
-    out = counts.crossJoin(F.broadcast(total))  # one row
+    out = counts.withColumn("total", counts.agg(F.sum("n")).scalar())
     return out.select(
         "winner_pos", "n", "total", (F.col("total") * 0.2).alias("expected"),
         F.round(F.col("n") / F.col("total"), 6).alias("share"),

@@ -198,13 +198,13 @@ def add_reference_lines(spark: SparkSession, d: str) -> DataFrame:
     bars = hist.groupBy("prev_wins").agg(
         F.sum("won").alias("num_wins"), F.count(F.lit(1)).alias("num_tot")
     )
-    edges = bars.agg(F.min("prev_wins").alias("first"), F.max("prev_wins").alias("last"))
+    first, last = bars.agg(F.min("prev_wins")).scalar(), bars.agg(F.max("prev_wins")).scalar()
     x2 = (
-        F.when(F.col("prev_wins") == F.col("first"), 0.5)
-        .when(F.col("prev_wins") == F.col("last"), 7.5)
+        F.when(F.col("prev_wins") == first, 0.5)
+        .when(F.col("prev_wins") == last, 7.5)
         .otherwise(1.0)
     )
-    return bars.crossJoin(F.broadcast(edges)).select(  # one row of edges
+    return bars.select(
         "prev_wins", "num_wins", "num_tot", F.lit(0.2).alias("avg_line"), F.lit(0.29).alias("upper"),
         F.lit(0.12).alias("lower"), x2.alias("x2"), F.concat_ws("_", "num_wins", "num_tot").alias("identifier"),
     )

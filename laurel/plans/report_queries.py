@@ -364,9 +364,9 @@ def rp_33(spark: SparkSession, d: str) -> DataFrame:
         tables.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_semi"
     )
     expected = orders.filter(F.col("o_orderpriority") < "4").agg(
-        (F.countDistinct(tables.month_number("o_orderdate")) * 4 / 5).alias("exp_wins")
+        F.countDistinct(tables.month_number("o_orderdate")) * 4 / 5
     )
-    return counts.crossJoin(F.broadcast(expected))  # one row
+    return counts.withColumn("exp_wins", expected.scalar())
 
 
 @query("rp_34", f"SELECT category, winner_pos, count(*) AS n FROM ({winpos_sql('length(person), length(work)')}) GROUP BY CUBE (category), winner_pos")
@@ -407,8 +407,8 @@ def rp_37(spark: SparkSession, d: str) -> DataFrame:
         data = modelling_table(spark, d).filter(F.col("cat_group") == group)
         probability = glm.predict(glm.fit_glm(data, terms).coefficients)
         train = data.agg(F.lit(group).alias("model"), F.round(glm.rmse(F.col("won"), probability), 6).alias("train_rmse"))
-        test = glm.repeated_holdout(data, terms, MQ.ROW_KEY).agg(F.round(F.avg("rmse"), 6).alias("test_rmse"))
-        part = train.crossJoin(F.broadcast(test))  # one row each
+        test = glm.repeated_holdout(data, terms, MQ.ROW_KEY).agg(F.round(F.avg("rmse"), 6))
+        part = train.withColumn("test_rmse", test.scalar())
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -479,9 +479,8 @@ def rp_41(spark: SparkSession, d: str) -> DataFrame:
     found = listed.select("won_listed", measures.alias("m")).groupBy("m.measure", "m.bin").agg(
         F.sum("won_listed").alias("w"), F.count(F.lit(1)).alias("t")
     )
-    spine = cohorts.dense_spine(spark, 14, "bin").crossJoin(
-        spark.createDataFrame([("prev_noms",), ("prev_wins",), ("prev_losses",)], "measure string")
-    )  # 45 rows
+    names = F.array(F.lit("prev_noms"), F.lit("prev_wins"), F.lit("prev_losses"))
+    spine = cohorts.dense_spine(spark, 14, "bin").withColumn("measure", F.explode(names))
     wins, total = F.coalesce("w", F.lit(0)), F.coalesce("t", F.lit(0))
     return spine.join(found, ["measure", "bin"], "left").select(
         "measure", "bin", wins.alias("num_wins"), total.alias("num_tot"), F.round(F.try_divide(wins, total), 6).alias("win_frac")
