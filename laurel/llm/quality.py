@@ -32,7 +32,7 @@ MAX_REPEATED_PERCENT = 50
 SPREAD = 6
 MIN_DOCS = 50
 # measure -> least quartile distance, in the measure's unit
-LEAST_DISTANCE = {"symbols": 10, "dup_lines": 40, "repeats": 40, "word_length": 25}
+LEAST_DISTANCE = {"symbols": 10, "dup_lines": 90, "repeats": 60, "word_length": 25}
 STATS = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, n_lines bigint"
 _STATS = pa.struct([(part.split()[0], pa.int64()) for part in STATS.split(", ")])
 
