@@ -215,6 +215,7 @@ def with_roles(pages: DataFrame) -> DataFrame:
     keyed = pages.select("page_id", "url", utf8("html").alias("payload")).withColumn("sha1", F.sha1("payload"))
     kept = keyed.groupBy("sha1").agg(F.min("page_id").alias("kept_id"))
     other = (F.col("page_id") > F.col("kept_id")) | (F.col("page_id").isNull() & F.col("kept_id").isNotNull())
+    kept = written(kept, "warc-kept")  # stored, so that Spark can split a payload with very many pages
     return keyed.join(kept, "sha1").select("page_id", "url", "payload", F.when(other, F.col("kept_id")).alias("refers_to"))
 
 
