@@ -13,8 +13,8 @@ tree tells which suffixes share a node at depth ``WINDOW`` or more.
    that occurs once has a lone leaf and is dropped. If all spans of an anchor are equal, its subtree is one path whose
    leaves all lie below depth ``WINDOW``: all its windows are repeated, nothing need be built.
 3. Subtrees. The other anchors' occurrences fetch their words. Groups of at most ``GROUP`` occurrences are
-   grown word by word in one task; branches with one leaf end at once. For larger groups the prefix is extended to
-   the whole window, where a subtree is a single node and its leaves are counted by partial aggregation.
+   grown word by word in one task; branches with one leaf end at once. For larger groups the prefix is extended, by half
+   a window and then to the whole, where a subtree is a single node and its leaves are counted by partial aggregation.
 4. The words below deep nodes are dropped from their documents.
 
 Defined cases: null and empty texts have no words and stay as they are. Equal rows are separate documents, so they
@@ -104,12 +104,12 @@ def leftmost_least(values: np.ndarray, size: int) -> np.ndarray:
 
 
 def occurrences(texts: list[list[bytes]], window: int = WINDOW, prefix: int = PREFIX) -> tuple[np.ndarray, ...]:
-    """Arrays (document, first window, number of windows, anchor hash, span hash) of all windows of ``texts``."""
+    """Arrays (document, first window, number of windows, anchor's distance, anchor hash, span hash) of all windows."""
     sequence = Sequence(texts)
     n = len(sequence.sums) - 1
     if n < window:
         none = np.zeros(0, np.int64)
-        return none, none, none, none, none
+        return (none,) * 6
     firsts = np.cumsum(sequence.sizes) - sequence.sizes
     starts = np.arange(n - prefix + 1)
     grams = sequence.runs(starts, starts + prefix)
@@ -119,13 +119,13 @@ def occurrences(texts: list[list[bytes]], window: int = WINDOW, prefix: int = PR
     inside = start - firsts[document] + window <= sequence.sizes[document]
     start, anchor, document = start[inside], anchor[inside], document[inside]
     if not len(start):
-        return start, start, start, start, start
+        return (start,) * 6
     new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (document[1:] != document[:-1])])
     first = np.flatnonzero(new)
     count = np.diff(np.append(first, len(start)))
     begin, at, owner = start[first], anchor[first], document[first]
     span = mixed(sequence.runs(begin, begin + count + window - 1) + ((at - begin) * 4096 + count).astype(np.uint64))
-    return owner, begin - firsts[owner], count, grams[at].view(np.int64), span.view(np.int64)
+    return owner, begin - firsts[owner], count, at - begin, grams[at].view(np.int64), span.view(np.int64)
 
 
 def chunks(texts: Iterable[bytes]) -> Iterator[tuple[int, list[list[bytes]]]]:
@@ -145,21 +145,27 @@ OCCURRENCE = "doc_id bigint, row_key bigint, place bigint, anchor bigint, span b
 _OCCURRENCE = pa.schema([(part.split()[0], pa.int64()) for part in OCCURRENCE.split(", ")])
 SPOT = "doc_id bigint, row_key bigint, place bigint"
 _SPOT = pa.schema([(part.split()[0], pa.int64()) for part in SPOT.split(", ")])
-COUNT_BITS = 12  # a place is (first window << COUNT_BITS) + number of windows
+# A place packs the first window (from bit 12), the anchor's distance from it (6 bits) and the number of windows (6 bits).
+START_BIT, SMALL = 12, 63
 
 
-def place(start, count):
-    return (start << COUNT_BITS) + count
+def place(start, count, anchor=0):
+    return (start << START_BIT) + (anchor << 6) + count
+
+
+def unpacked(packed: int) -> tuple[int, int, int]:
+    """(first window, anchor's distance, number of windows) of a place."""
+    return packed >> START_BIT, (packed >> 6) & SMALL, packed & SMALL
 
 
 def _find_occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first, texts in chunks(value.as_py() for value in batch.column(2)):
-            owner, start, count, anchor, span = occurrences(texts)
+            owner, start, count, away, anchor, span = occurrences(texts)
             if len(owner):
                 rows = pa.array(owner + first)
                 columns = [batch.column(0).take(rows), batch.column(1).take(rows)]
-                columns += [pa.array(c) for c in (place(start, count), anchor, span)]
+                columns += [pa.array(c) for c in (place(start, count, away), anchor, span)]
                 yield pa.RecordBatch.from_arrays(columns, schema=_OCCURRENCE)
 
 
@@ -181,7 +187,7 @@ def repeated_occurrences(docs: DataFrame) -> DataFrame:
         .filter("n > 1")
         .select("anchor", (F.col("low") != F.col("high")).alias("branches"))
     )
-    return found.join(anchors, "anchor")
+    return found.join(written(anchors, "suffix-anchors"), "anchor")  # stored, so that Spark can split hot anchors
 
 
 def deep_leaves(suffixes: list[tuple[int, int]], words: list[list[bytes]], depth: int = WINDOW) -> Iterator[tuple[int, int]]:
@@ -226,7 +232,7 @@ def _grow_trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             _, n, doc_id, row_key, packed, _ = group[sequence]
             if n == 1:  # a class of several occurrences is repeated as a whole
                 for first, length in _runs(starts):
-                    yield doc_id, row_key, place((packed >> COUNT_BITS) + first, length)
+                    yield doc_id, row_key, place((packed >> START_BIT) + first, length)
 
     def rows() -> Iterator[tuple]:
         group: list[tuple] = []
@@ -262,19 +268,63 @@ def _span_words(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Arr
 
 
 def _slice(words: list[bytes], packed: int) -> bytes:
-    start, count = packed >> COUNT_BITS, packed & ((1 << COUNT_BITS) - 1)
+    start, _, count = unpacked(packed)
     return b" ".join(words[start : start + count + WINDOW - 1])
 
 
-def _window_hashes(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    for spans in batches:
+def _digest(words: list[bytes]) -> bytes:
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+
+
+def _longer_prefixes(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """Two extended prefixes of each span: the anchor with half a window's other words before it, and after it.
+
+    Every window of the span holds one of them; null where no window of the span reaches as far.
+    """
+    half = (WINDOW - PREFIX + 1) // 2
+    for spans, places in batches:
+        out = []
+        for span, packed in zip(spans, places, strict=True):
+            words, (_, anchor, _) = span.as_py().split(), unpacked(packed.as_py())
+            after = words[anchor : anchor + PREFIX + half]
+            before = words[max(anchor - half, 0) : anchor + PREFIX]
+            out.append([_digest(w) if len(w) == PREFIX + half else None for w in (before, after)])
+        yield pa.array(out, pa.list_(pa.binary()))
+
+
+def _window_hashes(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """(window, hash) of the windows that hold the anchor with half a window before (side 0) or after it (side 1)."""
+    half = (WINDOW - PREFIX + 1) // 2
+    for spans, places, sides in batches:
         hashes = []
-        for span in spans:
-            words = span.as_py().split()
-            hashes.append(
-                [hashlib.blake2b(b" ".join(words[s : s + WINDOW]), digest_size=16).digest() for s in range(len(words) - WINDOW + 1)]
-            )
-        yield pa.array(hashes, pa.list_(pa.binary()))
+        for span, packed, side in zip(spans, places, sides, strict=True):
+            words, (start, anchor, count) = span.as_py().split(), unpacked(packed.as_py())
+            reach = range(max(anchor - half + 1, 0), count) if side.as_py() else range(min(anchor - half + 1, count))
+            hashes.append([{"place": place(start + s, 1), "hash": _digest(words[s : s + WINDOW])} for s in reach])
+        yield pa.array(hashes, pa.list_(pa.struct([("place", pa.int64()), ("hash", pa.binary())])))
+
+
+def extended_groups(classes: DataFrame) -> DataFrame:
+    """Repeated windows of classes in large groups (n, doc_id, row_key, place, words): prefixes are extended.
+
+    First to the anchor and half a window on one side of it; only where that is shared, to the whole window. Leaves are
+    counted by partial aggregation.
+    """
+    prefixes = F.arrow_udf("array<binary>")(_longer_prefixes)("words", "place")
+    sided = classes.select("*", F.posexplode(prefixes).alias("side", "prefix")).filter("prefix is not null")
+    shared = written(_repeated(sided, "side", "prefix"), "suffix-prefixes")
+    windows = F.arrow_udf("array<struct<place:bigint,hash:binary>>")(_window_hashes)("words", "place", "side")
+    grown = (
+        sided.join(shared, ["side", "prefix"])
+        .select("n", "doc_id", "row_key", F.explode(windows).alias("w"))
+        .select("n", "doc_id", "row_key", "w.*")
+    )
+    whole = written(_repeated(grown, "hash"), "suffix-windows")
+    return grown.filter("n = 1").join(whole, "hash").select("doc_id", "row_key", "place")
+
+
+def _repeated(suffixes: DataFrame, *prefix: str) -> DataFrame:
+    return suffixes.groupBy(*prefix).agg(F.sum("n").alias("leaves")).filter("leaves > 1").select(*prefix)
 
 
 def packed_documents(docs: DataFrame) -> DataFrame:
@@ -292,7 +342,7 @@ def repeated_places(docs: DataFrame) -> DataFrame:
     )
     classes = written(classes.select("anchor", "span", "n", "first.*"), "suffix-classes")
     groups = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("size"), F.min("n").alias("least")).filter("least = 1")
-    needed = classes.join(groups, "anchor").select("anchor", "n", "size", "doc_id", "row_key", "place")
+    needed = classes.join(written(groups, "suffix-groups"), "anchor").select("anchor", "n", "size", "doc_id", "row_key", "place")
     by_text = needed.groupBy("doc_id", "row_key").agg(
         F.collect_list(F.struct("anchor", "n", "size", "place")).alias("spots")
     )
@@ -313,14 +363,7 @@ def repeated_places(docs: DataFrame) -> DataFrame:
         .sortWithinPartitions("anchor")
         .mapInArrow(_grow_trees, SPOT)
     )
-    windows = (
-        fetched.filter(F.col("size") > GROUP)
-        .select("n", "doc_id", "row_key", "place", F.posexplode(F.arrow_udf("array<binary>")(_window_hashes)("words")))
-        .select("n", "doc_id", "row_key", F.col("col").alias("hash"),
-                ((F.shiftright("place", COUNT_BITS) + F.col("pos")) * (1 << COUNT_BITS) + 1).alias("place"))
-    )
-    common = windows.groupBy("hash").agg(F.sum("n").alias("leaves")).filter("leaves > 1").select("hash")
-    extended = windows.filter("n = 1").join(common, "hash").select("doc_id", "row_key", "place")
+    extended = extended_groups(fetched.filter(F.col("size") > GROUP))
     same = classes.filter("n > 1").select("anchor", "span")
     whole = found.filter("branches").join(same, ["anchor", "span"], "left_semi").unionByName(found.filter("not branches"))
     spots = whole.select("doc_id", "row_key", "place")
@@ -337,7 +380,7 @@ def kept_words(words: list[bytes], places: Iterable[int] | None) -> list[bytes]:
     """The words outside all repeated windows."""
     kept, done = [], 0
     for packed in sorted(places or ()):
-        start, count = packed >> COUNT_BITS, packed & ((1 << COUNT_BITS) - 1)
+        start, _, count = unpacked(packed)
         kept += words[done:start]
         done = max(done, start + count + WINDOW - 1)
     return kept + words[done:]
@@ -369,7 +412,8 @@ def remove_repeats(docs: DataFrame, whole: bool = False) -> DataFrame:
 
     ``kept`` holds the remaining words joined by one space; with ``whole``, a text that loses nothing stays as it is.
     """
-    spots = repeated_places(docs).groupBy("doc_id", "row_key").agg(F.collect_set("place").alias("places")).alias("s")
+    spots = repeated_places(docs).groupBy("doc_id", "row_key").agg(F.collect_set("place").alias("places"))
+    spots = written(spots, "suffix-spots").alias("s")
     packed = (
         docs.select(
             F.col("doc_id").cast("bigint").alias("doc_id"),
