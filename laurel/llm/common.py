@@ -30,8 +30,19 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+TEXTS_PER_BATCH = 1000
+
+
 def utf8(text: Column | str) -> Column:
-    """Text as UTF-8 bytes, null as empty."""
+    """Text as UTF-8 bytes, null as empty, for Python functions.
+
+    Spark hands rows to Python in batches of a number of rows, whatever their length; the session's number is lowered to
+    TEXTS_PER_BATCH, so that batches of long texts stay small.
+    """
+    spark = SparkSession.active()
+    if not 0 < int(spark.conf.get(BATCH_ROWS)) <= TEXTS_PER_BATCH:
+        spark.conf.set(BATCH_ROWS, TEXTS_PER_BATCH)
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")).cast("binary")
 
 

@@ -38,7 +38,7 @@ WINDOW = 35
 PREFIX = 8
 GROUP = 256  # occurrences of an anchor that one task grows a tree for
 STEP = 7  # words by which a subtree grows at a time
-CHUNK = 1 << 20  # bytes of text hashed at a time, unless one document is longer
+CHUNK = 1 << 18  # bytes of text hashed at a time, unless one document is longer
 
 _BYTE = np.uint64(0x9E3779B97F4A7C15)
 _WORD = np.uint64(0xD6E8FEB86659FD93)
