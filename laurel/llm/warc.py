@@ -41,7 +41,8 @@ DICTIONARY_MAGIC = 0x184D2A5D
 ZSTD_MAGIC = 0xFD2FB528
 DICTIONARY_BYTES = 16 * 1024
 DICTIONARY_PAGES = 200  # pages a task's dictionary is trained on
-ARCHIVE_BYTES = 16 << 20
+ARCHIVE_BYTES = 8 << 20
+READ_BYTES = 8 << 20  # archive bytes that a reading task gets on average
 RECORD_ID = "urn:laurel:page:"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -272,5 +273,6 @@ def _read_archives(with_payload: bool):
 
 def read_archives(manifest: DataFrame, with_payload: bool = True) -> DataFrame:
     """One row per record of the archives that the manifest names, read back and validated."""
-    spread = manifest.select("path", "records").repartition("path")
+    n_bytes = manifest.agg(F.sum("bytes")).first()[0] or 0
+    spread = manifest.select("path", "records").repartition(n_bytes // READ_BYTES + 1, "path")  # as many tasks as the bytes ask for
     return spread.mapInArrow(_read_archives(with_payload), RECORDS)
