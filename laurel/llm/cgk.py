@@ -23,8 +23,8 @@ tables give empty results.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +41,7 @@ LEAST_WORDS = 5
 EDITS_FROM = 8  # shorter items must match word for word
 BLOCK_ITEMS = 20_000
 SEED = 20
+TRIALS = 200  # trial mutations for each class of lengths
 MOST_REPETITIONS = 256  # of the trial; walks are made up to the number that reaches RECALL
 GRAM = 3
 FILTER_BITS = 24
@@ -60,31 +61,40 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def walks(symbols: np.ndarray, starts: np.ndarray, size: int, repetition: int, places: np.ndarray) -> np.ndarray:
-    """Hash of the walk's symbols at ``places`` (ascending), for windows of ``size`` symbols at ``starts``.
+def coins(n_symbols: int, repetition: int, part: int) -> np.ndarray:
+    """For every symbol 64 random bits: whether the walk moves on at steps 64 * part to 64 * part + 63."""
+    return _mixed(np.arange(n_symbols, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((repetition << 8) + part + 1))
 
-    ``symbols`` must have ``size`` symbols of padding behind the last start.
+
+def walks(symbols: np.ndarray, starts: np.ndarray, n_symbols: int, repetition: int, places: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Follows the walk from each start; yields the walkers' numbers and the symbols at each of ``places`` (ascending).
+
+    The caller may send back which of these walkers go on.
     """
-    at = np.zeros(len(starts), np.int64)
-    key = np.full(len(starts), np.uint64(repetition + 1))
-    wanted = set(places.tolist())
-    for step in range(int(places[-1]) + 1):
-        symbol = np.where(at < size, symbols[starts + np.minimum(at, size - 1)], np.uint64(0))
-        if step in wanted:
-            key = _mixed(key * np.uint64(0x9E3779B97F4A7C15) + symbol)
-        coin = _mixed(symbol ^ np.uint64((repetition << 20) + step + 1))
-        at += (coin & np.uint64(1)).astype(np.int64)
-    return key
-
-
-def sampled_places(size: int, repetition: int) -> np.ndarray:
+    at, walker = starts.copy(), np.arange(len(starts))
+    table, part = None, -1
+    for step in range(places[-1] + 1):
+        symbol = symbols[at]
+        if step in places:
+            going = yield walker, symbol
+            if going is not None:
+                at, walker, symbol = at[going], walker[going], symbol[going]
+                if not len(at):
+                    return
+        if step >> 6 != part:
+            part = step >> 6
+            table = coins(n_symbols, repetition, part)
+        at += ((table[symbol] >> np.uint64(step & 63)) & np.uint64(1)).astype(np.int64)
+
+
+def sampled_places(size: int, repetition: int) -> list[int]:
     """The places of the walk that a repetition samples, for windows of ``size``; early enough to lie inside it."""
     draw = np.random.default_rng([SEED, size, repetition])
-    return np.sort(draw.choice(max(int(1.5 * size), SAMPLED), SAMPLED, replace=False))
+    return sorted(draw.choice(max(int(1.5 * size), SAMPLED), SAMPLED, replace=False).tolist())
 
 
 class Items:
-    """One block of benchmark items with their LSH tables."""
+    """One block of benchmark items with their LSH tables. Built on the driver, sent to the executors."""
 
     def __init__(self, rows: list[tuple[int, str]]) -> None:
         self.vocabulary: dict[bytes, int] = {}
@@ -93,101 +103,129 @@ class Items:
             words = words_of((text or "").encode())
             if len(words) >= LEAST_WORDS:
                 codes = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words]
-                self.items.append((item_id, np.array(codes, np.uint64)))
+                self.items.append((item_id, np.array(codes, np.int64)))
         self.items.sort(key=lambda item: len(item[1]))
-        # classes: the least length, and the items up to an eighth longer
-        self.classes: dict[int, list[int]] = {}
+        self.classes: dict[int, list[int]] = {}  # least length -> the items up to an eighth longer
         least = 0
         for number, (_, codes) in enumerate(self.items):
             if not least or len(codes) > least * 9 // 8:
                 least = len(codes)
             self.classes.setdefault(least, []).append(number)
+        if (len(self.vocabulary) + 1) ** SAMPLED >= 1 << 63:
+            raise ValueError("too many different words in a block of items")
+        self.longest = len(self.items[-1][1]) if self.items else 0
         self.filter = np.zeros(1 << FILTER_BITS, bool)
         for _, codes in self.items:
             self.filter[gram_cells(codes)] = True
-        self.repetitions = {size: self._repetitions(size, members) for size, members in self.classes.items()}
-        self.tables = {size: [self._table(size, members, r) for r in range(self.repetitions[size])]
-                       for size, members in self.classes.items()}
+        self.tables = {size: self._tables(size, members) for size, members in self.classes.items()}
 
-    def _keys(self, size: int, windows: list[np.ndarray], repetition: int) -> np.ndarray:
-        padded = np.zeros((len(windows), 2 * size), np.uint64)
+    def _walk(self, size: int, windows: list[np.ndarray], repetition: int) -> np.ndarray:
+        """The sampled symbols of each window, one row a window."""
+        width = 2 * size + self.longest
+        padded = np.zeros((len(windows), width), np.int64)
         for row, window in zip(padded, windows, strict=True):
-            row[: min(len(window), size)] = window[:size]
-        return walks(padded.reshape(-1), np.arange(len(windows)) * 2 * size, size, repetition, sampled_places(size, repetition))
-
-    def _repetitions(self, size: int, members: list[int]) -> int:
-        """Repetitions after which RECALL of the trial mutations have met their item."""
-        if not edits_allowed(size):
-            return 1
+            row[: len(window)] = window
+        starts = np.arange(len(windows)) * width
+        seen = walks(padded.reshape(-1), starts, len(self.vocabulary) + 1, repetition, sampled_places(size, repetition))
+        return np.stack([symbols for _, symbols in seen], 1)
+
+    def _keys(self, seen: np.ndarray) -> list[np.ndarray]:
+        """The sampled symbols as one number each, for every number of leading samples."""
+        base, keys = len(self.vocabulary) + 1, [np.zeros(len(seen), np.int64)]
+        for column in seen.T:
+            keys.append(keys[-1] * base + column)
+        return keys[1:]
+
+    def _tables(self, size: int, members: list[int]) -> list[tuple[list[np.ndarray], dict[int, list[int]]]]:
+        """For each repetition the known leading samples (sorted) and the items by all samples.
+
+        As many repetitions as find RECALL of the trial mutations.
+        """
+        tables: list[tuple[list[np.ndarray], dict[int, list[int]]]] = []
         draw = np.random.default_rng([SEED, size])
-        chosen = [members[i % len(members)] for i in range(max(64, min(len(members), 512)))]
-        plain = [self.items[n][1] for n in chosen]
-        changed = [mutated(codes, edits_allowed(len(codes)), draw) for codes in plain]
-        met = np.zeros(len(plain), bool)
-        for repetition in range(MOST_REPETITIONS):
-            met |= self._keys(size, plain, repetition) == self._keys(size, changed, repetition)
-            if met.mean() >= RECALL:
-                return repetition + 1
-        return MOST_REPETITIONS
-
-    def _table(self, size: int, members: list[int], repetition: int) -> tuple[np.ndarray, np.ndarray]:
-        keys = self._keys(size, [self.items[n][1] for n in members], repetition)
-        order = np.argsort(keys, kind="stable")
-        return keys[order], np.array(members)[order]
-
-    def search(self, text: bytes) -> list[tuple[int, int, int]]:
-        """(item number, first word, edits) of the best place of every item found in ``text``."""
-        if not self.items:
-            return []
-        codes = np.fromiter((self.vocabulary.get(w, 0) for w in words_of(text)), np.uint64)
-        n = len(codes)
-        if n < LEAST_WORDS - 1:
-            return []
-        hits = np.zeros(n + 1, np.int64)
-        if n >= GRAM:
-            known = self.filter[gram_cells(codes)] & (codes[:-2] > 0) & (codes[1:-1] > 0) & (codes[2:] > 0)
-            hits[1 : n - 1] = known
-            np.cumsum(hits, out=hits)
-            hits[n - 1 :] = hits[n - 2]
-        if hits[n] == 0:
-            return []
-        found: dict[int, tuple[int, int]] = {}
+        chosen = [members[i % len(members)] for i in range(max(TRIALS, len(members)))]
+        changed = [mutated(self.items[n][1], edits_allowed(len(self.items[n][1])), draw) for n in chosen]
+        met = np.zeros(len(changed), bool)
+        while not tables or (met.mean() < RECALL and len(tables) < MOST_REPETITIONS):
+            own = self._walk(size, [self.items[n][1] for n in members], len(tables))
+            trial = self._walk(size, changed, len(tables))
+            met |= (own[np.arange(len(changed)) % len(members)] == trial).all(1)
+            keys = self._keys(own)
+            by_key: dict[int, list[int]] = {}
+            for number, key in zip(members, keys[-1].tolist(), strict=True):
+                by_key.setdefault(key, []).append(number)
+            tables.append(([np.unique(k) for k in keys], by_key))
+        return tables
+
+    def candidates(self, codes: np.ndarray, hits: np.ndarray) -> set[tuple[int, int]]:
+        """(item, start) of all windows of ``codes`` that agree with an item in all samples of some repetition."""
+        n, found, base = len(hits) - 1, set(), len(self.vocabulary) + 1
         for size, members in self.classes.items():
             longest = len(self.items[members[-1]][1])
-            edits = edits_allowed(longest)
             least = max(size - (GRAM - 1) - GRAM * edits_allowed(size), 1)
-            if hits[n] < least:
-                continue
-            ends = np.minimum(np.arange(n) + longest + edits, n)
+            ends = np.minimum(np.arange(n) + longest + edits_allowed(longest), n)
             starts = np.flatnonzero(hits[ends] - hits[:n] >= least)
             if not len(starts):
                 continue
-            padded = np.concatenate([codes, np.zeros(2 * size, np.uint64)])
-            candidates = set()
-            for repetition, (keys, numbers) in enumerate(self.tables[size]):
-                got = walks(padded, starts, size, repetition, sampled_places(size, repetition))
-                low, high = np.searchsorted(keys, got, "left"), np.searchsorted(keys, got, "right")
-                for place in np.flatnonzero(high > low):
-                    candidates.update((int(k), int(starts[place])) for k in numbers[low[place] : high[place]])
-            for number, start in sorted(candidates):
-                if number in found and found[number][1] == 0:
-                    continue
-                item = self.items[number][1]
-                allowed = edits_allowed(len(item))
-                begin = max(start - allowed, 0)
-                stretch = codes[begin : start + len(item) + 2 * allowed]
-                if np.isin(item, stretch).sum() < len(item) - allowed:
-                    continue
-                edits, first = best_place(item, stretch)
-                if edits <= allowed and (number not in found or edits < found[number][1]):
-                    found[number] = (begin + first, edits)
-        return [(number, first, edits) for number, (first, edits) in sorted(found.items())]
+            for repetition, (leading, by_key) in enumerate(self.tables[size]):
+                walk = walks(codes, starts, base, repetition, sampled_places(size, repetition))
+                going, key = None, np.zeros(len(starts), np.int64)
+                for depth, known in enumerate(leading):
+                    walker, symbol = walk.send(going) if depth else next(walk)
+                    key = (key if going is None else key[going]) * base + symbol
+                    going = known[np.minimum(np.searchsorted(known, key), len(known) - 1)] == key
+                    if not going.any():
+                        break
+                for place, value in zip(walker[going].tolist(), key[going].tolist(), strict=True):
+                    found.update((number, int(starts[place])) for number in by_key[value])
+        return found
+
+    def search(self, texts: list[bytes]) -> list[list[tuple[int, int, int]]]:
+        """For each text (item number, first word, edits) of the best place of every item found in it."""
+        found: list[dict[int, tuple[int, int]]] = [{} for _ in texts]
+        if not self.items:
+            return [[] for _ in texts]
+        coded, offsets, total = [], [], 0
+        for text in texts:
+            words = words_of(text)
+            coded.append(np.fromiter(map(self.vocabulary.get, words, repeat(0)), np.int64, len(words)))
+            coded.append(np.zeros(GRAM, np.int64))  # no sequence reaches from text to text
+            offsets.append(total)
+            total += len(words) + GRAM
+        codes = np.concatenate([*coded, np.zeros(3 * self.longest, np.int64)])
+        known = self.filter[gram_cells(codes)] & (codes[:-2] > 0) & (codes[1:-1] > 0) & (codes[2:] > 0)
+        hits = np.concatenate([[0], np.cumsum(known[:total])])
+        offset = np.array(offsets)
+        verified: dict[tuple[int, bytes], tuple[int, int]] = {}
+        close = []
+        for number, start in sorted(self.candidates(codes, hits)):
+            at = int(np.searchsorted(offset, start, "right")) - 1
+            local, item = start - offsets[at], self.items[number][1]
+            if np.array_equal(coded[2 * at][local : local + len(item)], item):
+                found[at].setdefault(number, (local, 0))
+            else:
+                close.append((number, at, local))
+        for number, at, local in close:
+            item, best = self.items[number][1], found[at].get(number)
+            allowed = edits_allowed(len(item))
+            begin = max(local - allowed, 0)
+            stretch = coded[2 * at][begin : local + len(item) + 2 * allowed]
+            if (best and best[1] == 0) or np.isin(item, stretch).sum() < len(item) - allowed:
+                continue
+            key = number, stretch.tobytes()
+            if key not in verified:
+                verified[key] = best_place(item, stretch)
+            edits, first = verified[key]
+            if edits <= allowed and (best is None or (edits, begin + first) < (best[1], best[0])):
+                found[at][number] = (begin + first, edits)
+        return [[(number, *place) for number, place in sorted(held.items())] for held in found]
 
 
 def gram_cells(codes: np.ndarray) -> np.ndarray:
     """Cells of the three-word sequences in the filter."""
     if len(codes) < GRAM:
         return np.zeros(0, np.int64)
+    codes = codes.astype(np.uint64)
     grams = (codes[:-2] * np.uint64(0x9E3779B1) + codes[1:-1]) * np.uint64(0x85EBCA77) + codes[2:]
     return (_mixed(grams) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
 
@@ -198,7 +236,7 @@ def mutated(codes: np.ndarray, edits: int, draw: np.random.Generator) -> np.ndar
     for _ in range(edits):
         at, kind = int(draw.integers(len(out))), int(draw.integers(3))
         out[at : at + (kind != 0)] = [] if kind == 1 else [0]
-    return np.array(out, np.uint64)
+    return np.array(out, np.int64)
 
 
 def best_place(item: np.ndarray, stretch: np.ndarray) -> tuple[int, int]:
@@ -221,16 +259,6 @@ def best_place(item: np.ndarray, stretch: np.ndarray) -> tuple[int, int]:
     return costs[best], begins[best]
 
 
-_built: dict[str, Items] = {}
-
-
-def _items(block: Broadcast) -> Items:
-    name, rows = block.value
-    if name not in _built:
-        _built[name] = Items(rows)
-    return _built[name]
-
-
 HIT = "array<struct<item_id:bigint,first_word:bigint,edits:bigint>>"
 _HIT = pa.list_(pa.struct([("item_id", pa.int64()), ("first_word", pa.int64()), ("edits", pa.int64())]))
 
@@ -238,10 +266,10 @@ _HIT = pa.list_(pa.struct([("item_id", pa.int64()), ("first_word", pa.int64()),
 def _searcher(block: Broadcast):
     @F.arrow_udf(HIT)
     def search(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        items = _items(block)
+        items = block.value
         for batch in batches:
-            hits = [items.search(value.as_py()) for value in batch]
-            named = [[(items.items[n][0], first, edits) for n, first, edits in found] for found in hits]
+            found = items.search([value.as_py() for value in batch])
+            named = [[(items.items[n][0], first, edits) for n, first, edits in row] for row in found]
             yield pa.array([[dict(zip(("item_id", "first_word", "edits"), h, strict=True)) for h in row] for row in named], _HIT)
 
     return search
@@ -262,7 +290,7 @@ def item_blocks(benchmark: DataFrame, size: int = BLOCK_ITEMS) -> Iterator[list[
 def hits(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> Column:
     """An array column of (item_id, first_word, edits) for each row of ``docs``."""
     context = docs.sparkSession.sparkContext
-    blocks = [context.broadcast((uuid.uuid4().hex, block)) for block in item_blocks(benchmark)]
+    blocks = [context.broadcast(Items(block)) for block in item_blocks(benchmark)]
     if not blocks:
         return F.lit(None).cast(HIT)
     return F.concat(*(_searcher(block)(utf8(text)) for block in blocks))
