@@ -151,12 +151,12 @@ def thresholds(docs: DataFrame, stats: str = "stats", lang: str = "lang", source
         return df.select(*(F.col(c).alias(prefix + c) for c in df.columns))
 
     by_lang = renamed(limits(merged(sketch, "g_lang"), "g_lang"), "l_")
-    overall = renamed(limits(merged(sketch)), "a_")
-    joined = own.join(by_lang, F.col("g_lang").eqNullSafe(F.col("l_g_lang"))).join(overall, F.lit(True), "left")
+    overall = limits(merged(sketch)).first()  # one row of limits
+    joined = own.join(by_lang, F.col("g_lang").eqNullSafe(F.col("l_g_lang")))
     picked = [
         F.when(F.col("n_docs") >= MIN_DOCS, F.col(c))
         .when(F.col("l_n_docs") >= MIN_DOCS, F.col(f"l_{c}"))
-        .otherwise(F.col(f"a_{c}"))
+        .otherwise(F.lit(overall[c]))
         .alias(c)
         for c in names
         if c != "n_docs"
