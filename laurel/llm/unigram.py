@@ -6,8 +6,8 @@ rules are those of the tokenizer: among equal scores the earliest start (the lon
 without a piece of its own scores ``least score - 10``, and such a character counts its bytes where the vocabulary
 has all byte pieces, else a run of them counts one. Scores add up in double precision, left to right.
 
-A text is cut before every space, each part written with the space mark in front, as the tokenizer does; the count
-of a part is remembered, so a frequent word is worked out once per process.
+Spaces become space marks, one stands in front of the text, and the text is cut before every mark, as the tokenizer
+does; the count of a part is remembered, so a frequent word is worked out once per process.
 
 The vocabulary file is a parameter. The files at hand hold merge ranks as scores; they are read as log scores as
 they stand, which gives a unigram tokenizer over the same pieces.
@@ -49,7 +49,8 @@ class Unigram:
         if not text:
             return 0
         total, known = 0, self.remembered
-        for part in text.split(" "):
+        marked = text.replace(" ", MARK)
+        for part in marked.removeprefix(MARK).split(MARK):  # a text that begins with a mark gets no second one
             n = known.get(part)
             if n is None:
                 if len(known) >= REMEMBERED:
