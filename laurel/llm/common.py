@@ -62,7 +62,7 @@ def per_text(function: Callable[[bytes], tuple], schema: pa.StructType):
                 fields=list(schema),
             )
 
-    return run
+    return run.asNondeterministic()  # costly: never copied into a filter or a second projection
 
 
 def batches_of(rows: Iterator[tuple], schema: pa.Schema, size: int = 4096) -> Iterator[pa.RecordBatch]:

@@ -19,7 +19,8 @@ A group of more than ``SLICE`` fingerprints is dealt into slices, and every two
 Components: alternating large-star and small-star steps over the links, each written to the shared folder.
 
 Defined cases: null and empty texts have fingerprint zero and are linked like others. Null ids take part; a component
-is named by its smallest non-null id. Equal rows share a fingerprint. An empty table gives an empty result.
+is named by its smallest non-null id; where all ids are null, one row of each fingerprint counts as first. Equal rows
+share a fingerprint. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -73,7 +74,8 @@ def _fingerprints(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
 
 
 def with_fingerprint(docs: DataFrame, into: str = "fp", text: str = "text") -> DataFrame:
-    return docs.withColumn(into, F.arrow_udf("bigint")(_fingerprints)(utf8(text)))
+    prints = F.arrow_udf("bigint")(_fingerprints).asNondeterministic()  # costly: never copied into a filter
+    return docs.withColumn(into, prints(utf8(text)))
 
 
 def as_hex(fp: str | Column) -> Column:
