@@ -79,16 +79,30 @@ def dense_spine(spark: SparkSession, last: int, name: str, first: int = 0) -> Da
     return spark.range(first, last + 1).select(F.col("id").alias(name))
 
 
+def spine_of(found: DataFrame, key: str, first: int | None = 0, groups: Sequence[str] = ()) -> DataFrame:
+    """Every bin from ``first`` (None: the least found) to the largest found, for each group of ``found``.
+
+    A negative bin below ``first`` is never lost: the spine then begins there.
+    """
+    least = F.min(key) if first is None else F.least(F.min(key), F.lit(first))
+    ends = found.groupBy(*groups).agg(least.alias("__first"), F.max(key).alias("__last")).filter("__last is not null")
+    bins = F.sequence(F.col("__first").cast("bigint"), F.greatest("__first", "__last").cast("bigint"))
+    return ends.select(*groups, F.explode(bins).alias(key))
+
+
 def dense_win_fraction(
-    df: DataFrame, key: str, last: int, first: int = 0, won: str | Column = "won"
+    df: DataFrame, key: str, first: int | None = 0, won: str | Column = "won"
 ) -> DataFrame:
-    """Wins and totals for every bin first..last; an empty bin has no fraction."""
+    """Wins and totals for every bin from ``first`` to the largest found; an empty bin has no fraction.
+
+    Rows without a bin (null key) are not counted.
+    """
     flag = F.col(won) if isinstance(won, str) else won
     found = (
         df.groupBy(F.col(key).cast("bigint").alias(key))
         .agg(F.sum(flag.cast("bigint")).alias("w"), F.count(F.lit(1)).alias("t"))
     )
-    spine = dense_spine(df.sparkSession, last, key, first)
+    spine = spine_of(found, key, first)
     wins, total = F.coalesce("w", F.lit(0)), F.coalesce("t", F.lit(0))
     return spine.join(found, key, "left").select(
         key,

@@ -15,6 +15,7 @@ use three other shapes instead:
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,6 +23,17 @@ from pyspark.sql import functions as F
 OrderBy = Sequence["str | Column"]
 
 
+def join_null_safe(df: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join on equal keys in which null equals null: rows with a null key are one group.
+
+    Keeps the columns of ``df``, then those of ``other`` that are no keys.
+    """
+    renamed = other.select(*[F.col(k).alias(f"__key_{i}") for i, k in enumerate(keys)], *[c for c in other.columns if c not in keys])
+    matched = [F.col(k).eqNullSafe(F.col(f"__key_{i}")) for i, k in enumerate(keys)]
+    condition = F.lit(True) if not matched else reduce(Column.__and__, matched)
+    return df.join(renamed, condition, "left").drop(*[f"__key_{i}" for i in range(len(keys))])
+
+
 def with_group_stats(
     df: DataFrame, keys: Sequence[str], source: DataFrame | None = None, **stats: Column
 ) -> DataFrame:
@@ -31,7 +43,7 @@ def with_group_stats(
     the narrow table a pipeline started from keeps its plan linear.
     """
     table = (df if source is None else source).groupBy(*keys).agg(*[c.alias(name) for name, c in stats.items()])
-    return df.join(table, list(keys), "left")
+    return join_null_safe(df, table, list(keys))
 
 
 def with_running_totals(
@@ -71,7 +83,7 @@ def with_running_totals(
             for name, expr in measures.items()
         }
     rows = df.select("*", *[expr.alias(f"__in_{name}") for name, expr in inner.items()])
-    joined = rows.join(totals, keys + cell, "left")
+    joined = join_null_safe(rows, totals, keys + cell)
     return joined.select(
         *df.columns,
         *[
@@ -119,7 +131,7 @@ def with_first_rank_capped(
     join_on = list(dict.fromkeys([*keys, *row_key]))
     head = top_k(df if source is None else source, keys, order, cap - 1, name).select(*join_on, name)
     return (
-        df.join(head, join_on, "left")
+        join_null_safe(df, head, join_on)
         .select(*df.columns, F.coalesce(F.col(name), F.lit(cap)).cast("int").alias(name))
     )
 
@@ -138,6 +150,6 @@ def with_average_rank_capped(
     before = Window.partitionBy(*keys).orderBy("__i").rowsBetween(Window.unboundedPreceding, -1)
     rank = F.coalesce(F.sum("__n").over(before), F.lit(0)) + (F.col("__n") + 1) / F.lit(2.0)
     ranks = head.select(*keys, value, F.least(rank, F.lit(float(cap))).alias(name))
-    return df.join(ranks, [*keys, value], "left").select(
+    return join_null_safe(df, ranks, [*keys, value]).select(
         *df.columns, F.coalesce(F.col(name), F.lit(float(cap))).alias(name)
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from laurel.operators.cohorts import dense_spine
+from laurel.operators.cohorts import dense_spine, spine_of
 
 
 def entity_extent(ratings: DataFrame) -> DataFrame:
@@ -45,19 +45,24 @@ def expected_season_mix(ratings: DataFrame, last: int = 10, started_by: int | No
     return counts.withColumn("frac_expected", F.round(share, 6))
 
 
-def expected_wins(run_lengths: DataFrame, total_wins: DataFrame, last: int = 15) -> DataFrame:
+def expected_wins(run_lengths: DataFrame, total_wins: DataFrame, last: int | None = None) -> DataFrame:
     """Expected wins per season of life, from run lengths (column ``length``).
 
     weight(s) = sum over lengths L >= s of share(L) / L, normalised over
-    seasons 1..last and scaled by the total wins (one-row table, ``wins``).
-    Shares are of all works, also of those longer than ``last``.
+    seasons 1..last (None: the longest length) and scaled by the total wins
+    (one-row table, ``wins``). Shares are of all works, also of those longer
+    than ``last``.
     """
     hist = run_lengths.groupBy("length").agg(F.count(F.lit(1)).alias("f"))
     # Histogram rows and one-row totals only below this line.
     everything = Window.partitionBy()
     hist = hist.withColumn("share", F.col("f") / F.sum("f").over(everything))
-    hist = hist.filter(F.col("length").between(1, last))
-    spine = dense_spine(run_lengths.sparkSession, last, "season", 1)
+    hist = hist.filter("length >= 1")
+    if last is None:
+        spine = spine_of(hist.select(F.col("length").cast("bigint").alias("season")), "season", 1)
+    else:
+        hist = hist.filter(F.col("length") <= last)
+        spine = dense_spine(run_lengths.sparkSession, last, "season", 1)
     above = Window.orderBy(F.col("season").desc()).rowsBetween(Window.unboundedPreceding, 0)
     weights = spine.join(hist, spine["season"] == hist["length"], "left").select(
         "season",

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from laurel.operators.groupwise import with_position, with_running_totals, with_group_stats
 
 
-def row_hash(keys: Sequence[str], seed: int) -> Column:
-    return F.md5(F.concat_ws("|", *keys, F.lit(str(seed))))
+def row_hash(keys: Sequence[str], seed: int | Column) -> Column:
+    """Hash of the key columns and a seed, which may be a column (one seed for each repeat)."""
+    last = seed.cast("string") if isinstance(seed, Column) else F.lit(str(seed))
+    return F.md5(F.concat_ws("|", *keys, last))
 
 
 def slot_numbers(df: DataFrame, contest: Sequence[str], row_key: Sequence[str], seed: int = 0, ties: Sequence[str] = ()) -> DataFrame:
@@ -36,9 +38,9 @@ def holdout_split(df: DataFrame, keys: Sequence[str], repeat: int, fraction: flo
 
 
 def stratified_split(
-    df: DataFrame, label: str, keys: Sequence[str], repeat: int, fraction: float = 0.75
+    df: DataFrame, labels: Sequence[str], keys: Sequence[str], repeat: int | Column, fraction: float = 0.75
 ) -> DataFrame:
-    """Exact split: the first ``fraction`` of each label's rows in hash order train.
+    """Exact split: the first ``fraction`` of each stratum's rows (columns ``labels``) in hash order train.
 
     The rank is a running count over hash prefixes, so a label with most of the
     rows is still ranked by many tasks.
@@ -46,7 +48,7 @@ def stratified_split(
     hashed = df.withColumn("__h", row_hash(keys, repeat)).withColumn(
         "__p", F.substring("__h", 1, 3)
     )
-    ranked = with_running_totals(hashed, [label], ["__p"], ["__h", *keys], {"__i": F.lit(1)})
-    sized = with_group_stats(ranked, [label], __n=F.count(F.lit(1)))
+    ranked = with_running_totals(hashed, labels, ["__p"], ["__h", *keys], {"__i": F.lit(1)})
+    sized = with_group_stats(ranked, labels, __n=F.count(F.lit(1)))
     share = F.when(F.col("__n") > 1, F.col("__i") / (F.col("__n") - 1)).otherwise(F.lit(0.0))
     return sized.withColumn("train", share < fraction).drop("__h", "__p", "__i", "__n")

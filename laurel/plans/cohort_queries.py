@@ -180,9 +180,10 @@ def expected_season_mix(spark: SparkSession, d: str) -> DataFrame:
 
 
 _EXPECTED = """SELECT season, round(w / sum(w) OVER () * (SELECT sum(won) FROM t_noms), 6) AS exp_wins FROM (
-  SELECT s AS season, coalesce(sum(f / total / length) FILTER (WHERE length >= s), 0) AS w FROM range(1, 16) t(s),
+  SELECT s AS season, coalesce(sum(f / total / length) FILTER (WHERE length >= s), 0) AS w
+  FROM (SELECT unnest(generate_series(CAST(1 AS BIGINT), CAST(max(length) AS BIGINT))) AS s FROM ({runs})) t,
     (SELECT length, count(*) AS f, sum(count(*)) OVER () AS total FROM ({runs}) GROUP BY 1)
-  WHERE length BETWEEN 1 AND 15 GROUP BY 1)"""
+  WHERE length >= 1 GROUP BY 1)"""
 
 
 @query("expected_wins_by_season", _EXPECTED.format(runs=_ORDER_RUNS))
@@ -193,15 +194,16 @@ def expected_wins_by_season(spark: SparkSession, d: str) -> DataFrame:
 
 
 _DENSE = """SELECT i AS {key}, coalesce(w, 0) AS num_wins, coalesce(n, 0) AS num_tot, round(w / n, 6) AS win_frac
-  FROM range({first}, {last} + 1) t(i) LEFT JOIN (SELECT {expr} AS k, CAST(sum({won}) AS BIGINT) AS w, count(*) AS n FROM {src} GROUP BY 1) g ON t.i = g.k"""
+  FROM (SELECT unnest(generate_series(CAST({first} AS BIGINT), CAST(hi AS BIGINT))) AS i
+        FROM (SELECT min({expr}) AS lo, max({expr}) AS hi FROM {src})) t LEFT JOIN (SELECT {expr} AS k, CAST(sum({won}) AS BIGINT) AS w, count(*) AS n FROM {src} GROUP BY 1) g ON t.i = g.k"""
 
 
 @query(
     "win_fraction_dense",
-    _DENSE.format(key="prev_losses", first=0, last=14, expr="prev_losses", won="won", src="t_hist"),
+    _DENSE.format(key="prev_losses", first=0, expr="prev_losses", won="won", src="t_hist"),
 )
 def win_fraction_dense(spark: SparkSession, d: str) -> DataFrame:
-    return cohorts.dense_win_fraction(_history(spark, d), "prev_losses", 14)
+    return cohorts.dense_win_fraction(_history(spark, d), "prev_losses")
 
 
 def aged_series(spark: SparkSession, d: str, tie_width: int | None = None) -> DataFrame:
@@ -221,10 +223,10 @@ _AGED = """(SELECT n.*, n.period - r.s AS age, r.s, r.e, CAST(n.pos = 1 AS INT)
 
 @query(
     "win_fraction_by_age",
-    _DENSE.format(key="age", first=1, last=12, expr="age", won="listed_first", src=_AGED),
+    _DENSE.format(key="age", first="lo", expr="age", won="listed_first", src=_AGED),
 )
 def win_fraction_by_age(spark: SparkSession, d: str) -> DataFrame:
-    return cohorts.dense_win_fraction(aged_series(spark, d, 50000), "age", 12, 1, "listed_first")
+    return cohorts.dense_win_fraction(aged_series(spark, d, 50000), "age", None, "listed_first")
 
 
 _RUN_POINT = f"""SELECT round(p, 1) AS run_point, CAST(sum(listed_first) AS BIGINT) AS num_wins,

@@ -346,13 +346,13 @@ def winner_vs_top_pick(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "coef_table_full_join",
     """SELECT coalesce(a.term, s.term) AS term, a.n AS acting_n, s.n AS series_n FROM
-       (SELECT least(prev_wins, 9) AS term, count(*) AS n FROM t_hist WHERE cat_group = 'acting' GROUP BY 1) a
-       FULL JOIN (SELECT least(prev_wins, 9) AS term, count(*) AS n FROM t_hist WHERE cat_group = 'series' GROUP BY 1) s
+       (SELECT prev_wins AS term, count(*) AS n FROM t_hist WHERE cat_group = 'acting' GROUP BY 1) a
+       FULL JOIN (SELECT prev_wins AS term, count(*) AS n FROM t_hist WHERE cat_group = 'series' GROUP BY 1) s
        ON a.term = s.term""",
 )
 def coef_table_full_join(spark: SparkSession, d: str) -> DataFrame:
     hist = with_history(tables.nominations(spark, d))
-    counts = hist.groupBy("cat_group", F.least("prev_wins", F.lit(9)).alias("term")).agg(
+    counts = hist.groupBy("cat_group", F.col("prev_wins").alias("term")).agg(
         F.count(F.lit(1)).alias("n")
     )
     one = lambda g: counts.filter(F.col("cat_group") == g).select("term", F.col("n").alias(f"{g}_n"))
@@ -535,17 +535,13 @@ def shuffle_rows(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "stratified_split",
     f"""SELECT {ROW}, won, rep, percent_rank() OVER (PARTITION BY won, rep ORDER BY h, period, category, person, work) < 0.75 AS train
-        FROM (SELECT *, md5({_KEY}, rep)) AS h FROM t_noms, range(1, 3) r(rep))""",
+        FROM (SELECT *, md5({_KEY}, rep)) AS h FROM t_noms, range(1, 11) r(rep))""",
 )
 def stratified_split(spark: SparkSession, d: str) -> DataFrame:
     keys = ["period", "category", "person", "work"]
-    noms = tables.nominations(spark, d)
-    out = None
-    for rep in (1, 2):
-        part = sampling.stratified_split(noms, "won", keys, rep)
-        part = _row(part, "won", F.lit(rep).cast("bigint").alias("rep"), "train")
-        out = part if out is None else out.unionByName(part)
-    return out
+    repeats = F.sequence(F.lit(1).cast("bigint"), F.lit(10).cast("bigint"))
+    noms = tables.nominations(spark, d).withColumn("rep", F.explode(repeats))
+    return _row(sampling.stratified_split(noms, ["won", "rep"], keys, F.col("rep")), "won", "rep", "train")
 
 
 @query(
@@ -580,12 +576,12 @@ def zero_filled_keys(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "dense_spine",
-    """SELECT i AS prev_wins, coalesce(n, 0) AS n FROM range(0, 15) t(i)
+    """SELECT i AS prev_wins, coalesce(n, 0) AS n FROM (SELECT unnest(generate_series(CAST(0 AS BIGINT), max(prev_wins))) AS i FROM t_hist) t
        LEFT JOIN (SELECT prev_wins, count(*) AS n FROM t_hist GROUP BY 1) h ON t.i = h.prev_wins""",
 )
 def dense_spine(spark: SparkSession, d: str) -> DataFrame:
     counts = with_history(tables.nominations(spark, d)).groupBy("prev_wins").agg(F.count(F.lit(1)).alias("n"))
-    return cohorts.dense_spine(spark, 14, "prev_wins").join(counts, "prev_wins", "left").fillna(0, subset=["n"])
+    return cohorts.spine_of(counts, "prev_wins").join(counts, "prev_wins", "left").fillna(0, subset=["n"])
 
 
 # ---- scalar functions ----------------------------------------------------

@@ -458,7 +458,7 @@ _LISTED = """(SELECT *, CAST(pos <= CASE WHEN n > 60 THEN 3 WHEN n > 24 THEN 2 E
 @query(
     "rp_41",
     " UNION ALL ".join(
-        f"SELECT '{m}' AS measure, k AS bin, num_wins, num_tot, win_frac FROM ({_DENSE.format(key='k', first=0, last=14, expr=m, won='won_listed', src=_LISTED)})"
+        f"SELECT '{m}' AS measure, k AS bin, num_wins, num_tot, win_frac FROM ({_DENSE.format(key='k', first=0, expr=m, won='won_listed', src=_LISTED)})"
         for m in ("prev_noms", "prev_wins", "prev_losses")
     ),
 )
@@ -479,17 +479,16 @@ def rp_41(spark: SparkSession, d: str) -> DataFrame:
     found = listed.select("won_listed", measures.alias("m")).groupBy("m.measure", "m.bin").agg(
         F.sum("won_listed").alias("w"), F.count(F.lit(1)).alias("t")
     )
-    names = F.array(F.lit("prev_noms"), F.lit("prev_wins"), F.lit("prev_losses"))
-    spine = cohorts.dense_spine(spark, 14, "bin").withColumn("measure", F.explode(names))
+    spine = cohorts.spine_of(found, "bin", 0, ["measure"])
     wins, total = F.coalesce("w", F.lit(0)), F.coalesce("t", F.lit(0))
     return spine.join(found, ["measure", "bin"], "left").select(
         "measure", "bin", wins.alias("num_wins"), total.alias("num_tot"), F.round(F.try_divide(wins, total), 6).alias("win_frac")
     )
 
 
-@query("rp_42", _DENSE.format(key="age", first=1, last=12, expr="age", won="listed_first", src=_AGED.replace("t_ties_pos", "t_pos")))
+@query("rp_42", _DENSE.format(key="age", first="lo", expr="age", won="listed_first", src=_AGED.replace("t_ties_pos", "t_pos")))
 def rp_42(spark: SparkSession, d: str) -> DataFrame:
-    return cohorts.dense_win_fraction(aged_series(spark, d), "age", 12, 1, "listed_first")
+    return cohorts.dense_win_fraction(aged_series(spark, d), "age", None, "listed_first")
 
 
 @query("rp_43", _RUN_POINT.replace("t_ties_pos", "t_pos"))
@@ -528,12 +527,12 @@ def rp_45(spark: SparkSession, d: str) -> DataFrame:
     "rp_46",
     """SELECT k AS prev_wins, num_wins, num_tot, coalesce(win_frac, 0) * 100 AS win_pct, 0.2::DOUBLE AS avg_line,
        num_wins || '_' || num_tot AS identifier FROM ("""
-    + _DENSE.format(key="k", first=0, last=9, expr="prev_wins", won="won", src="t_hist")
+    + _DENSE.format(key="k", first=0, expr="prev_wins", won="won", src="t_hist")
     + ")",
 )
 def rp_46(spark: SparkSession, d: str) -> DataFrame:
     """Chart-ready bars: text columns cast back, empty bins as zero, percent, reference line."""
-    bars = cohorts.dense_win_fraction(_history(spark, d), "prev_wins", 9)
+    bars = cohorts.dense_win_fraction(_history(spark, d), "prev_wins")
     shown = bars.withColumn("frac", F.coalesce(F.col("win_frac").cast("string"), F.lit("nan")))
     return shown.select(
         "prev_wins", "num_wins", "num_tot", (files.clean_number("frac") * 100).alias("win_pct"),

@@ -125,7 +125,9 @@ def nominee_pages(spark: SparkSession, d: str) -> DataFrame:
         F.col("work"),
         F.lit("</i></td><td><a href=\"/p\">"),
         F.when(F.col("person") == "", F.lit("none")).otherwise(F.col("person")),
-        F.lit("</a> &amp; co</td></tr></table></body></html>"),
+        F.lit("</a> &amp; co</td></tr><tr><td colspan=\"2\">both "),
+        F.col("work"),
+        F.lit("</td></tr></table></body></html>"),
     )
     made = noms.select(F.concat_ws("|", "period", "category", "person", "work").alias("page"), body.alias("html"))
     raw = tables.table(spark, d, "pages").select("url", "html").withColumnRenamed("url", "page")
@@ -137,9 +139,10 @@ _PAGE = "concat_ws('|', period, category, person, work)"
 
 @query(
     "html_table_cells",
-    f"""SELECT page, 1 AS table_no, 1 AS row_no, year_text, program, actor FROM (
-          SELECT {_PAGE} AS page, CAST(period AS VARCHAR) AS year_text, work AS program,
-                 CASE WHEN person = '' THEN 'none' ELSE person END || ' & co' AS actor FROM t_noms)""",
+    f"""SELECT {_PAGE} AS page, 1 AS table_no, 1 AS row_no, CAST(period AS VARCHAR) AS year_text, work AS program,
+               CASE WHEN person = '' THEN 'none' ELSE person END || ' & co' AS actor FROM t_noms
+        UNION ALL
+        SELECT {_PAGE}, 1, 2, CAST(period AS VARCHAR), 'both ' || work, 'both ' || work FROM t_noms""",
 )
 def html_table_cells(spark: SparkSession, d: str) -> DataFrame:
     cells = html.html_cells(nominee_pages(spark, d))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -27,11 +28,15 @@ def local_session(cores: str = "8", shuffle_partitions: str | None = None) -> Sp
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors can reach, for written tables and stream state.
 
-    The cluster names it in ``spark.checkpoint.dir``.  Only where that is unset
-    (local tests) a fresh temporary folder is used and remembered.
+    The cluster names it in ``spark.checkpoint.dir``.  Where that is unset, a
+    local session (one process, as in tests) gets a fresh temporary folder; on
+    a cluster that is an error, as executors would write to disks of their own.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors of {master!r} share")
         configured = tempfile.mkdtemp(prefix="laurel-")
         spark.conf.set("spark.checkpoint.dir", configured)
     return configured

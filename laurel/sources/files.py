@@ -151,16 +151,9 @@ def json_map_lines(df: DataFrame, key: str, value: str) -> DataFrame:
     return df.select(F.to_json(F.create_map(F.col(key), F.col(value))).alias("value"))
 
 
-def write_json_map(
-    df: DataFrame, key: str, value: str, path: str, single_object_limit: int = 10_000
-) -> None:
-    """One JSON object where the key count is proven small, JSON lines otherwise."""
-    small = df.limit(single_object_limit + 1).count() <= single_object_limit
-    if small:
-        entries = F.map_from_entries(F.collect_list(F.struct(key, value)))
-        df.agg(F.to_json(entries).alias("value")).write.text(path)
-    else:
-        json_map_lines(df, key, value).write.text(path)
+def write_json_map(df: DataFrame, key: str, value: str, path: str) -> None:
+    """Key/value rows as JSON lines, whatever their number."""
+    json_map_lines(df, key, value).write.text(path)
 
 
 def write_sorted_table(df: DataFrame, path: str, order: Sequence[str]) -> None:

@@ -21,17 +21,33 @@ _TOKEN = re.compile(
     re.S | re.I,
 )
 _ROWSPAN = re.compile(r"\browspan\s*=\s*[\"']?(\d+)", re.I)
+_COLSPAN = re.compile(r"\bcolspan\s*=\s*[\"']?(\d+)", re.I)
+MOST_SPAN = {_ROWSPAN: 65534, _COLSPAN: 1000}  # fixed values of the HTML standard
 
 
 def parse_cells(html: str) -> list[dict]:
     """Table cells of a page: table, row and column number, tag, texts, rowspan.
 
     One pass over the tags; markup other than tables, links and italics only
-    separates text.  Cells close at the next cell, row or table tag.
+    separates text.  Cells close at the next cell, row or table tag.  A cell that
+    spans rows or columns comes once for every grid place it covers, ``spanned``
+    at all places but its first.
     """
     out: list[dict] = []
+    covered: list[tuple[dict, int, int]] = []  # (cell, row, column) of further grid places
     tables = 0
-    stack: list[list[int]] = []  # per open table: [number, row, next column]
+    stack: list[list] = []  # per open table: [number, row, next column, {column: (rows left, cell)}]
+
+    def carry(table: list, upto: int | None) -> None:
+        """Lays cells from rows above into the row, at the next column, or at all columns left."""
+        while table[3] and (table[2] in table[3] or (upto is None and table[2] <= max(table[3]))):
+            if table[2] in table[3]:
+                left, above = table[3].pop(table[2])
+                covered.append((above, table[1], table[2]))
+                if left > 1:
+                    table[4][table[2]] = (left - 1, above)
+            table[2] += 1
+
     cell: dict | None = None
     inner: str | None = None  # the a or i element being read
     last = 0
@@ -51,25 +67,42 @@ def parse_cells(html: str) -> list[dict]:
                 cell = inner = None
             if m["end"]:
                 if tag == "table" and stack:
+                    carry(stack[-1], None)
                     stack.pop()
             elif tag == "table":
-                stack.append([tables, -1, 0])
+                stack.append([tables, -1, 0, {}, {}])
                 tables += 1
             elif stack and tag == "tr":
-                stack[-1][1] += 1
-                stack[-1][2] = 0
+                table = stack[-1]
+                carry(table, None)
+                table[1:] = [table[1] + 1, 0, table[3] | table[4], {}]
             elif stack:
-                number, row, col = stack[-1]
-                span = _ROWSPAN.search(m["attrs"])
+                table = stack[-1]
+                table[1] = max(table[1], 0)
+                carry(table, table[2])
+                rows, wide = (_span(pattern, m["attrs"]) for pattern in (_ROWSPAN, _COLSPAN))
                 cell = {
-                    "table_no": number, "row_no": max(row, 0), "col_no": col, "tag": tag,
-                    "text": "", "a": None, "i": None, "rowspan": int(span[1]) if span else 1,
+                    "table_no": table[0], "row_no": table[1], "col_no": table[2], "tag": tag,
+                    "text": "", "a": None, "i": None, "rowspan": rows, "spanned": False,
                 }
-                stack[-1][2] += 1
+                for col in range(table[2], table[2] + wide):
+                    if col > table[2]:
+                        covered.append((cell, table[1], col))
+                    if rows > 1:
+                        table[4][col] = (rows - 1, cell)
+                table[2] += wide
     if cell is not None:
         _add_text(cell, inner, html[last:])
         out.append(cell)
-    return out
+    for table in stack:
+        carry(table, None)
+    return out + [above | {"row_no": row, "col_no": col, "spanned": True} for above, row, col in covered]
+
+
+def _span(pattern: re.Pattern[str], attributes: str) -> int:
+    """The span an attribute asks for, within the bounds that the markup language sets."""
+    found = pattern.search(attributes)
+    return min(max(int(found[1]), 1), MOST_SPAN[pattern]) if found else 1
 
 
 def _add_text(cell: dict, inner: str | None, text: str) -> None:
@@ -101,7 +134,7 @@ def carry_rowspans(cells: Iterable[tuple[str, int]], n_cols: int) -> Iterator[tu
 
 CELL_SCHEMA = (
     "page string, table_no int, row_no int, col_no int, tag string, text string, "
-    "link_text string, italic_text string, rowspan int, header string"
+    "link_text string, italic_text string, rowspan int, spanned boolean, header string"
 )
 
 
@@ -129,7 +162,7 @@ def html_cells(pages: DataFrame) -> DataFrame:
                 }
                 rows.extend(
                     (page, c["table_no"], c["row_no"], c["col_no"], c["tag"], c["text"].strip(),
-                     c["a"], c["i"], c["rowspan"], heads.get((c["table_no"], c["col_no"])))
+                     c["a"], c["i"], c["rowspan"], c["spanned"], heads.get((c["table_no"], c["col_no"])))
                     for c in cells
                 )
             yield pd.DataFrame(rows, columns=columns)
@@ -138,9 +171,9 @@ def html_cells(pages: DataFrame) -> DataFrame:
 
 
 def linked_cells(cells: DataFrame) -> DataFrame:
-    """Data cells holding a link or italics: link text, else italic text, with rowspan."""
+    """Data cells holding a link or italics, once each: link text, else italic text, with rowspan."""
     return cells.filter(
-        (F.col("tag") == "td") & (F.col("link_text").isNotNull() | F.col("italic_text").isNotNull())
+        (F.col("tag") == "td") & ~F.col("spanned") & (F.col("link_text").isNotNull() | F.col("italic_text").isNotNull())
     ).withColumn("text", F.coalesce("link_text", "italic_text"))
 
 
@@ -154,7 +187,7 @@ def rowspan_grid(pages: DataFrame, n_cols: int) -> DataFrame:
                 flat = [
                     (c["a"] if c["a"] is not None else c["i"], c["rowspan"])
                     for c in parse_cells(html)
-                    if c["tag"] == "td" and (c["a"] is not None or c["i"] is not None)
+                    if c["tag"] == "td" and not c["spanned"] and (c["a"] is not None or c["i"] is not None)
                 ]
                 rows.extend((page, *cell) for cell in carry_rowspans(flat, n_cols))
             yield pd.DataFrame(rows, columns=["page", "row", "col", "text"])
@@ -194,26 +227,26 @@ CATEGORY_PATTERNS = {
 }
 ANCHOR = "^<a[^>]*>([^<]*)</a>"
 SECOND_ANCHOR = "^>([^<]*)</a>"
-BLOCK_LINES = 49
 
 
-def header_blocks(pages: DataFrame) -> DataFrame:
+def header_blocks(pages: DataFrame, block_lines: int | None = None) -> DataFrame:
     """Nominees listed below category header lines: (page, category, header_no, item_no, work, person).
 
-    A block is at most 49 lines after the header, up to the first one holding
-    <h2>.  In acting categories the person is on the line after the work's
+    A block is the lines after the header, up to the first one holding <h2>, or
+    to the page's end; ``block_lines`` limits it to a number of lines.  In acting categories the person is on the line after the work's
     anchor.  Array expressions inside the page's row: nothing is shuffled, and
     only header lines with their own block leave the row.
     """
     any_header = "|".join(f"(?:{p})" for p in CATEGORY_PATTERNS.values())
     numbered = F.transform("lines", lambda x, i: F.struct(i.alias("no"), x.alias("line")))
     headers = F.filter(numbered, lambda s: s["line"].rlike(any_header))
+    reach = F.size("lines") if block_lines is None else F.lit(block_lines + 1)
     blocks = F.transform(
         headers,
         lambda h: F.struct(
             h["no"].alias("no"),
             h["line"].alias("line"),
-            F.slice(F.col("lines"), h["no"] + 2, F.lit(BLOCK_LINES + 1)).alias("block"),
+            F.slice(F.col("lines"), h["no"] + 2, reach).alias("block"),
         ),
     )
     line = F.col("h.line")
@@ -226,7 +259,8 @@ def header_blocks(pages: DataFrame) -> DataFrame:
         .select("page", "h", F.explode(categories).alias("category"))
     )
     stop = F.array_position(F.transform("h.block", lambda x: x.contains("<h2>")), F.lit(True))
-    last = F.when(stop > 0, F.least(stop, F.lit(BLOCK_LINES))).otherwise(F.lit(BLOCK_LINES))
+    most = F.size("h.block") if block_lines is None else F.lit(block_lines)
+    last = F.when(stop > 0, F.least(stop, most)).otherwise(most)
     items = found.select(
         "page",
         "category",

@@ -103,6 +103,10 @@ def test_episodes(spark):
 
 
 def test_dense_bins(noms):
-    out = cohorts.dense_win_fraction(noms.withColumn("b", F.col("period")), "b", 4).orderBy("b").collect()
-    assert [(r.b, r.num_wins, r.num_tot) for r in out] == [(0, 0, 0), (1, 3, 5), (2, 2, 7), (3, 2, 2), (4, 0, 0)]
-    assert out[0].win_frac is None and out[3].win_frac == 1.0
+    out = cohorts.dense_win_fraction(noms.withColumn("b", F.col("period") * 2), "b").orderBy("b").collect()
+    assert [(r.b, r.num_wins, r.num_tot) for r in out] == [(0, 0, 0), (1, 0, 0), (2, 3, 5), (3, 0, 0), (4, 2, 7), (5, 0, 0), (6, 2, 2)]
+    assert out[0].win_frac is None and out[6].win_frac == 1.0
+    assert sum(r.num_tot for r in out) == noms.count()  # no row beyond the last bin
+    late = cohorts.dense_win_fraction(noms.withColumn("b", F.col("period") + 40), "b", None).orderBy("b").collect()
+    assert [r.b for r in late] == [41, 42, 43] and sum(r.num_tot for r in late) == noms.count()
+    assert cohorts.dense_win_fraction(noms.limit(0).withColumn("b", F.col("period")), "b").count() == 0

@@ -89,3 +89,17 @@ def test_seeds_and_latest_state(spark, noms):
     pending = spark.createDataFrame([("Ann Lee",), ("New One",)], "candidate string")
     attached = {r.candidate: r.prev_noms for r in H.attach_state(pending, H.latest_state(hist)).collect()}
     assert attached == {"Ann Lee": 5, "New One": 0}
+
+
+def test_null_keys_are_one_group(spark):
+    from pyspark.sql import functions as F
+
+    from laurel.operators import groupwise
+
+    df = spark.createDataFrame([(None, 1, 2), (None, 2, 3), ("a", 1, 5)], "k string, t int, v int")
+    stats = groupwise.with_group_stats(df, ["k"], n=F.count(F.lit(1)))
+    assert sorted((r.k or "", r.t, r.n) for r in stats.collect()) == [("", 1, 2), ("", 2, 2), ("a", 1, 1)]
+    running = groupwise.with_running_totals(df, ["k"], ["t"], ["v"], {"before": F.col("v")})
+    assert sorted((r.k or "", r.t, r.before) for r in running.collect()) == [("", 1, 0), ("", 2, 2), ("a", 1, 0)]
+    ranked = groupwise.with_average_rank_capped(df, ["k"], "v", 5, "r")
+    assert sorted((r.k or "", r.t, r.r) for r in ranked.collect()) == [("", 1, 1.0), ("", 2, 2.0), ("a", 1, 1.0)]

@@ -47,8 +47,8 @@ def test_json_maps_and_store(spark, noms, tmp_path):
     runs = spark.createDataFrame([("A", 1990, 1995), ("B", 2000, 2016)], "work string, start int, end int")
     one, many = str(tmp_path / "one"), str(tmp_path / "many")
     files.write_json_map(runs, "work", "start", one)
-    files.write_json_map(runs, "work", "end", many, single_object_limit=1)
-    assert spark.read.text(one).count() == 1 and spark.read.text(many).count() == 2
+    files.write_json_map(runs, "work", "end", many)
+    assert spark.read.text(one).count() == spark.read.text(many).count() == 2
     joined = files.run_date_maps(files.read_json_map(spark, one, "start"), files.read_json_map(spark, many, "end"))
     assert sorted(map(tuple, joined.collect())) == [("A", 1990, 1995), ("B", 2000, 2016)]
     store = str(tmp_path / "store")
@@ -83,8 +83,9 @@ def test_header_blocks(spark):
              "<h2>Next</h2>", '<a href="/3">Hidden</a>', ">No</a>", "Best Television Series Comedy"]
     lines += ["x"] * 47 + ['<a href="/4">Show C</a>', "x", '<a href="/5">Too far</a>']
     pages = spark.createDataFrame([("p", "\n".join(lines))], "page string, html string")
-    got = {(r.category, r.work, r.person) for r in html.header_blocks(pages).collect()}
+    got = {(r.category, r.work, r.person) for r in html.header_blocks(pages, 49).collect()}
     assert got == {("Actor Drama", "Show A", "Ann"), ("Actor Drama", "Show B", "Bob"), ("Show Comedy", "Show C", "")}
+    assert {r.work for r in html.header_blocks(pages).collect()} == {"Show A", "Show B", "Show C", "Too far"}
 
 
 def event_rows(spark, noms):
@@ -117,3 +118,16 @@ def test_step_is_repeatable(spark, noms):
     assert late.count() == 0
     assert history.filter("entity = 'Ann Lee'").agg(F.min("prev_noms")).first()[0] == 4
     assert {r.entity: r.noms for r in merged.collect()}["Ann Lee"] == 9
+
+
+def test_spanned_cells():
+    from laurel.sources.html import parse_cells
+
+    page = (
+        "<table><tr><th>Year<th>Actor<th>Program</tr><tr><td rowspan=2>1999</td><td>Ann</td><td>W1</td></tr>"
+        "<tr><td>Bob</td><td>W2</td></tr><tr><td colspan='2'>both</td><td rowspan=9>tail</td></tr><tr><td>x</table>"
+    )
+    grid = {(c["row_no"], c["col_no"]): (c["text"], c["spanned"]) for c in parse_cells(page)}
+    assert [grid[2, i] for i in range(3)] == [("1999", True), ("Bob", False), ("W2", False)]
+    assert [grid[3, i] for i in range(3)] == [("both", False), ("both", True), ("tail", False)]
+    assert grid[4, 0] == ("x", False) and grid[4, 2] == ("tail", True) and max(r for r, _ in grid) == 4

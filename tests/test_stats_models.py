@@ -23,7 +23,7 @@ EXPECTED_WINS = [
 def test_expected_wins_golden(spark):
     runs = spark.createDataFrame([(n,) for n, k in RUN_LENGTHS.items() for _ in range(k)], "length long")
     wins = spark.createDataFrame([(88,)], "wins long")
-    got = [r.exp_wins for r in mix.expected_wins(runs, wins).orderBy("season").collect()]
+    got = [r.exp_wins for r in mix.expected_wins(runs, wins, 15).orderBy("season").collect()]
     assert len(got) == 15
     for a, b in zip(got, EXPECTED_WINS):
         assert math.isclose(a, b, abs_tol=1e-9)
@@ -96,6 +96,6 @@ def test_holdout(spark):
     df = labelled(spark)
     out = glm.repeated_holdout(df, ["level"], ["id"], repeats=2).collect()
     assert all(150 < r.n_test < 300 and 0.3 < r.rmse < 0.6 for r in out)
-    exact = sampling.stratified_split(df, "won", ["id"], 1)
+    exact = sampling.stratified_split(df, ["won"], ["id"], 1)
     for r in exact.groupBy("won").agg(F.avg(F.col("train").cast("int")).alias("f")).collect():
         assert abs(r.f - 0.75) < 0.01
