@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from laurel.llm import cgk, chat, html_density, licenses, mixing, quality, simhash, suffix_trees, unigram, warc
 from laurel.llm.common import table, written
+from laurel.llm.oracles import ORACLES  # noqa: F401
 
 BYTE_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
@@ -48,7 +49,7 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(control)
     ranks = chat.broadcast_vocabulary(rows, BYTE_VOCABULARY)
-    return chat.read_back(chat.format_turns(rows, ranks), ranks)
+    return chat.read_back(chat.format_turns(rows, ranks), ranks).drop("n_tokens")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,4 +79,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op7_chat_format, op8_quality, op9_warc, op10_license_scan,
     )
 }
-ORACLES: dict[str, str] = {}
