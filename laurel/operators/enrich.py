@@ -30,11 +30,12 @@ def combine_seasons(ratings: DataFrame) -> DataFrame:
 def lag_join(
     df: DataFrame, dim: DataFrame, lag: int, columns: Sequence[str], suffix: str = ""
 ) -> DataFrame:
-    """Left join ``dim`` on (work, period - lag = season_start)."""
-    side = dim.select(
+    """Left join ``dim`` on (work, period - lag = season_start); of several rows of a season the largest counts."""
+    unique = dim.groupBy("work", "season_start").agg(F.max(F.struct(*columns)).alias("x"))
+    side = unique.select(
         "work",
         (F.col("season_start") + lag).alias("period"),
-        *[F.col(c).alias(c + suffix) for c in columns],
+        *[F.col(f"x.{c}").alias(c + suffix) for c in columns],
     )
     return df.join(side, ["work", "period"], "left")
 
@@ -138,15 +139,16 @@ def three_valued_or(left: Column, right: Column) -> Column:
 
 
 def with_external_win(df: DataFrame, external: DataFrame) -> DataFrame:
-    """Did the work or the person win the other award one period earlier?"""
-    side = external.select("category", (F.col("period") + 1).alias("period"), "winner")
-    winner = F.col("winner")
+    """Did the work or the person win the other award one period earlier? Joint winners count each."""
+    side = external.select("category", (F.col("period") + 1).alias("period"), "winner").distinct()
+
+    def winners(column: str) -> DataFrame:
+        return side.select(*CONTEST, F.col("winner").alias(column), F.lit(True).alias(f"__{column}"))
+
     return (
-        df.join(side, CONTEST, "left")
-        .withColumn(
-            "won_external", three_valued_or(winner == F.col("work"), winner == F.col("person"))
-        )
-        .drop("winner")
+        df.join(winners("work"), [*CONTEST, "work"], "left")
+        .join(winners("person"), [*CONTEST, "person"], "left")
+        .select(*df.columns, three_valued_or(F.col("__work"), F.col("__person")).alias("won_external"))
     )
 
 
@@ -166,10 +168,10 @@ def membership_flag(df: DataFrame, column: str, members: DataFrame, name: str) -
 def resolve_ids(names: DataFrame, overrides: DataFrame, hits: DataFrame) -> DataFrame:
     """name -> id: the override if there is one, else the best-placed search hit.
 
-    ``overrides`` (name, id); ``hits`` (name, id, place).
+    ``overrides`` (name, id); ``hits`` (name, id, place). Of several overrides the smallest id counts.
     """
     best = hits.groupBy("name").agg(F.min_by("id", F.struct("place", "id")).alias("hit_id"))
-    fixed = overrides.select("name", F.col("id").alias("fixed_id"))
+    fixed = overrides.groupBy("name").agg(F.min("id").alias("fixed_id"))
     return (
         names.join(fixed, "name", "left")
         .join(best, "name", "left")
@@ -179,8 +181,8 @@ def resolve_ids(names: DataFrame, overrides: DataFrame, hits: DataFrame) -> Data
 
 
 def apply_corrections(df: DataFrame, corrections: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
-    """Overwrite ``column`` for the rows listed in ``corrections`` (keys + column)."""
-    side = corrections.select(*keys, F.col(column).alias("__fix"))
+    """Overwrite ``column`` for the rows listed in ``corrections`` (keys + column); of several the largest counts."""
+    side = corrections.groupBy(*keys).agg(F.max(column).alias("__fix"))
     return (
         df.join(side, list(keys), "left")
         .withColumn(column, F.coalesce(F.col("__fix"), F.col(column)))

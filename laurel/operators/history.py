@@ -74,14 +74,15 @@ def with_win_rate(df: DataFrame, default: float = DEFAULT_WIN_RATE) -> DataFrame
 
 
 def with_seeds(df: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Add carry-in counts (category, entity, add_noms, add_wins) to every row of the entity.
+    """Add carry-in counts (category, entity, add_noms, add_wins), summed, to every row of the entity.
 
     Derived columns are refreshed; a seed win without a seed nomination may
     leave negative losses, which are kept.
     """
-    keyed = df.join(
-        seeds.withColumnRenamed("entity", "candidate"), ["category", "candidate"], "left"
+    carried = seeds.groupBy("category", F.col("entity").alias("candidate")).agg(
+        F.sum("add_noms").alias("add_noms"), F.sum("add_wins").alias("add_wins")
     )
+    keyed = df.join(carried, ["category", "candidate"], "left")
     out = keyed.withColumn(
         "prev_noms", F.col("prev_noms") + F.coalesce(F.col("add_noms"), F.lit(0))
     ).withColumn("prev_wins", F.col("prev_wins") + F.coalesce(F.col("add_wins"), F.lit(0)))

@@ -207,10 +207,10 @@ def win_fraction_dense(spark: SparkSession, d: str) -> DataFrame:
 
 
 def aged_series(spark: SparkSession, d: str, tie_width: int | None = None) -> DataFrame:
-    """Series nominees with their listing position, run dates and age."""
-    noms = tables.nominations(spark, d, tie_width)
+    """Series nominees with run dates and age, and whether they are listed first; only first rows are ranked."""
+    series = tables.nominations(spark, d, tie_width).filter("cat_group = 'series'")
     runs = tables.run_dates(tables.nominations(spark, d))
-    listed = tables.with_listing_pos(noms).filter("cat_group = 'series'")
+    listed = groupwise.with_first_rank_capped(series, CONTEST, history.listing_order(), ["person", "work"], 2, "pos")
     out = listed.join(runs, "work")
     return out.withColumn("age", F.col("period") - F.col("start")).withColumn(
         "listed_first", (F.col("pos") == 1).cast("int")
@@ -649,13 +649,34 @@ def k_listed_winners(spark: SparkSession, d: str) -> DataFrame:
     return _row(out, "won_listed")
 
 
+def local_trend_sql(rows: str, groups: list[str], bandwidth: int) -> str:
+    """Weighted least squares with tricube weights around every period; ``rows`` has the groups, period and y."""
+    by, same = ", ".join(f"a.{g}" for g in groups), " AND ".join(f"a.{g} = b.{g}" for g in groups)
+    return f"""SELECT {", ".join(groups)}, period,
+      round(CASE WHEN sw * sxx - sx * sx > 1e-9 THEN (sxx * sy - sx * sxy) / (sw * sxx - sx * sx) ELSE sy / sw END, 6) AS trend
+      FROM (SELECT {by}, a.period, sum(w) AS sw, sum(w * dx) AS sx, sum(w * dx * dx) AS sxx, sum(w * b.y) AS sy, sum(w * dx * b.y) AS sxy
+        FROM (SELECT DISTINCT {", ".join(groups)}, period FROM ({rows}) WHERE y IS NOT NULL) a
+        JOIN (SELECT * FROM ({rows}) WHERE y IS NOT NULL) b ON {same} AND abs(a.period - b.period) < {bandwidth},
+        LATERAL (SELECT CAST(b.period - a.period AS DOUBLE) AS dx, pow(1 - pow(abs(b.period - a.period) / {bandwidth}.0, 3), 3) AS w)
+        GROUP BY {by}, a.period)"""
+
+
 @query(
     "group_trend",
+    local_trend_sql("SELECT cat_group, won, period, later_season AS y FROM t_lagged", ["cat_group", "won"], 4),
+)
+def group_trend(spark: SparkSession, d: str) -> DataFrame:
+    """Locally weighted linear trend of the season per outcome."""
+    return stats.local_linear(lagged(spark, d), "later_season", ["cat_group", "won"], 4)
+
+
+@query(
+    "group_trend_mean",
     """SELECT cat_group, won, period, round(sum(s) OVER w / sum(c) OVER w, 6) AS trend FROM (
          SELECT cat_group, won, period, sum(later_season) AS s, count(later_season) AS c FROM t_lagged WHERE later_season IS NOT NULL GROUP BY 1, 2, 3)
        WINDOW w AS (PARTITION BY cat_group, won ORDER BY period RANGE BETWEEN 3 PRECEDING AND 3 FOLLOWING)""",
 )
-def group_trend(spark: SparkSession, d: str) -> DataFrame:
+def group_trend_mean(spark: SparkSession, d: str) -> DataFrame:
     return stats.moving_mean(lagged(spark, d), "later_season", ["cat_group", "won"], 3)
 
 

@@ -160,11 +160,10 @@ def score_pending(
     return glm.normalise_in_contest(scored, "score_raw")
 
 
-@query("score_pending")
-def score_pending_query(spark: SparkSession, d: str) -> DataFrame:
-    """Scores of the pending contests from the two fitted models."""
+def pending_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Unrounded scores of the pending contests from the two fitted models."""
     noms = tables.nominations(spark, d)
-    out = score_pending(
+    return score_pending(
         pending_nominees(spark, d),
         noms,
         tables.seasons(spark, d),
@@ -172,6 +171,12 @@ def score_pending_query(spark: SparkSession, d: str) -> DataFrame:
         group_model(spark, d, "acting").coefficients,
         group_model(spark, d, "series").coefficients,
     )
+
+
+@query("score_pending")
+def score_pending_query(spark: SparkSession, d: str) -> DataFrame:
+    """Scores of the pending contests from the two fitted models."""
+    out = pending_scores(spark, d)
     return out.select(*ROW_KEY, "candidate", "prev_noms", "prev_wins", F.round("pred", 6).alias("pred"))
 
 

@@ -70,10 +70,9 @@ FROM (
          CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS q,
          CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS v
   FROM (SELECT *, CAST((year(l_shipdate) - 1995) * 12 + month(l_shipdate) AS INT) AS m
-        FROM lineitem WHERE l_returnflag = 'R')
+        FROM lineitem)
   JOIN part ON l_partkey = p_partkey
   GROUP BY 1, 2, 3)
-WHERE q / num_eps / 5.07 >= 4
 """,
     "t_seasons": """
 SELECT work, season_start, min(season) AS season,

@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from laurel.functions import recode as R
 from laurel.functions import text
 from laurel.operators import acquisition, cohorts, enrich, mix, sampling
-from laurel.operators.groupwise import top_k
+from laurel.operators.groupwise import top_k, with_first_rank_capped
 from laurel.operators.history import attach_state, latest_state, listing_order, with_history
 from laurel.models import glm
 from laurel.plans.features import lagged
 from laurel.plans.registry import query
+from laurel.schema import CONTEST
 from laurel.sources import files, tables
 
 # Display labels of the driver's categories.
@@ -243,7 +244,10 @@ def format_display(spark: SparkSession, d: str) -> DataFrame:
           SELECT *, row_number() OVER (PARTITION BY period, category ORDER BY score DESC, person, work) AS pos FROM t_hist)""",
 )
 def indicator_terms(spark: SparkSession, d: str) -> DataFrame:
-    listed = tables.with_listing_pos(with_history(tables.nominations(spark, d)))
+    noms = tables.nominations(spark, d)
+    listed = with_first_rank_capped(
+        with_history(noms), CONTEST, listing_order(), ["person", "work"], 6, "pos", source=noms
+    )
     return _row(
         listed,
         (F.col("prev_wins") == 1).alias("one_prev_win"),

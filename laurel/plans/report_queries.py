@@ -12,7 +12,7 @@ from laurel.operators import cohorts, enrich, groupwise, history, mix
 from laurel.plans import model_queries as MQ
 from laurel.plans.cohort_queries import (
     _AGED, _DENSE, _EXPECTED, _EXTREMES, _LABEL, _RUN_POINT, AVG_RANK_SQL, decade, FEATURES, SURNAME_SQL,
-    _corr_sql, acting_lists, aged_series, bounds_oracle, observed_vs_expected, position_table, winpos_sql,
+    _corr_sql, acting_lists, aged_series, bounds_oracle, local_trend_sql, observed_vs_expected, position_table, winpos_sql,
 )
 from laurel.plans.features import features, lagged, modelling_table
 from laurel.plans.registry import query
@@ -39,20 +39,23 @@ def rp_01(spark: SparkSession, d: str) -> DataFrame:
     return stats.correlation_by(features(spark, d), [decade()], FEATURES, "won")
 
 
-def _trend_sql(value: str, half: int) -> str:
-    return f"""SELECT category, result, period, round(sum(s) OVER w / sum(c) OVER w, 6) AS trend FROM (
-      SELECT category, CASE won WHEN 1 THEN 'Won' ELSE 'Lost' END AS result, period, sum({value}) AS s, count({value}) AS c
-      FROM t_lagged WHERE cat_group = 'series' AND {value} IS NOT NULL GROUP BY 1, 2, 3)
-      WINDOW w AS (PARTITION BY category, result ORDER BY period RANGE BETWEEN {half} PRECEDING AND {half} FOLLOWING)"""
+TREND_PERIODS = 6  # periods on either side of a local trend
+
+
+def _trend_sql(value: str) -> str:
+    rows = f"""SELECT category, CASE won WHEN 1 THEN 'Won' ELSE 'Lost' END AS result, period, {value} AS y
+      FROM t_lagged WHERE cat_group = 'series'"""
+    return local_trend_sql(rows, ["category", "result"], TREND_PERIODS)
 
 
 def _series(df: DataFrame) -> DataFrame:
     return df.filter("cat_group = 'series'").withColumn("result", R.won_label())
 
 
-@query("rp_02", _trend_sql("av_rating", 5))
+@query("rp_02", _trend_sql("av_rating"))
 def rp_02(spark: SparkSession, d: str) -> DataFrame:
-    return stats.moving_mean(_series(lagged(spark, d)), "av_rating", ["category", "result"], 5)
+    """Local trend of the ratings of winners and losers."""
+    return stats.local_linear(_series(lagged(spark, d)), "av_rating", ["category", "result"], TREND_PERIODS)
 
 
 @query(
@@ -96,10 +99,11 @@ def rp_05(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("rp_06", _trend_sql("log10(av_num_votes)", 5))
+@query("rp_06", _trend_sql("log10(av_num_votes)"))
 def rp_06(spark: SparkSession, d: str) -> DataFrame:
+    """Local trend of the votes, by powers of ten."""
     series = _series(lagged(spark, d)).withColumn("log_votes", F.log10("av_num_votes"))
-    return stats.moving_mean(series, "log_votes", ["category", "result"], 5)
+    return stats.local_linear(series, "log_votes", ["category", "result"], TREND_PERIODS)
 
 
 @query(
@@ -442,12 +446,14 @@ def rp_39(spark: SparkSession, d: str) -> DataFrame:
 
 @query("rp_40")
 def rp_40(spark: SparkSession, d: str) -> DataFrame:
-    """Pending contests as ranked text, best score first, in pages of 50."""
-    scored = MQ.score_pending_query(spark, d)
-    listed = groupwise.with_position(
-        scored, CONTEST, -F.floor(F.col("pred") * 1000), [F.col("pred").desc(), "person", "work"]
-    )
-    return MQ.paged_ranking(listed, F.format_string("%.2f", "pred"))
+    """Pending contests as ranked text, best score first, in pages of 50.
+
+    Scores of a contest sum to one, so cells by multiples of the mean score, finer in larger contests, stay small.
+    """
+    scored = groupwise.with_group_stats(MQ.pending_scores(spark, d), CONTEST, n=F.count(F.lit(1)))
+    cell = -F.floor(F.col("pred") * F.col("n") * F.greatest(F.col("n") / 64, F.lit(16)))
+    listed = groupwise.with_position(scored, CONTEST, cell, [F.col("pred").desc(), "person", "work"])
+    return MQ.paged_ranking(listed, F.format_string("%.6f", "pred"))
 
 
 _LISTED = """(SELECT *, CAST(pos <= CASE WHEN n > 60 THEN 3 WHEN n > 24 THEN 2 ELSE 1 END AS INT) AS won_listed FROM (
@@ -513,7 +519,8 @@ def rp_44(spark: SparkSession, d: str) -> DataFrame:
 )
 def rp_45(spark: SparkSession, d: str) -> DataFrame:
     """Name-length listing, written as a sorted table and read back."""
-    listed = tables.with_listing_pos(tables.nominations(spark, d).filter("cat_group = 'acting'"))
+    acting = tables.nominations(spark, d).filter("cat_group = 'acting'")
+    listed = groupwise.with_first_rank_capped(acting, CONTEST, history.listing_order(), ["person", "work"], 2, "pos")
     rows = listed.select(
         "period", "person", "work", text.name_length("person").alias("name_len"),
         F.when(F.col("pos") == 1, "W").otherwise("L").alias("win_or_lose"),

@@ -161,16 +161,12 @@ def seasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _season_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rated seasons: returned lines by brand and ship month, two sub-seasons each.
-
-    Seasons rated below 4 are unlisted, which leaves gaps for the lag joins.
-    """
+    """Rated seasons: all lines by brand and ship month, two sub-seasons each."""
     part = table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("work")
     )
     lines = (
         table(spark, sf_dir, "lineitem")
-        .filter(F.col("l_returnflag") == "R")
         .join(part, "l_partkey")
         .withColumn("season_start", month_number("l_shipdate"))
         .withColumn(
@@ -195,7 +191,6 @@ def _season_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
             (F.col("q") / 100.0 / F.col("num_eps") / 5.07).alias("av_rating"),
             (F.col("v") / 100.0 / F.col("num_eps")).alias("av_num_votes"),
         )
-        .filter(F.col("av_rating") >= 4)
     )
 
 

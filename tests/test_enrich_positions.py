@@ -110,3 +110,26 @@ def test_dense_bins(noms):
     late = cohorts.dense_win_fraction(noms.withColumn("b", F.col("period") + 40), "b", None).orderBy("b").collect()
     assert [r.b for r in late] == [41, 42, 43] and sum(r.num_tot for r in late) == noms.count()
     assert cohorts.dense_win_fraction(noms.limit(0).withColumn("b", F.col("period")), "b").count() == 0
+
+
+def test_side_tables_never_multiply_rows(spark, noms):
+    external = spark.createDataFrame(
+        [("A", 1, "W1"), ("A", 1, "Dot"), ("A", 1, "Dot")], "category string, period int, winner string"
+    )
+    won = enrich.with_external_win(noms, external)
+    assert won.count() == noms.count()
+    hits = {(r.person, r.work) for r in won.filter("won_external").collect()}
+    assert hits == {("Ann Lee", "W1"), ("Dot", "W4")}
+    fixes = spark.createDataFrame([("W1", 1, 3.0), ("W1", 1, 2.0)], "work string, period int, score double")
+    fixed = enrich.apply_corrections(noms, fixes, ["work", "period"], "score")
+    assert fixed.count() == noms.count()
+    assert {r.score for r in fixed.filter("work = 'W1' and period = 1").collect()} == {3.0}
+    names = spark.createDataFrame([("a",), ("b",), ("c",)], "name string")
+    overrides = spark.createDataFrame([("a", "x2"), ("a", "x1")], "name string, id string")
+    found = spark.createDataFrame([("a", "y", 1), ("b", "z", 2), ("b", "w", 1)], "name string, id string, place int")
+    got = enrich.resolve_ids(names, overrides, found).collect()
+    assert sorted((r.name, r.id) for r in got) == [("a", "x1"), ("b", "w"), ("c", None)]
+    ratings = spark.createDataFrame([("W1", 0, 1, 7.0), ("W1", 0, 2, 6.0)], "work string, season_start int, season int, av_rating double")
+    lagged = enrich.lag_join(noms, ratings, 1, ["season", "av_rating"])
+    assert lagged.count() == noms.count()
+    assert {(r.season, r.av_rating) for r in lagged.filter("season is not null").collect()} == {(2, 6.0)}
