@@ -57,26 +57,47 @@ class ChatTokens:
     def encode(self, text: str) -> list[int]:
         return self.encoding.encode_ordinary(escape(text))
 
-    def turn(self, role: str, text: str) -> tuple[list[int], list[int]]:
-        """Ids of one turn, and the mask's steps: +1 and -1 at the ends of an assistant's text, else 0."""
-        head = [self.first + OPEN, *self.encode(role), self.first + SEPARATOR]
-        body = self.encode(text)
-        ids = [*head, *body, self.first + CLOSE]
-        steps = [0] * len(ids)
-        if role == "assistant":
-            steps[len(head)] += 1
-            steps[len(head) + len(body)] -= 1
-        return ids, steps
-
-    def written(self, ids: list[int]) -> str:
-        """The template's text form of a token sequence."""
-        out, start = [], 0
-        for place, token in enumerate([*ids, self.first]):
-            if token >= self.first:
-                out.append(self.encoding.decode_bytes(ids[start:place]).decode())
-                out.append(CONTROL[token - self.first] if place < len(ids) else "")
-                start = place + 1
-        return "".join(out)
+    def decode(self, ids: np.ndarray) -> str:
+        """The (still escaped) text of ids that hold no control string."""
+        return self.encoding.decode_bytes(ids.tolist()).decode()
+
+    def turns(self, roles: list[str], texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all turns end to end, the mask's steps beside them and the turns' offsets.
+
+        A step is +1 where an assistant's text begins and -1 where it ends, else 0.
+        """
+        ids: list[int] = []
+        offsets, begins, ends = [0], [], []
+        heads: dict[str, list[int]] = {}  # few roles: encoded once a batch
+        for role, text in zip(roles, texts, strict=True):
+            if role not in heads:
+                heads[role] = [self.first + OPEN, *self.encode(role), self.first + SEPARATOR]
+            ids += heads[role]
+            begin = len(ids)
+            ids += self.encode(text)
+            if role == "assistant":
+                begins.append(begin)
+                ends.append(len(ids))
+            ids.append(self.first + CLOSE)
+            offsets.append(len(ids))
+        steps = np.zeros(len(ids), np.int8)
+        np.add.at(steps, np.array(begins, np.int64), 1)
+        np.add.at(steps, np.array(ends, np.int64), -1)
+        return np.array(ids, np.int32), steps, np.array(offsets, np.int32)
+
+    def written(self, ids: np.ndarray) -> tuple[str, list[str]]:
+        """The template's text form of a token sequence, and the segments between its control strings."""
+        controls = np.flatnonzero(ids >= self.first)
+        segments, out, start = [], [], 0
+        for end in controls.tolist():
+            segments.append(self.decode(ids[start:end]))
+            out += [segments[-1], CONTROL[ids[end] - self.first]]
+            start = end + 1
+        return "".join(out), segments
+
+
+def _lists(offsets: np.ndarray, values: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
 
 
 _shared: dict[str, ChatTokens] = {}
@@ -115,26 +136,28 @@ def format_turns(conversations: DataFrame, ranks: Broadcast) -> DataFrame:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = _tokens(ranks)
         for batch in batches:
-            encoded = [tokens.turn(r, t) for r, t in zip(*(batch.column(c).to_pylist() for c in (2, 3)), strict=True)]
+            ids, steps, offsets = tokens.turns(batch.column(2).to_pylist(), batch.column(3).to_pylist())
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([e[0] for e in encoded], pa.list_(pa.int32())),
-                 pa.array([e[1] for e in encoded], pa.list_(pa.int8()))],
+                [*batch.columns, _lists(offsets, ids), _lists(offsets, steps)],
                 names=["conv_id", "turn", "role", "text", "ids", "steps"],
             )
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows():
-            last, level, number = object(), 0, 0
-            for batch in batches:
-                for conv, ids, steps in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
-                    if conv != last:
-                        last, level, number = conv, 0, 0
-                    mask = level + np.cumsum(steps)  # the prefix sum goes on from turn to turn
-                    level = int(mask[-1])
-                    yield conv, number, ids, mask.astype(np.int8)
-                    number += 1
-
-        return batches_of(rows(), _TOKENS, 1024)
+        last, number, level = object(), 0, 0
+        for batch in batches:
+            numbers = []
+            for conv in batch.column(0).to_pylist():
+                last, number = conv, number + 1 if conv == last else 0
+                numbers.append(number)
+            # The prefix sum goes on from turn to turn and batch to batch; every turn closes what it opens.
+            ids, steps = batch.column(1), batch.column(2).flatten().to_numpy()
+            mask = level + np.cumsum(steps, dtype=np.int64)
+            level = int(mask[-1]) if len(mask) else level
+            offsets = np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy())]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(numbers, pa.int64()), ids, _lists(offsets, mask.astype(np.int8))],
+                schema=_TOKENS,
+            )
 
     rows = conversations.select(
         F.col("conv_id").cast("bigint").alias("conv_id"),
@@ -162,23 +185,21 @@ def read_back(formatted: DataFrame, ranks: Broadcast) -> DataFrame:
         def rows():
             state = None
             for batch in batches:
-                for conv, number, ids, mask in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                convs, numbers = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+                for conv, number, ids, mask in zip(convs, numbers, batch.column(2), batch.column(3), strict=True):
                     if number == 0:
                         if state:
                             yield summary(state)
                         state = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0]
-                    middle = ids.index(tokens.first + SEPARATOR)
-                    role, text = (
-                        unescape(tokens.encoding.decode_bytes(part).decode()) for part in (ids[1:middle], ids[middle + 1 : -1])
-                    )
+                    ids, mask = ids.values.to_numpy(), mask.values.to_numpy()
+                    template, (_, role, text) = tokens.written(ids)
                     state[1] += 1
-                    state[2].update(f"{role}\n{text}\n".encode())
-                    learned = unescape(
-                        tokens.encoding.decode_bytes([t for t, m in zip(ids, mask, strict=True) if m]).decode()
-                    )
-                    state[3] += len(learned)
-                    state[4].update(learned.encode())
-                    state[5] += len(tokens.written(ids))
+                    state[2].update(f"{unescape(role)}\n{unescape(text)}\n".encode())
+                    if mask.any():
+                        learned = unescape(tokens.decode(ids[mask == 1]))
+                        state[3] += len(learned)
+                        state[4].update(learned.encode())
+                    state[5] += len(template)
                     state[6] += len(ids)
             if state:
                 yield summary(state)
