@@ -243,7 +243,21 @@ def with_interactions(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFr
 
 
 def multinomial_slot(wide: DataFrame, features: Sequence[str], label: str = "winning_slot"):
-    """Winner slot as a multi-class outcome on wide contest rows."""
+    """Winner slot as a multi-class outcome on wide contest rows, without intercept."""
     data = _vector(wide.filter(F.col(label).isNotNull()), features)
-    lr = LogisticRegression(family="multinomial", labelCol="label", maxIter=50)
+    lr = LogisticRegression(
+        family="multinomial", labelCol="label", maxIter=100, tol=1e-10, fitIntercept=False, standardization=False
+    )
     return lr.fit(data.withColumn("label", F.col(label).cast("double") - 1))
+
+
+def fitted_moments(df: DataFrame, fit: Fit) -> DataFrame:
+    """term, n, mean of x * p over the rows a model was fitted to (x = 1 for the intercept).
+
+    At the optimum these equal the means of x * y, which a reader can take from the data alone.
+    """
+    p = predict(fit.coefficients)
+    x = {t: F.col(t).cast("double") for t in fit.terms} | {"(Intercept)": F.lit(1.0)}
+    moments = [F.struct(F.lit(t).alias("term"), F.avg(v * p).alias("mean_xp")) for t, v in x.items()]
+    found = df.dropna(subset=fit.terms).agg(F.count(F.lit(1)).alias("n"), F.array(*moments).alias("m"))
+    return found.select("n", F.inline("m"))

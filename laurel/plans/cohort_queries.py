@@ -354,8 +354,10 @@ def wide_contests(spark: SparkSession, d: str, columns: list[str]) -> DataFrame:
     """Five-nominee, single-winner contests, one row each."""
     slotted = _slotted(spark, d)
     fit = slotted.groupBy("contest").agg(F.count(F.lit(1)).alias("n"), F.sum("won").alias("w"))
-    fit = fit.filter("n = 5 AND w = 1").select("contest")
-    return cohorts.pivot_contest_wide(slotted.join(fit, "contest", "left_semi"), ["contest"], columns, 5)
+    fitting = slotted.join(fit.filter("n = 5 AND w = 1").select("contest"), "contest", "left_semi")
+    if not set(columns) <= set(slotted.columns):  # features of the season rated before
+        fitting = enrich.with_lagged_ratings(fitting, tables.seasons(spark, d))
+    return cohorts.pivot_contest_wide(fitting, ["contest"], columns, 5)
 
 
 @query(

@@ -210,12 +210,58 @@ def score_pending_fixed(spark: SparkSession, d: str) -> DataFrame:
     return out.select(*ROW_KEY, "prev_noms", "prev_wins", F.round("pred", 9).alias("pred"))
 
 
+INTERACTIONS = [f"{level}_x_{x}" for level in ("early", "late") for x in ("av_rating", "av_kvotes")]
+
+
+def interaction_data(spark: SparkSession, d: str) -> DataFrame:
+    """Rated series nominees with rating and thousands of votes, each apart for early and late periods."""
+    from laurel.plans.features import lagged
+
+    data = lagged(spark, d).filter("cat_group = 'series'").select(
+        "won", "av_rating", (F.col("av_num_votes") / 1000).alias("av_kvotes"),
+        (F.col("period") < 40).alias("early"), (F.col("period") >= 40).alias("late"),
+    )
+    return glm.with_interactions(data, [tuple(t.split("_x_")) for t in INTERACTIONS])
+
+
 @query("interaction_terms")
 def interaction_terms(spark: SparkSession, d: str) -> DataFrame:
-    data = history.with_history(tables.nominations(spark, d)).withColumn("late", F.col("period") >= 40)
-    data = glm.with_interactions(data, [("prev_noms", "prev_wins"), ("late", "prev_noms")])
-    terms = ["prev_noms", "prev_wins", "prev_noms_x_prev_wins", "late_x_prev_noms"]
-    return _rounded(glm.tidy(spark, glm.fit_glm(data, terms)))
+    return _rounded(glm.tidy(spark, glm.fit_glm(interaction_data(spark, d), INTERACTIONS)))
+
+
+def _moments_sql(model: str, source: str, terms: list[str]) -> str:
+    complete = " AND ".join(f"{t} IS NOT NULL" for t in terms)
+    return " UNION ALL ".join(
+        f"SELECT '{model}' AS model, '{t}' AS term, count(*) AS n, round(avg(CAST({x} AS DOUBLE) * won), 3) AS mean_xy "
+        f"FROM {source} WHERE {complete}"
+        for t, x in [*((t, t) for t in terms), ("(Intercept)", "1")]
+    )
+
+
+_INTERACTION_SQL = """(SELECT won, CAST(period < 40 AS INT) * av_rating AS early_x_av_rating, CAST(period < 40 AS INT) * av_num_votes / 1000 AS early_x_av_kvotes,
+  CAST(period >= 40 AS INT) * av_rating AS late_x_av_rating, CAST(period >= 40 AS INT) * av_num_votes / 1000 AS late_x_av_kvotes
+  FROM t_lagged WHERE cat_group = 'series')"""
+
+
+@query(
+    "glm_score_equations",
+    " UNION ALL ".join([
+        _moments_sql("series", "(FROM t_model WHERE cat_group = 'series')", glm.SERIES_TERMS),
+        _moments_sql("acting", "(FROM t_model WHERE cat_group = 'acting')", glm.ACTING_TERMS),
+        _moments_sql("interaction", _INTERACTION_SQL, INTERACTIONS),
+    ]),
+)
+def glm_score_equations(spark: SparkSession, d: str) -> DataFrame:
+    """The fitted models at their optimum: mean x * p of each term equals the data's mean x * y."""
+    parts = []
+    for model, data, terms in (
+        ("series", modelling_table(spark, d).filter("cat_group = 'series'"), glm.SERIES_TERMS),
+        ("acting", modelling_table(spark, d).filter("cat_group = 'acting'"), glm.ACTING_TERMS),
+        ("interaction", interaction_data(spark, d), INTERACTIONS),
+    ):
+        parts.append(glm.fitted_moments(data, glm.fit_glm(data, terms)).withColumn("model", F.lit(model)))
+    found = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return found.select("model", "term", "n", F.round("mean_xp", 3).alias("mean_xy"))
 
 
 @query("pseudo_r2")
@@ -226,20 +272,13 @@ def pseudo_r2(spark: SparkSession, d: str) -> DataFrame:
 
 @query("multinomial_slot")
 def multinomial_slot(spark: SparkSession, d: str) -> DataFrame:
-    """Winner slot from the name lengths of the five slots."""
-    wide = wide_contests(spark, d, ["candidate"])
-    lengths = [f"len_{s}" for s in range(1, 6)]
-    wide = wide.select(
-        "contest", "winning_slot",
-        *[F.char_length(f"candidate_{s}").alias(f"len_{s}") for s in range(1, 6)],
-    )
-    model = glm.multinomial_slot(wide, lengths)
-    matrix, intercepts = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
-    rows = [
-        (s + 1, term, float(matrix[s][j])) for s in range(5) for j, term in enumerate(lengths)
-    ] + [(s + 1, "(Intercept)", float(intercepts[s])) for s in range(5)]
+    """Winner slot from the five slots' last seasons, without intercept: log odds against the first slot."""
+    terms = [f"later_season_{s}" for s in range(1, 6)]
+    wide = wide_contests(spark, d, ["later_season"])
+    matrix = glm.multinomial_slot(wide, terms).coefficientMatrix.toArray()
+    rows = [(s + 1, t, float(matrix[s][j] - matrix[0][j])) for s in range(1, 5) for j, t in enumerate(terms)]
     return spark.createDataFrame(rows, "slot int, term string, estimate double").select(
-        "slot", "term", F.round("estimate", 6).alias("estimate")
+        "slot", "term", F.round("estimate", 4).alias("estimate")
     )
 
 
