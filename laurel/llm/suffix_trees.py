@@ -37,6 +37,7 @@ from laurel.llm.common import batches_of, utf8, written
 WINDOW = 35
 PREFIX = 8
 GROUP = 256  # occurrences of an anchor that one task grows a tree for
+SALTS = 512  # tasks at most among which the occurrences of one span are dealt
 STEP = 7  # words by which a subtree grows at a time
 CHUNK = 1 << 18  # bytes of text hashed at a time, unless one document is longer
 
@@ -334,12 +335,16 @@ def packed_documents(docs: DataFrame) -> DataFrame:
 
 def repeated_places(docs: DataFrame) -> DataFrame:
     """Runs of repeated windows: doc_id, row_key, place. Rows may overlap."""
-    found = written(repeated_occurrences(docs), "suffix-occurrences")
-    classes = (
+    # Dealt at random once and stored, so that one passage's places can be counted and joined in many tasks.
+    salted = repeated_occurrences(docs).withColumn("salt", (F.rand() * SALTS).cast("int"))
+    found = written(salted, "suffix-occurrences")
+    dealt = (
         found.filter("branches")
-        .groupBy("anchor", "span")
+        .groupBy("anchor", "span", "salt")
         .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "row_key", "place")).alias("first"))
     )
+    dealt = written(dealt, "suffix-dealt")
+    classes = dealt.groupBy("anchor", "span").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
     classes = written(classes.select("anchor", "span", "n", "first.*"), "suffix-classes")
     groups = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("size"), F.min("n").alias("least")).filter("least = 1")
     needed = classes.join(written(groups, "suffix-groups"), "anchor").select("anchor", "n", "size", "doc_id", "row_key", "place")
@@ -364,8 +369,10 @@ def repeated_places(docs: DataFrame) -> DataFrame:
         .mapInArrow(_grow_trees, SPOT)
     )
     extended = extended_groups(fetched.filter(F.col("size") > GROUP))
-    same = classes.filter("n > 1").select("anchor", "span")
-    whole = found.filter("branches").join(same, ["anchor", "span"], "left_semi").unionByName(found.filter("not branches"))
+    same = dealt.select("anchor", "span", "salt").join(classes.filter("n > 1"), ["anchor", "span"], "left_semi")
+    same = written(same, "suffix-same")
+    repeated = found.filter("branches").join(same, ["anchor", "span", "salt"], "left_semi")
+    whole = repeated.unionByName(found.filter("not branches"))
     spots = whole.select("doc_id", "row_key", "place")
     return spots.unionByName(grown).unionByName(extended)
 
