@@ -30,6 +30,26 @@ def read_table(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query(
+    "read_csv_table",
+    """SELECT o_orderkey AS contest, o_orderpriority || ', "' || o_orderstatus || '"' AS label,
+       CASE WHEN o_orderstatus = 'F' THEN '' ELSE o_orderstatus END AS person,
+       CASE WHEN o_orderstatus <> 'O' THEN CAST(year(o_orderdate) AS INT) END AS period FROM orders""",
+)
+def read_csv_table(spark: SparkSession, d: str) -> DataFrame:
+    """Orders through a header CSV: quoted commas and quotes, empty strings, numbers that are ``NA``."""
+    status = F.col("o_orderstatus")
+    orders = tables.table(spark, d, "orders").select(
+        F.col("o_orderkey").cast("bigint").alias("contest"),
+        F.concat("o_orderpriority", F.lit(', "'), status, F.lit('"')).alias("label"),
+        F.when(status != "F", status).otherwise("").alias("person"),
+        F.when(status != "O", F.year("o_orderdate")).alias("period"),
+    )
+    path = scratch_path(spark, "csv")
+    orders.write.option("header", True).option("nullValue", "NA").csv(path)
+    return files.read_header_csv(spark, path, orders.schema)
+
+
 def sectioned_lines(spark: SparkSession, d: str) -> DataFrame:
     """Nominations rendered as sectioned text: year, category and nominee lines.
 

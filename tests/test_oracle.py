@@ -14,6 +14,7 @@ SF = "/root/testdata/sf0.001"
 SAMPLE = """
 rp_24 rp_11 rp_30 rp_36 prior_appearances prior_wins latest_state join_two_lags won_last_period
 winner_position winner_position_folded average_rank_capped first_rank_capped slot_number
+read_csv_table glm_score_equations multinomial_slot interaction_terms
 sectioned_to_rows html_table_cells rowspan_carry extract_block_after_header glm_single_factor stream_history
 """.split()
 NAMES = list(E.queries()) if os.environ.get("LAUREL_ALL_QUERIES") else SAMPLE
