@@ -12,7 +12,8 @@ mutations of the items at the full tolerance, measured before the search. Window
 lengths are put into classes); candidates are verified by exact edit distance against the item.
 
 Before the walk, windows that cannot match are passed over without loss: an item of n words and a stretch within d
-edits share at least n - 2 - 3d three-word sequences, so windows with fewer three-word sequences of any item are out.
+edits share at least n - 2 - 3d three-word sequences, so windows with fewer three-word sequences of any item are out
+(the least of these bounds over all items of a class of lengths; the trials go through this count too).
 
 The items are a query set: they are read in blocks of ``BLOCK_ITEMS``, each broadcast and held against all documents.
 
@@ -55,6 +56,11 @@ def edits_allowed(n: int) -> int:
     return int(TOLERANCE * n) if n >= EDITS_FROM else 0
 
 
+def shared_grams(n: int) -> int:
+    """Three-word sequences of an item of ``n`` words that the allowed edits cannot break."""
+    return max(n - (GRAM - 1) - GRAM * edits_allowed(n), 1)
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
@@ -136,6 +142,18 @@ class Items:
             keys.append(keys[-1] * base + column)
         return keys[1:]
 
+    def least_shared(self, members: list[int]) -> int:
+        """Three-word sequences that a stretch within the allowed edits shares with any of the items, at the least.
+
+        The edits allowed jump with the length, so the shortest item need not be the one that shares the fewest.
+        """
+        return min(shared_grams(len(self.items[n][1])) for n in members)
+
+    def _passes(self, window: np.ndarray, least: int) -> bool:
+        """Whether the count of known three-word sequences lets the window through."""
+        inside = (window[:-2] > 0) & (window[1:-1] > 0) & (window[2:] > 0)
+        return int((self.filter[gram_cells(window)] & inside).sum()) >= least
+
     def _tables(self, size: int, members: list[int]) -> list[tuple[list[np.ndarray], dict[int, list[int]]]]:
         """For each repetition the known leading samples (sorted) and the items by all samples.
 
@@ -145,11 +163,13 @@ class Items:
         draw = np.random.default_rng([SEED, size])
         chosen = [members[i % len(members)] for i in range(max(TRIALS, len(members)))]
         changed = [mutated(self.items[n][1], edits_allowed(len(self.items[n][1])), draw) for n in chosen]
+        least = self.least_shared(members)
+        passed = np.array([self._passes(window, least) for window in changed])
         met = np.zeros(len(changed), bool)
         while not tables or (met.mean() < RECALL and len(tables) < MOST_REPETITIONS):
             own = self._walk(size, [self.items[n][1] for n in members], len(tables))
             trial = self._walk(size, changed, len(tables))
-            met |= (own[np.arange(len(changed)) % len(members)] == trial).all(1)
+            met |= (own[np.arange(len(changed)) % len(members)] == trial).all(1) & passed
             keys = self._keys(own)
             by_key: dict[int, list[int]] = {}
             for number, key in zip(members, keys[-1].tolist(), strict=True):
@@ -162,9 +182,8 @@ class Items:
         n, found, base = len(hits) - 1, set(), len(self.vocabulary) + 1
         for size, members in self.classes.items():
             longest = len(self.items[members[-1]][1])
-            least = max(size - (GRAM - 1) - GRAM * edits_allowed(size), 1)
             ends = np.minimum(np.arange(n) + longest + edits_allowed(longest), n)
-            starts = np.flatnonzero(hits[ends] - hits[:n] >= least)
+            starts = np.flatnonzero(hits[ends] - hits[:n] >= self.least_shared(members))
             if not len(starts):
                 continue
             for repetition, (leading, by_key) in enumerate(self.tables[size]):
