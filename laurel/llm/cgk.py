@@ -11,6 +11,9 @@ window are candidates if these agree. The number of repetitions is the least tha
 mutations of the items at the full tolerance, measured before the search. Windows are as long as the items (item
 lengths are put into classes); candidates are verified by exact edit distance against the item.
 
+Verbatim copies need no walk: the hash of a whole item is looked up at every place that begins like an item, and
+the words are compared. Items without allowed edits are searched in this way only.
+
 Before the walk, windows that cannot match are passed over without loss: an item of n words and a stretch within d
 edits share at least n - 2 - 3d three-word sequences, so windows with fewer three-word sequences of any item are out
 (the least of these bounds over all items of a class of lengths; the trials go through this count too).
@@ -46,6 +49,7 @@ TRIALS = 200  # trial mutations for each class of lengths
 MOST_REPETITIONS = 256  # of the trial; walks are made up to the number that reaches RECALL
 GRAM = 3
 FILTER_BITS = 24
+HASH_BASE = 0x9E3779B97F4A7C15
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -94,9 +98,12 @@ def walks(symbols: np.ndarray, starts: np.ndarray, n_symbols: int, repetition: i
 
 
 def sampled_places(size: int, repetition: int) -> list[int]:
-    """The places of the walk that a repetition samples, for windows of ``size``; early enough to lie inside it."""
+    """The steps of the walk that a repetition samples, for items of at least ``size`` words.
+
+    A step moves by one word at most, so steps below ``size`` lie inside every item.
+    """
     draw = np.random.default_rng([SEED, size, repetition])
-    return sorted(draw.choice(max(int(1.5 * size), SAMPLED), SAMPLED, replace=False).tolist())
+    return sorted(draw.choice(size, SAMPLED, replace=False).tolist())
 
 
 class Items:
@@ -114,6 +121,8 @@ class Items:
         self.classes: dict[int, list[int]] = {}  # least length -> the items up to an eighth longer
         least = 0
         for number, (_, codes) in enumerate(self.items):
+            if not edits_allowed(len(codes)):
+                continue  # the lookup of whole items finds all there is
             if not least or len(codes) > least * 9 // 8:
                 least = len(codes)
             self.classes.setdefault(least, []).append(number)
@@ -123,6 +132,13 @@ class Items:
         self.filter = np.zeros(1 << FILTER_BITS, bool)
         for _, codes in self.items:
             self.filter[gram_cells(codes)] = True
+        self.verbatim: dict[int, dict[int, list[int]]] = {}  # length -> hash of the whole item -> items
+        beginnings, first = [], np.zeros(1, np.int64)
+        for number, (_, codes) in enumerate(self.items):
+            whole = Sequences(codes)
+            beginnings.append(whole.hashes(first, LEAST_WORDS)[0])
+            self.verbatim.setdefault(len(codes), {}).setdefault(int(whole.hashes(first, len(codes))[0]), []).append(number)
+        self.beginnings = np.unique(np.array(beginnings, np.uint64))
         self.tables = {size: self._tables(size, members) for size, members in self.classes.items()}
 
     def _walk(self, size: int, windows: list[np.ndarray], repetition: int) -> np.ndarray:
@@ -177,6 +193,19 @@ class Items:
             tables.append(([np.unique(k) for k in keys], by_key))
         return tables
 
+    def copies(self, codes: np.ndarray) -> set[tuple[int, int]]:
+        """(item, start) of all places of ``codes`` whose next words have the hash of a whole item."""
+        found: set[tuple[int, int]] = set()
+        sequences = Sequences(codes)
+        opening = sequences.hashes(np.arange(len(codes) - LEAST_WORDS + 1), LEAST_WORDS)
+        at = np.minimum(np.searchsorted(self.beginnings, opening), len(self.beginnings) - 1)
+        starts = np.flatnonzero(self.beginnings[at] == opening)
+        for length, by_hash in self.verbatim.items():  # ascending
+            starts = starts[starts + length <= len(codes)]
+            for start, value in zip(starts.tolist(), sequences.hashes(starts, length).tolist(), strict=True):
+                found.update((number, start) for number in by_hash.get(value, ()))
+        return found
+
     def candidates(self, codes: np.ndarray, hits: np.ndarray) -> set[tuple[int, int]]:
         """(item, start) of all windows of ``codes`` that agree with an item in all samples of some repetition."""
         n, found, base = len(hits) - 1, set(), len(self.vocabulary) + 1
@@ -217,7 +246,7 @@ class Items:
         offset = np.array(offsets)
         verified: dict[tuple[int, bytes], tuple[int, int]] = {}
         close = []
-        for number, start in sorted(self.candidates(codes, hits)):
+        for number, start in sorted(self.copies(codes) | self.candidates(codes, hits)):
             at = int(np.searchsorted(offset, start, "right")) - 1
             local, item = start - offsets[at], self.items[number][1]
             if np.array_equal(coded[2 * at][local : local + len(item)], item):
@@ -249,6 +278,25 @@ def gram_cells(codes: np.ndarray) -> np.ndarray:
     return (_mixed(grams) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
 
 
+class Sequences:
+    """Hashes of word sequences of any length, the same wherever they stand: differences of sums modulo 2^64."""
+
+    def __init__(self, codes: np.ndarray) -> None:
+        terms = _mixed(codes.astype(np.uint64) + np.uint64(1)) * powers(HASH_BASE, len(codes))
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)])
+        self.back = powers(pow(HASH_BASE, -1, 1 << 64), len(codes))
+
+    def hashes(self, starts: np.ndarray, length: int) -> np.ndarray:
+        """Hashes of the ``length`` words from each start."""
+        return (self.sums[starts + length] - self.sums[starts]) * self.back[starts]
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    factors = np.full(n, base, np.uint64)
+    factors[:1] = 1
+    return np.cumprod(factors, dtype=np.uint64)
+
+
 def mutated(codes: np.ndarray, edits: int, draw: np.random.Generator) -> np.ndarray:
     """A copy with ``edits`` random insertions, deletions and replacements by words that are no item's."""
     out = codes.tolist()

@@ -32,3 +32,18 @@ def test_longer_item_of_a_class_is_found_with_few_sequences_left():
     items = cgk.Items(list(enumerate(texts)))
     changed = [f"x b0 b1 b2 b3 y{i} b5 b6 z b8 b9 x" for i in range(5)]  # two edits, two sequences of eight left
     assert all(hit[0][0] == 1 and hit[0][2] == 2 for hit in items.search([c.encode() for c in changed]))
+
+
+@pytest.mark.parametrize("n", [5, 6, 7, 8, 40])
+def test_verbatim_items_are_found_before_any_next_words(n):
+    draw = np.random.default_rng(n)
+    texts = [" ".join(f"v{v}" for v in draw.integers(0, 300, n)) for _ in range(300)]
+    items = cgk.Items(list(enumerate(texts)))
+    after = [" ".join(f"v{v}" for v in draw.integers(0, 300, 20)) for _ in texts]  # all words of the vocabulary
+    found = items.search([f"{b} {t} {a}".encode() for t, a, b in zip(texts, after, reversed(after), strict=True)])
+    assert all((i, 20, 0) in hits for i, hits in enumerate(found))
+    assert items.search([texts[0].encode(), b"", texts[1].encode()])[::2] == [[(0, 0, 0)], [(1, 0, 0)]]
+
+
+def test_samples_lie_inside_the_items():
+    assert all(max(cgk.sampled_places(size, r)) < size for size in (8, 9, 30, 400) for r in range(200))
