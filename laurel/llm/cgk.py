@@ -11,6 +11,10 @@ window are candidates if these agree. The number of repetitions is the least tha
 mutations of the items at the full tolerance, measured before the search. Windows are as long as the items (item
 lengths are put into classes); candidates are verified by exact edit distance against the item.
 
+Classes of lengths (of long items) for which ``MOST_REPETITIONS`` do not reach ``RECALL`` have no walks: every
+stretch that passes the count of shared sequences below goes straight to the exact edit distance, so none is lost.
+``Items.recall`` holds the recall of each class: measured by trials, or 1 without walks.
+
 Verbatim copies need no walk: the hash of a whole item is looked up at every place that begins like an item, and
 the words are compared. Items without allowed edits are searched in this way only.
 
@@ -27,6 +31,7 @@ tables give empty results.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -38,6 +43,8 @@ from pyspark.sql import functions as F
 
 from laurel.llm.common import LOWER_ALNUM, utf8
 
+log = logging.getLogger(__name__)
+
 TOLERANCE = 0.2
 RECALL = 0.98
 SAMPLED = 3
@@ -46,7 +53,7 @@ EDITS_FROM = 8  # shorter items must match word for word
 BLOCK_ITEMS = 20_000
 SEED = 20
 TRIALS = 200  # trial mutations for each class of lengths
-MOST_REPETITIONS = 256  # of the trial; walks are made up to the number that reaches RECALL
+MOST_REPETITIONS = 256  # a class of lengths that needs more is searched without walks
 GRAM = 3
 FILTER_BITS = 24
 HASH_BASE = 0x9E3779B97F4A7C15
@@ -139,7 +146,16 @@ class Items:
             beginnings.append(whole.hashes(first, LEAST_WORDS)[0])
             self.verbatim.setdefault(len(codes), {}).setdefault(int(whole.hashes(first, len(codes))[0]), []).append(number)
         self.beginnings = np.unique(np.array(beginnings, np.uint64))
-        self.tables = {size: self._tables(size, members) for size, members in self.classes.items()}
+        self.tables, self.recall, self.exact = {}, {}, {}
+        for size, members in self.classes.items():
+            tables, recall = self._tables(size, members)
+            if recall >= RECALL:
+                self.tables[size], self.recall[size] = tables, recall
+            else:
+                cells = [gram_cells(self.items[n][1]) for n in members]
+                self.exact[size] = np.concatenate(cells), np.cumsum([0, *map(len, cells[:-1])])
+                self.recall[size] = 1.0
+            log.info("items from %d words: recall %.3f by %s", size, self.recall[size], "walks" if size in self.tables else "alignment")
 
     def _walk(self, size: int, windows: list[np.ndarray], repetition: int) -> np.ndarray:
         """The sampled symbols of each window, one row a window."""
@@ -170,10 +186,10 @@ class Items:
         inside = (window[:-2] > 0) & (window[1:-1] > 0) & (window[2:] > 0)
         return int((self.filter[gram_cells(window)] & inside).sum()) >= least
 
-    def _tables(self, size: int, members: list[int]) -> list[tuple[list[np.ndarray], dict[int, list[int]]]]:
-        """For each repetition the known leading samples (sorted) and the items by all samples.
+    def _tables(self, size: int, members: list[int]) -> tuple[list[tuple[list[np.ndarray], dict[int, list[int]]]], float]:
+        """For each repetition the known leading samples (sorted) and the items by all samples; the measured recall.
 
-        As many repetitions as find RECALL of the trial mutations.
+        As many repetitions as find RECALL of the trial mutations, or MOST_REPETITIONS that do not.
         """
         tables: list[tuple[list[np.ndarray], dict[int, list[int]]]] = []
         draw = np.random.default_rng([SEED, size])
@@ -191,7 +207,7 @@ class Items:
             for number, key in zip(members, keys[-1].tolist(), strict=True):
                 by_key.setdefault(key, []).append(number)
             tables.append(([np.unique(k) for k in keys], by_key))
-        return tables
+        return tables, float(met.mean())
 
     def copies(self, codes: np.ndarray) -> set[tuple[int, int]]:
         """(item, start) of all places of ``codes`` whose next words have the hash of a whole item."""
@@ -206,13 +222,40 @@ class Items:
                 found.update((number, start) for number in by_hash.get(value, ()))
         return found
 
+    def starts(self, size: int, hits: np.ndarray) -> np.ndarray:
+        """Starts of all windows with enough three-word sequences for some item of the class."""
+        n, members = len(hits) - 1, self.classes[size]
+        longest = len(self.items[members[-1]][1])
+        ends = np.minimum(np.arange(n) + longest + edits_allowed(longest), n)
+        return np.flatnonzero(hits[ends] - hits[:n] >= self.least_shared(members))
+
+    def regions(self, codes: np.ndarray, hits: np.ndarray, offset: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(item, text, from, to) of all stretches in which an item whose class has no tables can stand.
+
+        Windows that overlap make one stretch, which ends with its text; an item stands in it only if enough of the
+        item's own three-word sequences occur there.
+        """
+        for size, (cells, firsts) in self.exact.items():
+            starts = self.starts(size, hits)
+            if not len(starts):
+                continue
+            members = self.classes[size]
+            longest = len(self.items[members[-1]][1])
+            needed = np.array([shared_grams(len(self.items[n][1])) for n in members])
+            at = np.searchsorted(offset, starts, "right") - 1
+            breaks = np.flatnonzero((np.diff(starts) > longest + edits_allowed(longest)) | (np.diff(at) > 0)) + 1
+            for run in np.split(np.arange(len(starts)), breaks):
+                text = int(at[run[0]])
+                begin, end = int(starts[run[0]]), min(int(starts[run[-1]]) + longest + edits_allowed(longest), int(ends[text]))
+                shared = np.add.reduceat(np.isin(cells, gram_cells(codes[begin:end])), firsts, dtype=np.int64)
+                for number in np.flatnonzero(shared >= needed).tolist():
+                    yield members[number], text, begin - int(offset[text]), end - int(offset[text])
+
     def candidates(self, codes: np.ndarray, hits: np.ndarray) -> set[tuple[int, int]]:
         """(item, start) of all windows of ``codes`` that agree with an item in all samples of some repetition."""
-        n, found, base = len(hits) - 1, set(), len(self.vocabulary) + 1
-        for size, members in self.classes.items():
-            longest = len(self.items[members[-1]][1])
-            ends = np.minimum(np.arange(n) + longest + edits_allowed(longest), n)
-            starts = np.flatnonzero(hits[ends] - hits[:n] >= self.least_shared(members))
+        found, base = set(), len(self.vocabulary) + 1
+        for size in self.tables:
+            starts = self.starts(size, hits)
             if not len(starts):
                 continue
             for repetition, (leading, by_key) in enumerate(self.tables[size]):
@@ -253,11 +296,15 @@ class Items:
                 found[at].setdefault(number, (local, 0))
             else:
                 close.append((number, at, local))
+        stretches = []
         for number, at, local in close:
+            allowed = edits_allowed(len(self.items[number][1]))
+            stretches.append((number, at, max(local - allowed, 0), local + len(self.items[number][1]) + 2 * allowed))
+        lengths = np.array([len(c) for c in coded[::2]])
+        stretches += self.regions(codes, hits, offset, offset + lengths)
+        for number, at, begin, end in stretches:
             item, best = self.items[number][1], found[at].get(number)
-            allowed = edits_allowed(len(item))
-            begin = max(local - allowed, 0)
-            stretch = coded[2 * at][begin : local + len(item) + 2 * allowed]
+            allowed, stretch = edits_allowed(len(item)), coded[2 * at][begin:end]
             if (best and best[1] == 0) or np.isin(item, stretch).sum() < len(item) - allowed:
                 continue
             key = number, stretch.tobytes()
@@ -308,22 +355,21 @@ def mutated(codes: np.ndarray, edits: int, draw: np.random.Generator) -> np.ndar
 
 def best_place(item: np.ndarray, stretch: np.ndarray) -> tuple[int, int]:
     """Least edits between ``item`` and any part of ``stretch``, and where that part begins."""
-    wanted, given = item.tolist(), stretch.tolist()
-    costs, begins = [0] * (len(given) + 1), list(range(len(given) + 1))
-    for i, word in enumerate(wanted, 1):
-        new_costs, new_begins = [i], [0]
-        for j, other in enumerate(given, 1):
-            options = (
-                (costs[j - 1] + (word != other), begins[j - 1]),
-                (costs[j] + 1, begins[j]),
-                (new_costs[-1] + 1, new_begins[-1]),
-            )
-            cost, begin = min(options, key=lambda o: o[0])
-            new_costs.append(cost)
-            new_begins.append(begin)
-        costs, begins = new_costs, new_begins
-    best = min(range(len(costs)), key=costs.__getitem__)
-    return costs[best], begins[best]
+    n = len(stretch)
+    places, wide = np.arange(n + 1), np.int64(n + 2)
+    costs, begins = np.zeros(n + 1, np.int64), places.copy()
+    for i, word in enumerate(item.tolist(), 1):
+        above = costs + 1
+        beside = costs[:-1] + (stretch != word)
+        diagonal = beside <= above[1:]
+        new_costs = np.concatenate([[i], np.where(diagonal, beside, above[1:])])
+        new_begins = np.concatenate([[0], np.where(diagonal, begins[:-1], begins[1:])])
+        # words of the stretch that the item lacks: the last place from which going on costs least
+        least = np.minimum.accumulate((new_costs - places) * wide - places)
+        source = -least % wide
+        costs, begins = (least + source) // wide + places, new_begins[source]
+    best = int(np.argmin(costs))
+    return int(costs[best]), int(begins[best])
 
 
 HIT = "array<struct<item_id:bigint,first_word:bigint,edits:bigint>>"

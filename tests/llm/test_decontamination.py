@@ -47,3 +47,36 @@ def test_verbatim_items_are_found_before_any_next_words(n):
 
 def test_samples_lie_inside_the_items():
     assert all(max(cgk.sampled_places(size, r)) < size for size in (8, 9, 30, 400) for r in range(200))
+
+
+def test_long_edited_items_are_all_found():
+    draw, n = np.random.default_rng(3), 3000
+    rows, docs = [(90, " ".join(f"short{j}" for j in range(20)))], ["before after " * n]
+    for i in range(6):
+        codes = draw.integers(1, 400, n)
+        rows.append((i, " ".join(f"i{i}w{v}" for v in codes)))
+        changed = [f"i{i}w{v}" if v else "changed" for v in cgk.mutated(codes, cgk.edits_allowed(n), draw)]
+        docs.append(" ".join(["before"] * 30 + changed + ["after"] * 30))
+    items = cgk.Items(rows)
+    none, *found = items.search([d.encode() for d in docs])
+    assert none == [] and [[items.items[h[0]][0] for h in hits] for hits in found] == [[i] for i in range(6)]
+    assert all(hits[0][2] <= cgk.edits_allowed(n) for hits in found)
+    assert min(items.recall.values()) >= cgk.RECALL
+
+
+def test_classes_without_walks_match_brute_force(monkeypatch):
+    monkeypatch.setattr(cgk, "RECALL", 1.01)  # beyond what walks can reach
+    monkeypatch.setattr(cgk, "MOST_REPETITIONS", 1)
+    draw = np.random.default_rng(9)
+    rows = [(i, " ".join(f"v{v}" for v in draw.integers(0, 40, n))) for i, n in enumerate(draw.integers(8, 40, 30).tolist())]
+    docs = []
+    for _, text in rows:
+        words = text.split()
+        for at in draw.integers(0, len(words), cgk.edits_allowed(len(words))).tolist():
+            words[at : at + 1] = [[], ["v1"], ["new", "new"]][int(draw.integers(3))]
+        docs.append(" ".join([*(f"v{v}" for v in draw.integers(0, 40, 30)), *words, "end"]))
+    items = cgk.Items(rows)
+    assert not items.tables and items.exact
+    coded = [np.array([items.vocabulary.get(w.encode(), 0) for w in d.split()], np.int64) for d in docs]
+    want = [{n for n, (_, item) in enumerate(items.items) if cgk.best_place(item, c)[0] <= cgk.edits_allowed(len(item))} for c in coded]
+    assert [{h[0] for h in hits} for hits in items.search([d.encode() for d in docs])] == want
