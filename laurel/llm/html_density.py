@@ -11,8 +11,8 @@ Text: character references decoded, white space inside a block as one space, blo
 line, nothing else cut.
 
 Defined cases: null or empty pages, and pages without text, give an empty text. Broken markup never fails: open
-elements end where a block, list item or table cell must end them. Pages are read whole. Equal rows each give a row.
-Only the columns page_id, url and html are read.
+elements, also left-out ones, end where a block, list item or table cell must end them. Pages are read whole. Equal
+rows each give a row. Only the columns page_id, url and html are read.
 """
 
 from __future__ import annotations
@@ -41,6 +41,13 @@ BLOCKS = set(
 # start tag -> open elements that it ends, up to the enclosing scope
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 SCOPES = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr"}, "th": {"tr"}}
+# the same for left-out elements: also parts of tables, whose end tags can be omitted too
+_CELLS, _PARTS = {"tr", "td", "th", "caption"}, {"tbody", "thead", "tfoot", "colgroup"}
+LEFT_ENDS = ENDS | {"tr": _CELLS | {"colgroup"}} | dict.fromkeys(_PARTS, _CELLS | _PARTS)
+LEFT_SCOPES = {t: SCOPES[t] | LEFT_OUT for t in ("li", "dt", "dd")} | dict.fromkeys(("td", "th"), {"tr", "table"}) | dict.fromkeys(_PARTS | {"tr"}, {"table"})
+# no block inside these ends a paragraph around them: they hold blocks, or are opened anew in the block
+P_SCOPES = BLOCKS | LEFT_OUT | set("a b big code em font i nobr s small strike strong tt u".split())
+HEAD = set("base basefont bgsound link meta noframes noscript script style template title head".split())
 LEFT_OUT_WORDS = set(
     """ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments
     commentlist consent cookie cookies disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice
@@ -103,7 +110,34 @@ def _parse(html: str) -> tuple[_Node, list[str | None]]:
             links -= node.tag == "a"
             articles -= node.tag in ("article", "main")
 
+    def implied(ends: set[str], scopes: set[str]) -> bool:
+        """Ends the outermost open left-out element of ``ends`` in the innermost scope; whether no scope was met."""
+        upto = len(skipping)
+        for depth in range(len(skipping) - 1, -1, -1):
+            if skipping[depth] in ends:
+                upto = depth
+            elif skipping[depth] in scopes:
+                del skipping[upto:]
+                return False
+        del skipping[upto:]
+        return True
+
+    def start_in_left_out(tag: str) -> None:
+        """Ends the open left-out elements that the start of ``tag`` ends, alone or with an element around them."""
+        if skipping[-1] == "head" and tag not in HEAD:
+            skipping.pop()
+        for ends, scopes, kept_scopes in (
+            ({"p"}, P_SCOPES, BLOCKS) if tag in BLOCKS else (set(), set(), set()),
+            (LEFT_ENDS.get(tag, set()), LEFT_SCOPES.get(tag, set()), SCOPES.get(tag, {"table"})),
+        ):
+            if ends and skipping and implied(ends, scopes) and skipping:
+                around = next((n.tag for n in reversed(stack) if n.tag in ends or n.tag in kept_scopes), None)
+                if around in ends:
+                    skipping.clear()  # that element is closed below
+
     def text(value: str) -> None:
+        if skipping == ["head"] and value.strip():
+            skipping.clear()
         if value and not skipping:
             value = unescape(value)
             runs.append(value)
@@ -140,6 +174,8 @@ def _parse(html: str) -> tuple[_Node, list[str | None]]:
                 close_at = html.find(">", ending.start()) if ending else -1
                 position = close_at + 1 if close_at >= 0 else len(html)
                 continue
+            if skipping:
+                start_in_left_out(tag)
             if skipping:
                 skipping += [tag] * (tag not in VOID and not attributes.endswith("/"))
                 continue
