@@ -1,7 +1,9 @@
 """Main text of web pages by composite text density.
 
 Method: the page becomes a tree of elements. Elements that never hold article text (menus, headers and footers of the
-page, sidebars, notices, adverts, forms, scripts, styles, reader comments, hidden parts) are left out. Every other
+page, sidebars, notices, adverts, forms, scripts, styles, reader comments, hidden parts) are left out. Where only the
+words of a class or id say so, an element stays if it holds the main or largest article element or, on pages
+that mark neither elsewhere, most of the text outside links: it is a wrapper, and the densities decide. Text of formulas belongs to their sentence. Every other
 node gets its composite text density: characters per tag, adjusted by the share of characters and tags in links. The
 node whose children's densities have the largest sum is the start of the content; an article or main element around
 it stands for it. The least density on the way from the body to it is the threshold: next to that way, subtrees
@@ -29,9 +31,15 @@ from laurel.llm.common import per_text, utf8
 
 # Element names of the markup language, by their role here.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style textarea title iframe noscript noembed noframes xmp template svg math".split())
+RAW = set("script style textarea title iframe noscript noembed noframes xmp template svg".split())
 LEFT_OUT = RAW | set(
-    "head nav footer aside form button select option dialog menu object embed canvas audio video map datalist input label".split()
+    """head nav footer aside form button select option dialog menu object embed canvas audio video map datalist input label
+    annotation annotation-xml""".split()
+)
+# formula markup: its text is part of the sentence, its elements count for no density
+MATH = set(
+    """math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms
+    mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics""".split()
 )
 BLOCKS = set(
     """address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer
@@ -65,35 +73,37 @@ _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\
 _NAME_PART = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 
-def _left_out(tag: str, attributes: str, in_article: bool) -> bool:
+def _left_out(tag: str, attributes: str, in_article: bool) -> tuple[bool, set[str]]:
+    """Whether the element is left out whatever it holds, and the words of its class and id that speak against it."""
     if tag in LEFT_OUT or (tag == "header" and not in_article):
-        return True
+        return True, set()
     if not attributes or tag in ("html", "body", "main"):
-        return False
+        return False, set()
     values = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
     if "hidden" in values or values.get("aria-hidden", "").lower() == "true":
-        return True
+        return True, set()
     if "display:none" in values.get("style", "").replace(" ", "").lower():
-        return True
+        return True, set()
     if values.get("role", "").lower() in LEFT_OUT_ROLES:
-        return True
+        return True, set()
     names = f"{values.get('class', '')} {values.get('id', '')}".split()
     parts = {p.lower() for name in names if not name.startswith(("has-", "no-", "with-")) for p in _NAME_PART.findall(name)}
     found = parts & LEFT_OUT_WORDS
-    return bool(found & {"comment", "comments", "commentlist"}) if tag == "article" else bool(found)
+    return False, found & {"comment", "comments", "commentlist"} if tag == "article" else found
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "children", "chars", "link_chars", "tags", "link_tags", "start", "end", "density", "total")
+    __slots__ = ("tag", "parent", "children", "chars", "link_chars", "tags", "link_tags", "start", "end", "density", "total", "words")
 
     def __init__(self, tag: str, parent: _Node | None, start: int) -> None:
         self.tag, self.parent, self.children, self.start, self.end = tag, parent, [], start, start
         self.chars = self.link_chars = self.tags = self.link_tags = 0
         self.density = self.total = 0.0
+        self.words: set[str] = set()  # words of class and id that speak against it
 
 
 def _parse(html: str) -> tuple[_Node, list[str | None]]:
-    """The tree without left-out elements, and the text runs in page order (None between blocks)."""
+    """The tree without elements that are always left out, and the text runs in page order (None between blocks)."""
     root = _Node("#root", None, 0)
     runs: list[str | None] = []
     stack = [root]
@@ -193,12 +203,15 @@ def _parse(html: str) -> tuple[_Node, list[str | None]]:
                     if stack[depth].tag in ENDS[tag]:
                         close(depth)
                         break
-            if _left_out(tag, attributes, articles > 0):
+            always, words = _left_out(tag, attributes, articles > 0)
+            if always or (words and (tag in VOID or attributes.endswith("/"))):
                 if tag in BLOCKS:
                     runs.append(None)
                 if tag not in VOID and not attributes.endswith("/"):
                     skipping.append(tag)
                 continue
+            if tag in MATH and not words:
+                continue
             if tag in VOID:
                 stack[-1].tags += 1
                 runs.append(None if tag == "hr" else " " if tag == "br" else "")
@@ -206,6 +219,7 @@ def _parse(html: str) -> tuple[_Node, list[str | None]]:
             if tag in BLOCKS:
                 runs.append(None)
             node = _Node(tag, stack[-1], len(runs))
+            node.words = words
             stack[-1].children.append(node)
             stack.append(node)
             links += tag == "a"
@@ -216,6 +230,46 @@ def _parse(html: str) -> tuple[_Node, list[str | None]]:
     return root, runs
 
 
+def _prune(root: _Node, runs: list[str | None]) -> None:
+    """Leaves out the elements whose class or id speaks against them, unless they are wrappers of the content.
+
+    Wrappers hold the main element or the article element with most text. On a page where no such element stands
+    outside of the elements in question, what holds over half of the text outside links is a wrapper too; elsewhere
+    an advert or the readers' comments can be longer than the article.
+    """
+    nodes, named = [root], False
+    for node in nodes:
+        nodes += node.children
+        named = named or bool(node.words)
+    if not named:
+        return
+    plain = {node: node.chars - node.link_chars for node in nodes}
+    for node in reversed(nodes[1:]):
+        plain[node.parent] += plain[node]
+    articles = [n for n in nodes if n.tag in ("article", "main") and not n.words and plain[n] > 0]
+    marked = {node for node in nodes if node.words}
+    for node in nodes[1:]:
+        if node.parent in marked:
+            marked.add(node)
+    free = any(node not in marked for node in articles)
+    wrappers = {root}
+    for node in [n for n in articles if n.tag == "main"] + sorted(articles, key=plain.__getitem__)[-1:]:
+        while node is not None and node not in wrappers:
+            wrappers.add(node)
+            node = node.parent
+    open_nodes = [root]
+    for node in open_nodes:
+        kept = []
+        for child in node.children:
+            most = 2 * plain[child] > plain[root] and not free
+            if child.words and child not in wrappers and not most:
+                runs[child.start : child.end] = [None if child.tag in BLOCKS else ""] * (child.end - child.start)
+            else:
+                kept.append(child)
+        node.children = kept
+        open_nodes += kept
+
+
 def _measure(root: _Node) -> list[_Node]:
     """Subtree counts, densities and sums of the children's densities; the nodes, parents first."""
     nodes = [root]
@@ -245,6 +299,7 @@ def _measure(root: _Node) -> list[_Node]:
 def main_text(html: str) -> str:
     """The article's text of one page."""
     root, runs = _parse(html)
+    _prune(root, runs)
     nodes = _measure(root)
     if not root.chars:
         return ""

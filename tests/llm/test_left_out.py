@@ -27,3 +27,31 @@ LONG = [f"Paragraph {i} of the article, which says a good deal and holds no link
 )
 def test_left_out_elements_end_without_end_tags(html, blocks):
     assert html_density.main_text(html.format(*LONG)) == "\n\n".join(LONG[:blocks])
+
+
+ARTICLE = "".join(f"<p>{p}</p>" for p in LONG)
+SIDE = "<div class='sidebar'><p>Short text beside it.</p><a href='/x'>link</a></div>"
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        f"<body><div class='container sidebar-right'><article>{ARTICLE}</article>{SIDE}</div></body>",
+        f"<body><div class='container sidebar-right'><div>{ARTICLE}</div>{SIDE}</div></body>",
+        f"<body><div class='content-with-sidebar'><main>{ARTICLE}</main>{SIDE}</div></body>",
+        f"<body><div class='content-with-sidebar'><div class='widget'>{ARTICLE}</div>{SIDE}</div></body>",
+        f"<body><article>{ARTICLE}</article><section class='related'><article><p>A short teaser.</p></article></section></body>",
+        f"<body><article>{ARTICLE}</article><section id='comments'>{'<p>Words of a reader, at length.</p>' * 60}</section></body>",
+        f"<body><div class='ad'>{'An advert longer than the article. ' * 40}</div><article>{ARTICLE}</article></body>",
+        f"<body><div class='container sidebar-right'><div>{ARTICLE}</div></div><div class='related'><article>Teaser.</article></div></body>",
+        f"<body><div class='social'><p>Follow us.</p></div><div>{ARTICLE}</div><div class='comments'><p>Nice.</p></div></body>",
+    ],
+)
+def test_words_of_a_class_do_not_take_wrappers(html):
+    assert html_density.main_text(html) == "\n\n".join(LONG)
+
+
+def test_formulas_are_text():
+    math = "<math><semantics><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow><annotation encoding='tex'>gone</annotation></semantics></math>"
+    html = f"<body><article>{ARTICLE}<p>Hence {math} holds <span class='ad'>gone </span>here.</p></article></body>"
+    assert html_density.main_text(html) == "\n\n".join([*LONG, "Hence x=2 holds here."])
