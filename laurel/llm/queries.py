@@ -19,7 +19,7 @@ def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return unigram.token_counts(table(spark, sf_dir, "documents"), unigram.default_vocabulary())
+    return unigram.token_counts(table(spark, sf_dir, "documents"), unigram.default_vocabulary(), whole_runs=True)
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

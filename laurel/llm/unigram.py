@@ -7,7 +7,9 @@ without a piece of its own scores ``least score - 10``, and such a character cou
 has all byte pieces, else a run of them counts one. Scores add up in double precision, left to right.
 
 Spaces become space marks, one stands in front of the text, and the text is cut before every mark, as the tokenizer
-does; the count of a part is remembered, so a frequent word is worked out once per process.
+does; the count of a part is remembered, so a frequent word is worked out once per process. With ``whole_runs`` a run
+of marks stays with the word after it and the mark in front is always added, so that pieces of several marks count as
+one, as in one search over the whole text: no piece holds a mark behind another character, so nothing is cut in two.
 
 The vocabulary file is a parameter. The files at hand hold merge ranks as scores; they are read as log scores as
 they stand, which gives a unigram tokenizer over the same pieces.
@@ -19,6 +21,7 @@ named columns are read.
 from __future__ import annotations
 
 import functools
+import re
 
 import ahocorasick
 import pyarrow as pa
@@ -29,6 +32,7 @@ from pyspark.sql import functions as F
 from laurel.llm.common import per_text, utf8
 
 MARK = "\u2581"
+_RUN_AND_WORD = re.compile(f"{MARK}+[^{MARK}]*")
 UNKNOWN_PENALTY = 10.0
 REMEMBERED = 400_000  # parts whose count is kept at a time; the store is emptied when full
 
@@ -45,9 +49,11 @@ class Unigram:
         self.automaton.make_automaton()
         self.remembered: dict[str, int] = {}
 
-    def count(self, text: str) -> int:
+    def count(self, text: str, whole_runs: bool = False) -> int:
         if not text:
             return 0
+        if whole_runs:
+            return self._count_runs(MARK + text.replace(" ", MARK))
         total, known = 0, self.remembered
         marked = text.replace(" ", MARK)
         for part in marked.removeprefix(MARK).split(MARK):  # a text that begins with a mark gets no second one
@@ -59,6 +65,17 @@ class Unigram:
             total += n
         return total
 
+    def _count_runs(self, marked: str) -> int:
+        total, known = 0, self.remembered  # these parts begin with a mark, those of ``count`` hold none
+        for part in _RUN_AND_WORD.findall(marked):
+            n = known.get(part)
+            if n is None:
+                if len(known) >= REMEMBERED:
+                    known.clear()
+                n = known[part] = self.pieces_of(part)
+            total += n
+        return total
+
     def pieces_of(self, part: str) -> int:
         """Number of pieces of the best path through ``part``."""
         ending: list[list[tuple[int, float]]] = [[] for _ in range(len(part) + 1)]
@@ -108,14 +125,14 @@ def _model(vocabulary: Broadcast) -> Unigram:
     return _shared[vocabulary.value[2]]
 
 
-def token_counts(docs: DataFrame, vocabulary_path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+def token_counts(docs: DataFrame, vocabulary_path: str, key: str = "doc_id", text: str = "text", whole_runs: bool = False) -> DataFrame:
     """One row per document: ``key``, code points and tokens. The vocabulary (one file) is broadcast."""
     pieces, byte_pieces = load_pieces(vocabulary_path)
     vocabulary = docs.sparkSession.sparkContext.broadcast((pieces, byte_pieces, hash(vocabulary_path)))
 
     def count(raw: bytes) -> tuple[int, int]:
         value = raw.decode()
-        return len(value), _model(vocabulary).count(value)
+        return len(value), _model(vocabulary).count(value, whole_runs)
 
     kind = pa.struct([("n_chars", pa.int64()), ("n_tokens", pa.int64())])
     udf = per_text(count, kind)
