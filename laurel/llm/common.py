@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pyspark.sql.window import Window
+
 from laurel.session import scratch_path
 
 WORD = r"[^\x20\x09-\x0D]+"  # bytes.split() cuts at exactly these characters
@@ -30,6 +32,21 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(rows: DataFrame, *order: Column, label: str) -> DataFrame:
+    """``rows`` with ``pos``, their places 0, 1, 2 .. in ``order``. Every task numbers its own range of rows; only one
+    count for each range meets in a window. The ranges are sampled, so ``rows`` should be cheap to read twice."""
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = written(ranged.withColumn("__at", F.monotonically_increasing_id()), label)
+    part = F.shiftright("__at", 33)
+    counts = placed.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
+    before = counts.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
+    return (
+        placed.join(before, part == before["__part"])
+        .withColumn("pos", F.col("__before") + F.col("__at").bitwiseAND((1 << 33) - 1))
+        .select(*rows.columns, "pos")
+    )
+
+
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 TEXTS_PER_BATCH = 1000
 

@@ -194,10 +194,87 @@ def _warc() -> str:
     """
 
 
+def _audit() -> str:
+    letters = {
+        "A": "n < 100", "B": "100 * distinct_words < 80 * n", "C": "100 * capitals > 10 * chars",
+        "D": "regexp_matches(body, '[#$%&*|]')", "E": "doc_id > first_id",
+    }
+    flags = ", ".join(f"coalesce({test}, false) AS {name}" for name, test in letters.items())
+    picked = " || ".join(f"CASE WHEN {name} THEN '{name}' ELSE '' END" for name in letters)
+    orders = " JOIN ".join(f"(VALUES {', '.join(f"('{x}')" for x in letters)}) AS t{i}(c{i})" + (
+        " ON " + " AND ".join(f"c{i} <> c{j}" for j in range(i)) if i else "") for i in range(5))
+    return f"""
+    WITH docs AS (
+      SELECT row_number() OVER () AS no, doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS body, {_WORDS} AS words
+      FROM documents),
+    measured AS (
+      SELECT *, len(words) AS n, len(list_distinct(words)) AS distinct_words, length(body) AS chars,
+             length(regexp_replace(body, '[^A-Z]', '', 'g')) AS capitals, min(doc_id) OVER (PARTITION BY body) AS first_id
+      FROM docs),
+    flagged AS (SELECT no, doc_id, part, {flags} FROM measured),
+    marks AS (
+      SELECT doc_id, bool_or(quality IS NOT DISTINCT FROM 1) AS good, bool_or(toxic IS NOT DISTINCT FROM 1) AS toxic
+      FROM labels GROUP BY doc_id),
+    judged AS (
+      SELECT part, {picked} AS failed, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+      FROM flagged LEFT JOIN marks USING (doc_id) GROUP BY ALL),
+    orders AS (SELECT c0 || c1 || c2 || c3 || c4 AS filter_order FROM {orders}),
+    steps AS (
+      SELECT filter_order, CAST(step AS INTEGER) AS step, filter_order[step] AS letter, filter_order[:step - 1] AS earlier
+      FROM orders, range(1, 6) AS s(step)),
+    cells AS (
+      SELECT part, filter_order, step, letter, n, good, toxic, failed = letter AS alone,
+             length(translate(failed, earlier, '')) < length(failed) AS gone, contains(failed, letter) AS fails
+      FROM judged, steps),
+    counted AS (
+      SELECT part, filter_order, step, letter, coalesce(sum(n) FILTER (NOT gone AND NOT fails), 0) AS kept,
+             coalesce(sum(n) FILTER (fails AND NOT gone), 0) AS removed,
+             coalesce(sum(n) FILTER (fails AND gone), 0) AS redundant,
+             coalesce(sum(n) FILTER (alone), 0) AS unique_fails,
+             coalesce(sum(good) FILTER (fails AND NOT gone), 0) AS good_lost,
+             coalesce(sum(toxic) FILTER (fails AND NOT gone), 0) AS toxic_lost
+      FROM cells GROUP BY ALL)
+    SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+           CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+           CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+           CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley
+    FROM counted
+    """
+
+
+def _fill_middle() -> str:
+    space = r"\x20\x09-\x0D"
+    tokens = rf"[{space}]*[^{space}]+|[{space}]+"
+    draws = ", ".join(f"CAST('0x' || substring(key, {8 * i + 1}, 8) AS BIGINT) AS h{i + 1}" for i in range(4))
+    return rf"""
+    WITH docs AS (
+      SELECT doc_id, coalesce(text, '') AS body, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key
+      FROM documents),
+    drawn AS (SELECT *, regexp_extract_all(body, '{tokens}') AS tokens, {draws} FROM docs),
+    placed AS (
+      SELECT *, len(tokens) AS n, least(h1 % (len(tokens) + 1), h2 % (len(tokens) + 1)) AS a,
+             greatest(h1 % (len(tokens) + 1), h2 % (len(tokens) + 1)) AS b FROM drawn),
+    parts AS (
+      SELECT doc_id, body, n, coalesce(array_to_string(tokens[:a], ''), '') AS prefix,
+             coalesce(array_to_string(tokens[a + 1:b], ''), '') AS middle,
+             coalesce(array_to_string(tokens[b + 1:], ''), '') AS suffix,
+             CASE WHEN body = '' OR h3 % 100 >= 50 OR contains(body, '<P>') OR contains(body, '<S>') OR contains(body, '<M>')
+                  THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM placed)
+    SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+           CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+           sha256(CASE form WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                  WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle ELSE body END) AS output_sha256,
+           sha256(body) AS restored_sha256
+    FROM parts
+    """
+
+
 ORACLES: dict[str, str] = {
     "op4_mixing": _mixing(),
     "op5_substring_dedup": _repeats(),
     "op7_chat_format": _chat(),
     "op8_quality": _quality(),
     "op9_warc": _warc(),
+    "op11_filter_audit": _audit(),
+    "op12_fill_middle": _fill_middle(),
 }

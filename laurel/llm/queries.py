@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from laurel.llm import cgk, chat, html_density, licenses, mixing, quality, simhash, suffix_trees, unigram, warc
+from laurel.llm import (
+    cgk, chat, fill_middle, filter_audit, html_density, licenses, mixing, quality, simhash, suffix_trees, syncmers,
+    unigram, warc,
+)
 from laurel.llm.common import table, written
 from laurel.llm.oracles import ORACLES  # noqa: F401
 
@@ -72,10 +75,35 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = fill_middle.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digest = lambda text: F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
+    return docs.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"),
+        digest(fill_middle.restored("output", "form")).alias("restored_sha256"),
+    )
+
+
+def op13_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = syncmers.fingerprints(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        F.char_length("text").cast("bigint").alias("n_chars"),
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        syncmers.as_text("anchors").alias("fingerprint"),
+        syncmers.as_text("edited_anchors").alias("edited_fingerprint"),
+        "near_edited", "near_next",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_main_text, op2_token_counts, op3_decontamination, op4_mixing, op5_substring_dedup, op6_simhash,
-        op7_chat_format, op8_quality, op9_warc, op10_license_scan,
+        op7_chat_format, op8_quality, op9_warc, op10_license_scan, op11_filter_audit, op12_fill_middle, op13_syncmers,
     )
 }
