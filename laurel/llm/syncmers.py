@@ -13,7 +13,7 @@ likeness is 2m / (u + m): Dice's share of common anchors, 1 for equal fingerprin
 0.5 for texts that share a half.
 
 Next documents: rows with equal id and text are one key with a count. The keys are numbered in order (ids descending, null
-last, equal ids by SHA-256 of the text) on narrow rows. Texts are grouped by key and then dealt by number into runs of
+last, equal ids by SHA-256 of id and text) on narrow rows. Texts are grouped by key and then dealt by number into runs of
 ``RUN``; the first of each run also goes to the run before it, so every text meets its next in a window over one
 run. No text passes through one task or the driver; texts are shuffled twice.
 
@@ -41,8 +41,9 @@ SLACK = 8
 RUN = 64
 COPIES = 1 << 16  # output rows that one array may stand for
 
-UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
-UNIT = rf"[{UNSPACED}]|[^\x20\x09-\x0D{UNSPACED}]+"
+# Thai and Lao, Myanmar, Khmer, kana, Han.
+UNSPACED = r"[\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u9FFF\uF900-\uFAFF\x{20000}-\x{3FFFF}]"
+SPACE = r"[\x20\x09-\x0D]+"
 ANCHORS = "array<struct<h: bigint, p: int>>"
 
 
@@ -51,13 +52,20 @@ def _select(df: DataFrame, **columns: Column) -> DataFrame:
     return df.withColumns(columns)
 
 
+def units(text: Column) -> Column:
+    """The words of a text; characters of unspaced scripts each by themselves."""
+    spread = F.when(text.rlike(UNSPACED), F.regexp_replace(text, f"({UNSPACED})", " $1 ")).otherwise(text)
+    return F.filter(F.split(spread, SPACE), lambda unit: unit != "")
+
+
 def with_sketch(df: DataFrame, text: str, into: str, k: int = K, s: int = S, sketch: int = SKETCH) -> DataFrame:
-    """``df`` with ``into``: the fingerprint's anchors (hash h, place p), by hash."""
+    """``df`` with ``into``: the fingerprint's anchors (hash h, place p), by hash.
+
+    A k-mer's hash is that of inner runs that cover it, so one pass over the units' hashes serves both.
+    """
     hashes, inner, found = (f"__{into}_{n}" for n in ("hashes", "inner", "found"))
-    n = F.size(hashes)
-    span = k - s + 1
-    unit_hashes = F.transform(F.regexp_extract_all(text, F.lit(UNIT), F.lit(0)), lambda unit: F.xxhash64(unit))
-    df = _select(df, **{hashes: F.when(F.col(text) != "", unit_hashes).otherwise(F.array().cast("array<bigint>"))})
+    n, span = F.size(hashes), k - s + 1
+    df = _select(df, **{hashes: F.transform(units(F.col(text)), lambda unit: F.xxhash64(unit))})
     runs = F.transform(
         F.sequence(F.lit(0), n - s), lambda i: F.xxhash64(*(F.get(hashes, i + j) for j in range(s)))
     )
@@ -71,7 +79,8 @@ def with_sketch(df: DataFrame, text: str, into: str, k: int = K, s: int = S, ske
         return edge <= (F.least(*middle) if len(middle) > 1 else middle[0])
 
     def anchor(i: Column) -> Column:
-        return F.struct(F.xxhash64(F.slice(hashes, i + 1, k)).alias("h"), i.cast("int").alias("p"))
+        covering = [F.get(inner, i + j) for j in (*range(0, span - 1, s), span - 1)]
+        return F.struct(F.xxhash64(*covering).alias("h"), i.cast("int").alias("p"))
 
     anchors = F.transform(F.filter(F.sequence(F.lit(0), n - k), closed), anchor)
     short = F.array(F.struct(F.xxhash64(hashes).alias("h"), F.lit(0).alias("p")))
@@ -112,32 +121,36 @@ def with_likeness(df: DataFrame, a: str, b: str, into: str, sketch: int = SKETCH
     return _select(df, **{into: likeness.cast("double")}).drop(union, shifts)
 
 
+def _key() -> Column:
+    """One digest of a row's id and whole text."""
+    text = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), F.coalesce("text", F.lit("")))
+    return F.unhex(F.sha2(text.cast("binary"), 256))
+
+
 def keys(docs: DataFrame) -> tuple[DataFrame, int]:
-    """Distinct (doc_id, digest) with count and ``pos``, its place in descending order; and how many there are."""
-    rows = docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("digest"))
-    distinct = written(rows.groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("copies")), "syncmer-keys")
-    placed = numbered(distinct, F.col("doc_id").desc_nulls_last(), F.col("digest").asc(), label="syncmer-order")
-    return placed, distinct.count()
+    """Distinct keys with count (``copies``) and ``pos``, the place in descending order of ids; and how many there are."""
+    rows = docs.select("doc_id", _key().alias("key"))
+    distinct = written(
+        rows.groupBy("key").agg(F.first("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")), "syncmer-keys"
+    )
+    placed = numbered(distinct, F.col("doc_id").desc_nulls_last(), F.col("key").asc(), label="syncmer-order")
+    return placed.select("key", "copies", "pos"), distinct.count()
 
 
-def with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, text, next_text and ``copies``: a row for each different document, and one for the copies that follow
-    themselves, each standing for ``copies`` rows of ``docs``."""
+def with_run(docs: DataFrame) -> DataFrame:
+    """doc_id, text and copies of every different row, with ``run``, its ``place`` there, and ``guest`` for the first of a
+    run as it stands behind the run before. Rows of a run share a partition."""
     order, total = keys(docs)
-    text = F.coalesce("text", F.lit(""))
-    texts = docs.select("doc_id", text.alias("text"), F.sha2(text.cast("binary"), 256).alias("digest"))
-    once = texts.groupBy("doc_id", "digest").agg(F.first("text").alias("text"))
-    side = order.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"), "copies", "pos")
-    known = once.join(side, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("digest") == F.col("__digest")))
-    last = F.lit(max(total, 1))
-    before = F.pmod(F.col("pos") - 1, last)
-    own = F.struct(F.expr(f"pos div {RUN}").alias("run"), F.col("pos").alias("place"), F.lit(False).alias("guest"))
-    guest = F.struct(F.expr(f"pmod(pos - 1, {max(total, 1)}) div {RUN}").alias("run"), (before + 1).alias("place"), F.lit(True).alias("guest"))
-    places = F.when(F.col("pos") % RUN == 0, F.array(own, guest)).otherwise(F.array(own))
-    dealt = known.select("doc_id", "text", "copies", F.explode(places).alias("at")).select(
-        "doc_id", "text", "copies", "at.*"
+    once = docs.select(_key().alias("key"), "doc_id", F.coalesce("text", F.lit("")).alias("text")).groupBy("key").agg(
+        F.first("doc_id").alias("doc_id"), F.first("text").alias("text")
     )
-    return dealt.repartition("run")
+    before = F.pmod(F.col("pos") - 1, F.lit(max(total, 1)))
+    run = lambda pos: F.floor(pos / RUN).alias("run")
+    own = F.struct(run(F.col("pos")), F.col("pos").alias("place"), F.lit(False).alias("guest"))
+    guest = F.struct(run(before), (before + 1).alias("place"), F.lit(True).alias("guest"))
+    places = F.when(F.col("pos") % RUN == 0, F.array(own, guest)).otherwise(F.array(own))
+    dealt = once.join(order, "key").select("doc_id", "text", "copies", F.explode(places).alias("at"))
+    return dealt.select("doc_id", "text", "copies", "at.*").repartition("run")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -145,7 +158,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     ``edited`` is the text with its last half replaced by the beginning of the next document's.
     """
-    dealt = with_sketch(with_next(docs), "text", "anchors")
+    dealt = with_sketch(with_run(docs), "text", "anchors")
     run = Window.partitionBy("run").orderBy("place", "guest")
     met = (
         dealt.withColumns({"next_text": F.lead("text").over(run), "next_anchors": F.lead("anchors").over(run)})
