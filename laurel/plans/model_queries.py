@@ -18,7 +18,7 @@ from laurel.plans.relational_queries import ACTING_COEFS, SERIES_COEFS
 from laurel.session import scratch_path
 from laurel.schema import CONTEST
 from laurel.sources import tables
-from laurel.streaming.history import stream_history
+from laurel.streaming.history import read_history, stream_history
 
 ROW = "period, category, person, work"
 
@@ -306,5 +306,4 @@ def stream_history_query(spark: SparkSession, d: str) -> DataFrame:
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
     root = scratch_path(spark, "stream")
     stream_history(event_contests(events), root).awaitTermination()
-    out = spark.read.parquet(f"{root}/history")
-    return out.select("entity", "period", "category", "order_key", "won", "prev_noms", "prev_wins")
+    return read_history(spark, root).select("entity", "period", "category", "order_key", "won", "prev_noms", "prev_wins")

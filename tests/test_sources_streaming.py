@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from laurel.operators import history as H
 from laurel.schema import NOMINATIONS, RATINGS
 from laurel.sources import files, html
-from laurel.streaming.history import history_step, stream_history
+from laurel.streaming.history import history_step, read_history, stream_history
 
 PAGE = """<!-- <table><tr><td>no</td></tr></table> --><table><tr><th>Year</th><th>Actor</th></tr>
 <tr><td rowspan=2>1999</td><td><a href="/x?a>b">Ann</a> &amp; <i>co</i></td></tr><tr><td><i>Bob</i></td></tr></table>
@@ -111,6 +111,34 @@ def test_stream_equals_batch_and_drops_late(spark, noms, tmp_path):
     assert spark.read.parquet(f"{root}/late").count() == 1
 
 
+def test_periods_cut_over_batches_and_files(spark, tmp_path):
+    """Every period comes in three batches of two files, each in reverse order; state of others stays as it is."""
+    rows = [
+        (f"e{i % 3}" if i % 11 else None, 1 + i // 40, "AB"[i % 2], (i * 7) % 40, int(i % 4 == 0)) for i in range(160)
+    ]
+    schema = "entity string, period int, category string, order_key int, won int"
+    src, root = str(tmp_path / "src"), str(tmp_path / "root")
+    for period in (1, 2, 3, 4):
+        for part in (2, 1, 0):
+            some = [r for r in rows if r[1] == period and r[3] % 3 == part]
+            spark.createDataFrame(some, schema).repartition(2).write.mode("append").parquet(src)
+            stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+            stream_history(stream, root).awaitTermination()
+    want, seen = {}, {}
+    for entity, period, category, order_key, won in sorted(rows, key=lambda r: r[1:]):
+        noms, wins = seen.get(entity, (0, 0))
+        want[entity, period, category, order_key] = (won, noms, wins, noms - wins)
+        seen[entity] = (noms + 1, wins + won)
+    got = read_history(spark, root).collect()
+    assert {tuple(r)[:4]: tuple(r)[4:] for r in got} == want and len(got) == len(rows)
+    assert spark.read.parquet(f"{root}/late").count() == 0
+    only = spark.createDataFrame([("e1", 5, "A", 1, 1), ("new", 1, "A", 1, 1)], schema)
+    only.coalesce(1).write.mode("append").parquet(src)
+    query = stream_history(spark.readStream.schema(schema).parquet(src), root)
+    query.awaitTermination()
+    assert sum(o.numRowsUpdated for o in query.lastProgress.stateOperators) <= 2 * 3  # two entities of five, not all
+
+
 def test_step_is_repeatable(spark, noms):
     rows = event_rows(spark, noms)
     state = spark.createDataFrame([("Ann Lee", 4, 1, 0)], "entity string, noms bigint, wins bigint, last_period bigint")
