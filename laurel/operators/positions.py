@@ -6,10 +6,21 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from laurel.schema import POSITION_CAP
 
 
+def collated(df: DataFrame, order: Sequence[str | Column], collation: str | None) -> list[Column]:
+    """Sort columns; those that are names of text columns sort by ``collation``, e.g. UNICODE, en or de_CI_AI.
+
+    None keeps the order of bytes.  Expressions are taken as they are.
+    """
+    text = {f.name for f in df.schema if isinstance(f.dataType, StringType)}
+    columns = [(c, F.col(c)) if isinstance(c, str) else (None, c) for c in order]
+    return [F.collate(column, collation) if collation and name in text else column for name, column in columns]
+
+
 def _earlier_than_pick(df: DataFrame, keys: Sequence[str], pick: Column, order: Column) -> DataFrame:
     """Per contest: rows, and rows whose ``order`` sorts before ``pick``.
 
@@ -37,13 +48,14 @@ def winner_position(
     cap: int = POSITION_CAP,
     name: str = "winner_pos",
     drop_no_winner: bool = False,
+    collation: str | None = None,
 ) -> DataFrame:
-    """Position of the first winner in the sorted contest, capped.
+    """Position of the first winner in the sorted contest, capped; texts sort by ``collation``.
 
     A contest without winner counts as the cap unless ``drop_no_winner``.
     """
     first_winner = F.min(F.when(F.col("won") == 1, F.col("__o")))
-    out = _earlier_than_pick(df, keys, first_winner, F.struct(*order))
+    out = _earlier_than_pick(df, keys, first_winner, F.struct(*collated(df, order, collation)))
     if drop_no_winner:
         out = out.filter("__has")
     pos = F.when(F.col("__has"), F.least(F.col("__before") + 1, F.lit(cap))).otherwise(F.lit(cap))
@@ -51,14 +63,17 @@ def winner_position(
 
 
 def winner_position_folded(
-    df: DataFrame, keys: Sequence[str], value: str, listing: Sequence[str], name: str = "winner_idx"
+    df: DataFrame, keys: Sequence[str], value: str, listing: Sequence[str], name: str = "winner_idx",
+    collation: str | None = None, fold: bool = True,
 ) -> DataFrame:
     """0-based index of the first-listed nominee's value among the sorted values.
 
-    Equal values share their first index.  In contests of more than five the
-    last index folds to 4 and the one before to 3; the others stay.
+    Equal values share their first index; texts compare by ``collation``.  In contests of more than five the
+    last index folds to 4 and the one before to 3 (unless ``fold`` is off); the others stay.
     """
     keys = list(keys)
+    df = df.withColumn("__value", *collated(df, [value], collation))
+    value = "__value"
     pick = F.min_by(F.col(value), F.struct(*listing))
     picks = df.groupBy(*keys).agg(pick.alias("__pick"))
     counted = (
@@ -74,4 +89,5 @@ def winner_position_folded(
     folded = (
         F.when((n > 5) & (i == n - 1), 4).when((n > 5) & (i == n - 2), 3).otherwise(i)
     )
+    folded = folded if fold else i
     return counted.select(*keys, folded.cast("int").alias(name))

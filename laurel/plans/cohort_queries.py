@@ -441,6 +441,7 @@ def prior_group_label(spark: SparkSession, d: str) -> DataFrame:
 _WINPOS = """SELECT contest, {keep} CAST(least(coalesce(min(CASE WHEN won = 1 THEN r END), 5), 5) AS INT) AS winner_pos
   FROM (SELECT *, row_number() OVER (PARTITION BY contest ORDER BY {order}, line, part_id, supp_id, score) AS r FROM {src} WHERE {where})
   GROUP BY ALL"""
+SMALL = "abcdefghijklmnopqrstuvwxyz"
 SURNAME_SQL = "split_part(person, ' ', -1)"
 
 
@@ -449,10 +450,12 @@ def acting_lists(spark: SparkSession, d: str, tie_width: int | None = None) -> D
     return lists.withColumn("surname", text.surname("person"))
 
 
-def position_table(spark: SparkSession, d: str, order: list, group: str = "acting", tie_width: int | None = None) -> DataFrame:
+def position_table(
+    spark: SparkSession, d: str, order: list, group: str = "acting", tie_width: int | None = None, collation: str | None = None
+) -> DataFrame:
     lists = tables.shortlists(spark, d, tie_width).filter(F.col("cat_group") == group)
     lists = lists.withColumn("surname", text.surname("person"))
-    return positions.winner_position(lists, ["contest", "category"], [*order, *tables.LINE_KEY])
+    return positions.winner_position(lists, ["contest", "category"], [*order, *tables.LINE_KEY], collation=collation)
 
 
 def winpos_sql(order: str, group: str = "acting", src: str = "t_short") -> str:
@@ -589,6 +592,30 @@ def winner_position(spark: SparkSession, d: str) -> DataFrame:
     return position_table(spark, d, ["surname"], tie_width=20000).select("contest", "category", "winner_pos")
 
 
+# Letters sort without regard to case; where they are equal, the small one stands first.
+_CASED = "CASE WHEN line % 2 = 0 THEN upper({0}) ELSE {0} END"
+_SWAPPED = f"translate(x, '{SMALL}{SMALL.upper()}', '{SMALL.upper()}{SMALL}')"
+
+
+@query(
+    "winner_position_collated",
+    f"""SELECT contest, CAST(least(coalesce(min(place) FILTER (won = 1), 5), 5) AS INT) AS winner_pos,
+               CAST(max(i) AS INT) AS first_idx FROM (
+          SELECT *, row_number() OVER (PARTITION BY contest ORDER BY folded, swapped, line, part_id, supp_id, score) AS place,
+                 count(*) FILTER (WHERE (folded, swapped) < pick) OVER (PARTITION BY contest) AS i FROM (
+            SELECT *, first_value((folded, swapped)) OVER (PARTITION BY contest ORDER BY line, part_id, supp_id, score) AS pick FROM (
+              SELECT *, lower(x) AS folded, {_SWAPPED} AS swapped FROM (
+                SELECT *, {_CASED.format(SURNAME_SQL)} AS x FROM t_short_ties WHERE cat_group = 'acting')))) GROUP BY 1""",
+)
+def winner_position_collated(spark: SparkSession, d: str) -> DataFrame:
+    """Positions by surname in the order of a locale, where every other surname is in capitals."""
+    lists = acting_lists(spark, d, tie_width=20000)
+    cased = lists.withColumn("surname", F.when(F.col("line") % 2 == 0, F.upper("surname")).otherwise(F.col("surname")))
+    first = positions.winner_position_folded(cased, ["contest"], "surname", tables.LINE_KEY, "first_idx", collation="en", fold=False)
+    place = positions.winner_position(cased, ["contest"], ["surname", *tables.LINE_KEY], collation="en")
+    return place.join(first, "contest").select("contest", "winner_pos", "first_idx")
+
+
 _FOLDED = """SELECT contest, CAST(CASE WHEN n > 5 AND i = n - 1 THEN 4 WHEN n > 5 AND i = n - 2 THEN 3 ELSE i END AS INT) AS {name} FROM (
   SELECT contest, count(*) AS n, count(*) FILTER (WHERE x < pick) AS i FROM (
     SELECT *, first_value(x) OVER (PARTITION BY contest ORDER BY line, part_id, supp_id, score) AS pick

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from laurel.functions import text
+from laurel.operators.groupwise import with_position
 from laurel.plans.registry import query
 from laurel.session import scratch_path
 from laurel.sources import files, html, tables
@@ -180,8 +181,10 @@ def html_table_cells(spark: SparkSession, d: str) -> DataFrame:
         SELECT {_PAGE}, 2, CASE WHEN person = '' THEN 'none' ELSE person END, 1 FROM t_noms""",
 )
 def html_cell_text(spark: SparkSession, d: str) -> DataFrame:
-    cells = html.linked_cells(html.html_cells(nominee_pages(spark, d)))
-    return cells.select("page", "col_no", "text", "rowspan")
+    html.register_html_cells(spark)
+    pages = nominee_pages(spark, d).filter(F.lower("html").contains("<table"))
+    cells = spark.sql("SELECT page, c.* FROM {pages}, LATERAL html_cells(html) AS c", pages=pages)
+    return html.linked_cells(cells).select("page", "col_no", "text", "rowspan")
 
 
 @query(
@@ -292,8 +295,8 @@ def write_sorted_table(spark: SparkSession, d: str) -> DataFrame:
 def append_by_period(spark: SparkSession, d: str) -> DataFrame:
     path = scratch_path(spark, "by-period")
     noms = tables.nominations(spark, d)
-    for group in ("acting", "series"):
-        files.append_by_period(noms.filter(F.col("cat_group") == group), path, ["category", "work"])
+    for group in ("acting", "series", "acting"):  # a group that comes again takes the place of its former rows
+        files.append_by_period(noms.filter(F.col("cat_group") == group), path, ["category", "work"], within=["cat_group"])
     stored = spark.read.parquet(path)
     return stored.groupBy("period", "cat_group").agg(
         F.count(F.lit(1)).alias("n"), F.sum("won").alias("wins")
@@ -309,6 +312,20 @@ def write_json_map(spark: SparkSession, d: str) -> DataFrame:
     return files.json_map_lines(counts, "candidate", "n")
 
 
+@query(
+    "write_json_object",
+    """SELECT candidate, CAST(count(*) AS BIGINT) AS n, CAST(row_number() OVER (ORDER BY candidate) AS BIGINT) AS place
+       FROM t_noms GROUP BY 1""",
+)
+def write_json_object(spark: SparkSession, d: str) -> DataFrame:
+    """One JSON object over ordered part files, read back; the entries stand in key order."""
+    counts = tables.nominations(spark, d).groupBy("candidate").agg(F.count(F.lit(1)).alias("n"))
+    path = scratch_path(spark, "json-object")
+    files.write_json_object(counts, "candidate", "n", path)
+    back = files.read_json_map(spark, path, "n", "candidate", "bigint", object_lines=True)
+    return with_position(back, [], F.substring("candidate", 1, 1), ["candidate"], "place")
+
+
 @query(
     "literal_table",
     """SELECT category, period, work, person, won FROM t_noms

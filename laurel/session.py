@@ -25,6 +25,9 @@ def local_session(cores: str = "8", shuffle_partitions: str | None = None) -> Sp
     return spark
 
 
+_local_dirs: dict[str, str] = {}  # per application
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors can reach, for written tables and stream state.
 
@@ -33,13 +36,15 @@ def shared_dir(spark: SparkSession) -> str:
     a cluster that is an error, as executors would write to disks of their own.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        master = spark.conf.get("spark.master", "")
-        if not re.fullmatch(r"local(\[.*\])?", master):
-            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors of {master!r} share")
-        configured = tempfile.mkdtemp(prefix="laurel-")
-        spark.conf.set("spark.checkpoint.dir", configured)
-    return configured
+    if configured:
+        return configured
+    master = spark.conf.get("spark.master", "")
+    if not re.fullmatch(r"local(\[.*\])?", master):
+        raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors of {master!r} share")
+    application = spark.sparkContext.applicationId
+    if application not in _local_dirs:
+        _local_dirs[application] = tempfile.mkdtemp(prefix="laurel-")
+    return _local_dirs[application]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

@@ -135,9 +135,18 @@ def json_map_entries(df: DataFrame, column: str, value_type: str = "int") -> Dat
     return df.select(*rest, F.explode(parsed).alias("key", "value"))
 
 
-def read_json_map(spark: SparkSession, path: str, value: str, key: str = "work") -> DataFrame:
-    """A JSON object of key -> int, whole or as JSON lines, as (key, value) rows."""
-    entries = json_map_entries(spark.read.text(path).select("value"), "value")
+def read_json_map(
+    spark: SparkSession, path: str, value: str, key: str = "work", value_type: str = "int", object_lines: bool = False
+) -> DataFrame:
+    """A JSON object of key -> value as (key, value) rows: a whole object or JSON lines.
+
+    ``object_lines``: one object that ``write_json_object`` wrote, an entry a line; each line is read by itself.
+    """
+    lines = spark.read.text(path).select("value")
+    if object_lines:
+        entry = F.regexp_replace(F.regexp_replace("value", r"^\{", ""), r"[,}]$", "")
+        lines = lines.select(F.concat(F.lit("{"), entry, F.lit("}")).alias("value"))
+    entries = json_map_entries(lines, "value", value_type)
     return entries.select(F.col("key").alias(key), F.col("value").alias(value))
 
 
@@ -156,23 +165,44 @@ def write_json_map(df: DataFrame, key: str, value: str, path: str) -> None:
     json_map_lines(df, key, value).write.text(path)
 
 
+def write_json_object(df: DataFrame, key: str, value: str, path: str) -> None:
+    """Key/value rows as one JSON object, cut over the part files at line ends and ordered by key.
+
+    The files' lines, in order of their names, are the object.  Keys are ranged over
+    the tasks; the line of the least key opens the object, that of the greatest closes it.
+    Of equal keys the greatest value stays, null keys have no place in an object.  An empty table is ``{}``.
+    """
+    entries = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.max(value).alias(value))
+    ends = entries.agg(F.min(key), F.max(key)).first()
+    if ends[0] is None:
+        df.sparkSession.createDataFrame([("{}",)], "value string").coalesce(1).write.text(path)
+        return
+    pair = F.to_json(F.create_map(F.col(key), F.col(value)), {"ignoreNullFields": "false"})
+    first, last = F.col(key) == F.lit(ends[0]), F.col(key) == F.lit(ends[1])
+    line = F.concat(
+        F.when(first, "{").otherwise(""), F.expr("substring(pair, 2, length(pair) - 2)"), F.when(last, "}").otherwise(",")
+    )
+    entries.sort(key).withColumn("pair", pair).select(line.alias("value")).write.text(path)
+
+
 def write_sorted_table(df: DataFrame, path: str, order: Sequence[str]) -> None:
     """Globally sorted header CSV: one range-partitioned exchange, one file per range."""
     df.sort(*order).write.option("header", True).option("emptyValue", "").csv(path)
 
 
-def append_by_period(df: DataFrame, path: str, spread: Sequence[str], partitions: int | None = None) -> None:
-    """Append to a store partitioned by period.
+def append_by_period(
+    df: DataFrame, path: str, spread: Sequence[str], partitions: int | None = None, within: Sequence[str] = ()
+) -> None:
+    """Add to a store partitioned by period (and ``within``), so that adding the same rows again changes nothing.
 
-    Rows are ranged over (period, spread): few files per period, and a
-    dominant period is still written by many tasks.
+    The rows take the place of all rows that the store has for their periods (and ``within`` values); other
+    partitions stay.  Rows are ranged over the partitions and ``spread``: few files per
+    period, and a dominant period is still written by many tasks.
     """
-    ranged = (
-        df.repartitionByRange("period", *spread)
-        if partitions is None
-        else df.repartitionByRange(partitions, "period", *spread)
-    )
-    ranged.write.mode("append").partitionBy("period").parquet(path)
+    order = ["period", *within, *spread]
+    ranged = df.repartitionByRange(*order) if partitions is None else df.repartitionByRange(partitions, *order)
+    writer = ranged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("period", *within).parquet(path)
 
 
 def clean_number(column: str) -> Column:

@@ -1,18 +1,24 @@
 """Tables, cells, links and blocks from stored HTML pages.
 
-Table parsing is the only Python step: ``mapInPandas`` over (page, html) rows,
-one page at a time, no shuffle.  Links and blocks are native expressions.
+Table parsing is the only Python step: table functions over (page, html) rows that
+hand on rows page by page, without a shuffle.  ``html_cells`` takes whole Arrow
+batches (a TABLE argument); ``LateralCells`` is the same for LATERAL joins in SQL,
+where Spark takes no Arrow function.  Both hold the cells of one page and one
+batch of ``ROWS_PER_BATCH`` rows at most.  Links and blocks are native expressions.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import partial
 from html import unescape
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 _TOKEN = re.compile(
@@ -132,42 +138,101 @@ def carry_rowspans(cells: Iterable[tuple[str, int]], n_cols: int) -> Iterator[tu
         row += 1
 
 
-CELL_SCHEMA = (
-    "page string, table_no int, row_no int, col_no int, tag string, text string, "
-    "link_text string, italic_text string, rowspan int, spanned boolean, header string"
-)
+_STRING, _INT = T.StringType(), T.IntegerType()
+CELL_TYPES = {
+    "table_no": _INT, "row_no": _INT, "col_no": _INT, "tag": _STRING, "text": _STRING, "link_text": _STRING,
+    "italic_text": _STRING, "rowspan": _INT, "spanned": T.BooleanType(), "header": _STRING,
+}
+CELLS = T.StructType([T.StructField(n, t) for n, t in CELL_TYPES.items()])
+PAGE_CELLS = T.StructType([T.StructField("page", _STRING), *CELLS.fields])
+GRID = T.StructType([T.StructField(n, _INT if n in ("row", "col") else _STRING) for n in ("page", "row", "col", "text")])
+ROWS_PER_BATCH = 4096
+BYTES_PER_BATCH = 64 << 20
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def _with_tables(pages: DataFrame) -> DataFrame:
+    """Pages that hold a table; they go to Python in batches of BYTES_PER_BATCH at most."""
+    conf = pages.sparkSession.conf
+    if int(conf.get(_BATCH_BYTES).rstrip("b")) > BYTES_PER_BATCH:
+        conf.set(_BATCH_BYTES, BYTES_PER_BATCH)
     return pages.select("page", "html").filter(F.lower("html").contains("<table"))
 
 
+def page_cells(html: str) -> Iterator[tuple]:
+    """The cells of one page as rows of CELLS."""
+    cells = parse_cells(html)
+    heads = {
+        (c["table_no"], c["col_no"]): c["text"].strip() for c in cells if c["tag"] == "th" and c["row_no"] == 0
+    }
+    for c in cells:
+        yield (
+            c["table_no"], c["row_no"], c["col_no"], c["tag"], c["text"].strip(), c["a"], c["i"], c["rowspan"],
+            c["spanned"], heads.get((c["table_no"], c["col_no"])),
+        )
+
+
+def page_grid(html: str, n_cols: int) -> Iterator[tuple[int, int, str]]:
+    """(row, col, text): the linked cells of one page laid over an n-column grid."""
+    flat = (
+        (c["a"] if c["a"] is not None else c["i"], c["rowspan"])
+        for c in parse_cells(html)
+        if c["tag"] == "td" and not c["spanned"] and (c["a"] is not None or c["i"] is not None)
+    )
+    return carry_rowspans(flat, n_cols)
+
+
+def _arrow_batches(pages: pa.RecordBatch, rows_of: Callable, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    held: list[tuple] = []
+    for page, html in zip(pages.column("page"), pages.column("html")):
+        name = page.as_py()
+        for row in rows_of(html.as_py()):
+            held.append((name, *row))
+            if len(held) == ROWS_PER_BATCH:
+                yield _arrow_batch(held, schema)
+                held = []
+    if held:
+        yield _arrow_batch(held, schema)
+
+
+def _arrow_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(column, field.type) for column, field in zip(columns, schema, strict=True)], schema=schema
+    )
+
+
+def _table_function(rows_of: Callable, kind: T.StructType) -> Callable:
+    """An Arrow table function of (page, html) rows, from a function of one page."""
+    schema = to_arrow_schema(kind)
+
+    class PageRows:
+        def eval(self, pages: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            yield from _arrow_batches(pages, rows_of, schema)
+
+    return F.arrow_udtf(PageRows, returnType=kind)
+
+
+class LateralCells:
+    """Handler of ``html_cells(html)`` for SQL: ``FROM pages, LATERAL html_cells(html)``."""
+
+    def eval(self, html: str) -> Iterator[tuple]:
+        if html is not None:
+            yield from page_cells(html)
+
+
+def register_html_cells(spark: SparkSession) -> None:
+    """Make ``html_cells(html)`` known to the session's SQL."""
+    spark.udtf.register("html_cells", F.udtf(LateralCells, returnType=CELLS))
+
+
 def html_cells(pages: DataFrame) -> DataFrame:
     """Every table cell of every page; ``pages`` has (page string, html string).
 
     ``header`` is the cell's column heading, from the first row of its table.
     Pages without a table have no cells and never reach Python.
     """
-
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = [c.split()[0] for c in CELL_SCHEMA.split(", ")]
-        for batch in batches:
-            rows = []
-            for page, html in zip(batch["page"], batch["html"]):
-                cells = parse_cells(html)
-                heads = {
-                    (c["table_no"], c["col_no"]): c["text"].strip()
-                    for c in cells
-                    if c["tag"] == "th" and c["row_no"] == 0
-                }
-                rows.extend(
-                    (page, c["table_no"], c["row_no"], c["col_no"], c["tag"], c["text"].strip(),
-                     c["a"], c["i"], c["rowspan"], c["spanned"], heads.get((c["table_no"], c["col_no"])))
-                    for c in cells
-                )
-            yield pd.DataFrame(rows, columns=columns)
-
-    return _with_tables(pages).mapInPandas(parse, CELL_SCHEMA)
+    return _table_function(page_cells, PAGE_CELLS)(_with_tables(pages).asTable())
 
 
 def linked_cells(cells: DataFrame) -> DataFrame:
@@ -179,20 +244,7 @@ def linked_cells(cells: DataFrame) -> DataFrame:
 
 def rowspan_grid(pages: DataFrame, n_cols: int) -> DataFrame:
     """(page, row, col, text): linked cells of each page laid over an n-column grid."""
-
-    def lay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for page, html in zip(batch["page"], batch["html"]):
-                flat = [
-                    (c["a"] if c["a"] is not None else c["i"], c["rowspan"])
-                    for c in parse_cells(html)
-                    if c["tag"] == "td" and not c["spanned"] and (c["a"] is not None or c["i"] is not None)
-                ]
-                rows.extend((page, *cell) for cell in carry_rowspans(flat, n_cols))
-            yield pd.DataFrame(rows, columns=["page", "row", "col", "text"])
-
-    return _with_tables(pages).mapInPandas(lay, "page string, row int, col int, text string")
+    return _table_function(partial(page_grid, n_cols=n_cols), GRID)(_with_tables(pages).asTable())
 
 
 def table_records(cells: DataFrame, columns: list[str], first_table: int, last_table: int) -> DataFrame:
