@@ -19,18 +19,21 @@ def _mixing() -> str:
         len(mixing.WEIGHTS), " ".join(f"WHEN {i} THEN {w}" for i, w in enumerate(mixing.WEIGHTS))
     )
 
-    def before(place: str) -> str:
-        at = f"(({place}) // {block})"
-        taken = f"(({at} * rest + phase) // greatest(blocks, 1))"
-        following = f"((({at} + 1) * rest + phase) // greatest(blocks, 1))"
-        return f"({block} * {taken} + (({place}) - {block} * {at}) * ({following} - {taken}))"
+    def seats(name: str, parties: str, votes: str, words: str, group: str, tie: str, house: str) -> str:
+        """Seat by seat: all quotients of a group in one list, the first ``house`` of them win."""
+        return f"""
+    {name}_quotients AS (
+      SELECT {parties}.*, unnest(range(({most} * {words}) // {block})) AS k FROM {parties}),
+    {name}_ranked AS (
+      SELECT *, row_number() OVER ({group} ORDER BY {votes} / (2 * k + 1) DESC, {tie}, k) AS rank FROM {name}_quotients),
+    {name} AS (SELECT no, shard, count(*) AS seats FROM {name}_ranked WHERE rank <= {house} GROUP BY no, shard)"""
 
     return f"""
     WITH sized AS (SELECT doc_id, source, len({_WORDS}) AS size FROM documents),
-    per_source AS (
-      SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS n_docs FROM sized GROUP BY source),
+    per_source AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
     weighed AS (
-      SELECT *, CAST({weight} AS DOUBLE) AS weight, {most} * source_size AS most,
+      SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS no, CAST(0 AS BIGINT) AS shard,
+             CAST({weight} AS DOUBLE) AS weight, {most} * source_size AS most,
              CAST(sum(source_size) OVER () AS BIGINT) AS total FROM per_source),
     -- the level of the water if this source is the first, by most / weight, that does not stop
     tried AS (
@@ -40,26 +43,37 @@ def _mixing() -> str:
       FROM weighed WINDOW fill AS (ORDER BY most / weight, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
     level AS (SELECT arg_min(level, place) AS level FROM tried WHERE weight * level <= most),
     targets AS (
-      SELECT source, source_size, n_docs,
+      SELECT no, shard, source, source_size,
              CASE WHEN total = 0 THEN 0.0 ELSE least(weight * (SELECT level FROM level), CAST(most AS DOUBLE)) END AS target
       FROM weighed),
+    {seats("source_seats", "targets", "target", "source_size", "", _seeded("source"),
+           f"(SELECT floor(sum(target) / {block} + 0.5) FROM targets)")},
     dealt AS (
-      SELECT doc_id, size, targets.*, {_seeded("doc_id")} AS place FROM sized
-      JOIN targets ON sized.source IS NOT DISTINCT FROM targets.source),
-    sharded AS (
-      SELECT *, place % ((n_docs + {mixing.SHARD_DOCS - 1}) // {mixing.SHARD_DOCS}) AS shard FROM dealt),
-    placed AS (
-      SELECT *, CAST(sum(size) OVER (PARTITION BY source, shard ORDER BY place, doc_id NULLS FIRST, size
-                                     ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto,
-             CAST(sum(size) OVER (PARTITION BY source, shard) AS BIGINT) AS words FROM sharded),
-    blocked AS (SELECT *, (words + {block - 1}) // {block} AS blocks FROM placed),
+      SELECT sized.doc_id, sized.size, targets.no, targets.source, {_seeded("sized.doc_id")} AS place,
+             place % ((source_size + {mixing.SHARD_WORDS - 1}) // {mixing.SHARD_WORDS}) AS shard
+      FROM sized JOIN targets ON sized.source IS NOT DISTINCT FROM targets.source WHERE size > 0),
+    shards AS (
+      SELECT dealt.no, dealt.shard, any_value(dealt.source) AS source, CAST(sum(size) AS BIGINT) AS words,
+             coalesce(any_value(s.seats), 0) AS house
+      FROM dealt LEFT JOIN source_seats AS s ON dealt.no = s.no GROUP BY dealt.no, dealt.shard),
+    {seats("shard_seats", "shards", "CAST(words AS DOUBLE)", "words", "PARTITION BY no",
+           _seeded("source", "shard") + ", shard", "house")},
     quotas AS (
-      SELECT *, least(CAST(floor(target * words / greatest(source_size, 1) / {block} + 0.5) AS BIGINT),
-                      blocks * {most}) AS quota,
-             {_seeded("source", "shard")} % greatest(blocks, 1) AS phase FROM blocked),
-    rests AS (SELECT *, coalesce(quota // nullif(blocks, 0), 0) AS passes, quota - passes * blocks AS rest FROM quotas)
-    SELECT doc_id, size, source_size, target,
-           passes * size + {before("upto")} - {before("upto - size")} AS taken FROM rests
+      SELECT no, shard, words, coalesce(seats, 0) * {block} AS quota, {_seeded("source", "shard")} % words AS phase
+      FROM shards LEFT JOIN shard_seats USING (no, shard)),
+    -- every word of a run has a number of its own; those that the quota's passes over the circle reach are taken
+    run AS (
+      SELECT no, shard, doc_id, size, row_number() OVER w AS nth, CAST(sum(size) OVER w AS BIGINT) - size AS start
+      FROM dealt WINDOW w AS (PARTITION BY no, shard ORDER BY place, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING)),
+    word_rows AS (SELECT *, start + unnest(range(size)) AS spot FROM run),
+    taken AS (
+      SELECT no, shard, nth, any_value(doc_id) AS doc_id, any_value(size) AS size,
+             CAST(sum((quota - (spot - phase + words) % words + words - 1) // words) AS BIGINT) AS taken
+      FROM word_rows JOIN quotas USING (no, shard) GROUP BY no, shard, nth)
+    SELECT doc_id, size, source_size, target, taken FROM taken JOIN targets ON taken.no = targets.no
+    UNION ALL
+    SELECT doc_id, size, source_size, target, 0 FROM sized
+    JOIN targets ON sized.source IS NOT DISTINCT FROM targets.source WHERE size = 0
     """
 
 
