@@ -16,7 +16,10 @@ TERM_LABELS = {
     "prev_wins": "per_number_of_previous_wins",
     "prev_noms": "per_number_of_previous_noms",
     "av_rating": "per_average_rating",
+    "av_num_votes": "per_thousand_votes",
+    "name_length_pos_1or5": "longest_or_shortest_name",
 }
+TERM_SCALES = {"av_num_votes": 1000}  # effects are told for so many units
 
 
 def recode(column: str | Column, labels: dict[str, str]) -> Column:

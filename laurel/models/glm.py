@@ -6,9 +6,13 @@ coefficients reach the driver.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import partial
 
+from pyspark import inheritable_thread_target
 from pyspark.errors import UnsupportedOperationException
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
@@ -29,6 +33,7 @@ ACTING_TERMS = [
     "later_season", "prev_wins", "one_prev_win", "prev_noms", "alph_pos_1or5",
     "also_nominated", "total_noms", "won_external",
 ]
+FITS_AT_ONCE = 4
 
 
 def single_winner_contests(
@@ -64,9 +69,19 @@ def _vector(df: DataFrame, terms: Sequence[str]) -> DataFrame:
     return assembler.transform(numeric).drop(*[f"__x_{t}" for t in terms])
 
 
+def complete_rows(df: DataFrame, terms: Sequence[str], label: str, keep: Sequence[str] = ()) -> DataFrame:
+    """``keep``, label and terms as doubles; rows with a missing term are left out."""
+    numbers = [F.col(t).cast("double").alias(t) for t in terms]
+    return df.dropna(subset=list(terms)).select(*keep, F.col(label).cast("double").alias("label"), *numbers)
+
+
+def with_features(rows: DataFrame, terms: Sequence[str]) -> DataFrame:
+    return VectorAssembler(inputCols=list(terms), outputCol="features").transform(rows)
+
+
 @dataclass(frozen=True)
 class Fit:
-    """A fitted GLM; ``kept`` are the terms that vary, the others are aliased."""
+    """A fitted GLM; ``kept`` are the independent terms, the others are aliased."""
 
     model: GeneralizedLinearRegressionModel
     terms: list[str]
@@ -80,11 +95,33 @@ class Fit:
         return out
 
 
-def varying_terms(df: DataFrame, terms: Sequence[str]) -> list[str]:
-    """Terms with more than one value; a constant is aliased with the intercept."""
+LEAST_SHARE = 1e-11  # of a term's variance that earlier terms must leave unexplained
+
+
+def independent_terms(df: DataFrame, terms: Sequence[str]) -> list[str]:
+    """Terms that are no linear combination of the intercept and earlier terms.
+
+    One pass aggregates the terms' covariances (their Gram matrix apart from the
+    intercept, free of cancellation).  Its Cholesky factor is built term by term: a
+    term whose pivot, the variance that the terms kept so far leave over, is nothing
+    next to its own variance is aliased.  So of dependent terms the first ones stay.
+    """
     complete = df.select(*[F.col(t).cast("double").alias(t) for t in terms]).dropna()
-    spread = complete.agg(*[(F.max(t) > F.min(t)).alias(t) for t in terms]).first()
-    return [t for t in terms if spread[t]]
+    pairs = [(i, j) for i in range(len(terms)) for j in range(i + 1)]
+    found = complete.agg(*[F.covar_pop(terms[i], terms[j]).alias(f"{i}_{j}") for i, j in pairs]).first()
+    rows: list[list[float]] = []  # of the factor, for the terms kept
+    kept: list[int] = []
+    for i in range(len(terms)):
+        row: list[float] = []
+        for n, j in enumerate(kept):
+            known = sum(a * b for a, b in zip(row, rows[n]))
+            row.append((found[f"{i}_{j}"] - known) / rows[n][n])
+        own = found[f"{i}_{i}"] or 0.0
+        pivot = own - sum(a * a for a in row)
+        if own > 0 and pivot > LEAST_SHARE * own:
+            rows.append([*row, math.sqrt(pivot)])
+            kept.append(i)
+    return [terms[i] for i in kept]
 
 
 def _glr() -> GeneralizedLinearRegression:
@@ -94,14 +131,13 @@ def _glr() -> GeneralizedLinearRegression:
 
 
 def fit_glm(df: DataFrame, terms: Sequence[str], label: str = "won") -> Fit:
-    """Binomial GLM with logit link."""
-    kept = varying_terms(df, terms)
-    data = _vector(df.dropna(subset=list(terms)), kept)
-    data = data.select(F.col(label).cast("double").alias("label"), "features").persist()
+    """Binomial GLM with logit link; the input plan runs once, then the fit reads the cached terms."""
+    rows = complete_rows(df, terms, label).persist()
     try:
-        return Fit(_glr().fit(data), list(terms), kept)
+        kept = independent_terms(rows, terms)
+        return Fit(_glr().fit(with_features(rows, kept).select("label", "features")), list(terms), kept)
     finally:
-        data.unpersist()
+        rows.unpersist()
 
 
 def _inference(model: GeneralizedLinearRegressionModel, size: int) -> list[tuple]:
@@ -205,24 +241,27 @@ def repeated_holdout(
     df: DataFrame, terms: Sequence[str], row_key: Sequence[str], repeats: int = 10,
     fraction: float = 0.75, label: str = "won",
 ) -> DataFrame:
-    """Test RMSE of ``repeats`` fits on hash-split rows: (repeat, n_test, rmse)."""
+    """Test RMSE of ``repeats`` fits on hash-split rows: (repeat, n_test, rmse).
+
+    The fits are independent jobs over one cached table, handed in side by side.
+    """
     spark = df.sparkSession
-    data = _vector(df.dropna(subset=list(terms)), varying_terms(df, terms)).select(
-        *row_key, F.col(label).cast("double").alias("label"), "features"
-    ).persist()
-    out = []
+    rows = complete_rows(df, terms, label, row_key).persist()
     try:
-        for repeat in range(1, repeats + 1):
+        data = with_features(rows, independent_terms(rows, terms)).select(*row_key, "label", "features")
+
+        def one(repeat: int) -> tuple[int, int, float]:
             split = holdout_split(data, row_key, repeat, fraction)
             model = _glr().fit(split.filter("train"))
-            row = (
-                model.transform(split.filter("not train"))
-                .agg(F.count(F.lit(1)).alias("n"), rmse(F.col("label"), F.col("prediction")).alias("r"))
-                .first()
-            )
-            out.append((repeat, int(row["n"]), float(row["r"])))
+            error = rmse(F.col("label"), F.col("prediction"))
+            row = model.transform(split.filter("not train")).agg(F.count(F.lit(1)).alias("n"), error.alias("r")).first()
+            return repeat, int(row["n"]), float(row["r"])
+
+        with ThreadPoolExecutor(FITS_AT_ONCE) as pool:  # each thread takes the caller's job properties along
+            started = [pool.submit(inheritable_thread_target(spark)(partial(one, i + 1))) for i in range(repeats)]
+            out = [fit.result() for fit in started]
     finally:
-        data.unpersist()
+        rows.unpersist()
     return spark.createDataFrame(out, "repeat int, n_test long, rmse double")
 
 

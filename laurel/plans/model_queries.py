@@ -122,14 +122,17 @@ def tidy_coefficients(spark: SparkSession, d: str) -> DataFrame:
 
 
 def coefficient_effects(series: DataFrame, acting: DataFrame) -> DataFrame:
-    """Full join of two coefficient tables by term, relabelled, as probability effects."""
+    """Full join of two coefficient tables by term, scaled and relabelled, as probability effects."""
+    scale = F.lit(1)
+    for term, units in R.TERM_SCALES.items():
+        scale = F.when(F.col("term") == term, units).otherwise(scale)
     both = series.withColumnRenamed("estimate", "series_coef").join(
         acting.withColumnRenamed("estimate", "acting_coef"), "term", "full"
     )
     return both.filter(F.col("term") != "(Intercept)").select(
         R.recode("term", R.TERM_LABELS).alias("term"),
-        R.relative_effect(F.col("series_coef")).alias("series_effect"),
-        R.relative_effect(F.col("acting_coef")).alias("acting_effect"),
+        R.relative_effect(F.col("series_coef") * scale).alias("series_effect"),
+        R.relative_effect(F.col("acting_coef") * scale).alias("acting_effect"),
     )
 
 

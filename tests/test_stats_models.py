@@ -83,6 +83,37 @@ def test_closed_form_equals_glm(spark):
     assert 0 < r2.pseudo_r2 < 1
 
 
+def test_dependent_terms_are_aliased(spark):
+    rng = random.Random(8)
+    rows = [(rng.gauss(0, 1), rng.gauss(5, 2), 1e6 + rng.random(), int(rng.random() < 0.4)) for _ in range(600)]
+    df = spark.createDataFrame(rows, "a double, b double, big double, won int").withColumns({
+        "total": F.col("a") * 2 - F.col("b") + 3, "same": F.lit(7), "near": F.col("a") + F.col("big") * 1e-3,
+    })
+    terms = ["same", "a", "b", "total", "big", "near"]
+    assert glm.independent_terms(df, terms) == ["a", "b", "big"]
+    assert glm.independent_terms(df, terms[::-1]) == ["near", "big", "total"]
+    assert glm.independent_terms(df.limit(0), terms) == []
+    fitted = {r.term: r for r in glm.tidy(spark, glm.fit_glm(df, terms)).collect()}
+    without = {r.term: r for r in glm.tidy(spark, glm.fit_glm(df, ["a", "b", "big"])).collect()}
+    assert [fitted[t].estimate for t in ("same", "total", "near")] == [None] * 3
+    for term in ("a", "b", "big", "(Intercept)"):
+        assert math.isclose(fitted[term].estimate, without[term].estimate, rel_tol=1e-9)
+    slightly = df.withColumn("total", F.col("total") + F.col("won") * 1e-3)
+    assert "total" in glm.independent_terms(slightly, terms)
+
+
+def test_effects_are_scaled_and_labelled(spark):
+    from laurel.functions.recode import relative_effect
+    from laurel.plans.model_queries import coefficient_effects
+
+    series = spark.createDataFrame([("av_num_votes", 0.0002), ("(Intercept)", 1.0)], "term string, estimate double")
+    acting = spark.createDataFrame([("name_length_pos_1or5", 0.3)], "term string, estimate double")
+    got = {r.term: r for r in coefficient_effects(series, acting).collect()}
+    want = spark.range(1).select(relative_effect(F.lit(0.2))).first()[0]
+    assert got.keys() == {"per_thousand_votes", "longest_or_shortest_name"}
+    assert math.isclose(got["per_thousand_votes"].series_effect, want) and got["per_thousand_votes"].acting_effect is None
+
+
 def test_normalised_scores(noms):
     raw = noms.withColumn("raw", F.when(F.col("person") == "Dot", None).otherwise(F.col("score") / 10))
     out = glm.normalise_in_contest(raw, "raw")
