@@ -5,13 +5,14 @@ applied in all 120 orders. The audit says, for each part of the corpus, order an
 would have removed, and how much good or toxic text goes.
 
 1. Shards: every task cuts its documents into shards of up to ``SHARD_BYTES`` of text, splits their words, codes them
-   by a dictionary of the shard's own, and emits one row a shard: a CSR matrix (row pointers, columns, counts)
-   with the shard's word list, and per document its id, part, SHA-256 and the flags that need characters (C, D).
-2. Dictionary: the distinct words of all shards, numbered 0, 1, 2 .. in byte order. A word's rows are first reduced inside
-   the tasks; no task and no driver holds the dictionary.
-3. Encoding: a shard's words meet their numbers in a join with one row for each word of a shard (not for each word
-   of a text), which Spark splits where a frequent word makes it uneven. The shard's columns become global numbers,
-   in ascending order within a row. Row sums are the numbers of words, nonzero counts those of distinct words: A and B.
+   by a dictionary of the shard's own, and emits one row a shard: a CSR matrix (row ends, columns, counts, each packed
+   as bytes, see ``unpacked``) with the shard's word list, and per document its id, part, SHA-256 and the flags that need characters (C, D).
+2. Dictionary: the words of all shards are dealt by hash into ``BUCKETS``; inside a bucket the distinct words are numbered in
+   order, and number and bucket make the word's global number (number * BUCKETS + bucket, so numbers are used without gaps
+   but for the uneven ends of the buckets). A word comes once a shard, never once a text, so even a word of every text is
+   a small part of its bucket. No task and no driver holds the dictionary.
+3. Encoding: the numbered words go back to their shards, whose columns become global, in ascending order within a row. Row
+   sums are the numbers of words, nonzero counts those of distinct words: they decide A and B.
 4. E compares a document's id with the smallest id of its digest; labels are reduced to one row an id.
 5. Each part has at most 32 different sets of failed filters. Their counts give all 600 rows of a part: a document is
    removed by the first filter of the order that it fails. Of the 120 orders, each of the j filters that a document fails
@@ -35,8 +36,9 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from laurel.llm.common import numbered, utf8, written
+from laurel.llm.common import utf8, written
 
 FILTERS = "ABCDE"
 MIN_WORDS = 100
@@ -44,6 +46,9 @@ MIN_DISTINCT_PERCENT = 80
 MAX_CAPITAL_PERCENT = 10
 SYMBOLS = b"#$%&*|"
 SHARD_BYTES = 16 << 20
+BUCKETS = 1 << 20
+LOCAL, GLOBAL = "<i4", "<i8"
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 _A, _B, _C, _D, _E = (1 << i for i in range(5))
 _CAPITAL = np.isin(np.arange(256), np.arange(ord("A"), ord("Z") + 1))
@@ -52,12 +57,12 @@ _CONTINUES = (np.arange(256) & 0xC0) == 0x80  # bytes inside a code point
 
 SHARD = (
     "shard bigint, part array<string>, doc_id array<bigint>, digest array<binary>, flags array<int>, "
-    "row_end array<int>, columns array<int>, counts array<int>, words array<string>"
+    "row_end binary, columns binary, counts binary, words array<string>"
 )
 _SHARD = pa.schema([
     ("shard", pa.int64()), ("part", pa.list_(pa.string())), ("doc_id", pa.list_(pa.int64())),
-    ("digest", pa.list_(pa.binary())), ("flags", pa.list_(pa.int32())), ("row_end", pa.list_(pa.int32())),
-    ("columns", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32())), ("words", pa.list_(pa.string())),
+    ("digest", pa.list_(pa.binary())), ("flags", pa.list_(pa.int32())), ("row_end", pa.binary()),
+    ("columns", pa.binary()), ("counts", pa.binary()), ("words", pa.list_(pa.string())),
 ])
 
 
@@ -92,8 +97,19 @@ def local_matrix(texts: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray, np
     return row_end, cells % size, counts, coded.dictionary
 
 
-def _one(kind: pa.DataType, values) -> pa.Array:
-    """A list array with one list."""
+def packed(values: np.ndarray, kind: str = LOCAL) -> pa.Array:
+    """A column of a matrix as one value: little-endian integers, of 32 bits in a shard of its own, else of 64."""
+    return pa.array([values.astype(kind).tobytes()], pa.binary())
+
+
+def unpacked(value: bytes, kind: str = GLOBAL) -> np.ndarray:
+    return np.frombuffer(value, kind)
+
+
+def _one(kind: pa.DataType, values, integers: str = LOCAL) -> pa.Array:
+    """A list array with one list, or one packed value."""
+    if kind == pa.binary():
+        return packed(values, integers)
     flat = values if isinstance(values, pa.Array) else pa.array(values)
     return pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat.cast(kind.value_type))
 
@@ -130,7 +146,12 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def shards(docs: DataFrame) -> DataFrame:
-    """Stored CSR shards of ``docs`` with dictionaries of their own (see SHARD)."""
+    """Stored CSR shards of ``docs`` with dictionaries of their own (see SHARD).
+
+    Shards are large rows: Arrow batches are kept to about one by lowering the session's bytes for a batch.
+    """
+    conf = docs.sparkSession.conf
+    conf.set(BATCH_BYTES, min(int(conf.get(BATCH_BYTES).rstrip("b")), SHARD_BYTES))
     rows = docs.select(
         F.coalesce("lang", F.lit("")).alias("part"),
         F.col("doc_id").cast("bigint").alias("doc_id"),
@@ -140,13 +161,21 @@ def shards(docs: DataFrame) -> DataFrame:
     return written(rows.mapInArrow(_shards, SHARD), "audit-shards")
 
 
+def numbered_words(shard_rows: DataFrame) -> DataFrame:
+    """(shard, place, word, number): the global number of every word of every shard."""
+    own = shard_rows.select("shard", F.posexplode("words").alias("place", "word"))
+    dealt = own.withColumn("bucket", F.pmod(F.xxhash64("word"), F.lit(BUCKETS)))
+    order = Window.partitionBy("bucket").orderBy("word")
+    number = (F.dense_rank().over(order) - 1).cast("bigint") * BUCKETS + F.col("bucket")
+    return dealt.select("shard", "place", "word", number.alias("number"))
+
+
 def dictionary(shard_rows: DataFrame) -> DataFrame:
-    """(word, pos): every word of the corpus and its number."""
-    words = shard_rows.select(F.explode("words").alias("word")).distinct()
-    return numbered(written(words, "audit-words"), F.col("word"), label="audit-dictionary")
+    """(word, number): every word of the corpus."""
+    return numbered_words(shard_rows).select("word", "number").distinct()
 
 
-_MATRIX = {"row_end": "array<int>", "columns": "array<bigint>", "counts": "array<int>"}
+_MATRIX = ("row_end", "columns", "counts")
 _PER_ROW = ("part", "doc_id", "digest", "flags")
 
 
@@ -154,20 +183,22 @@ def _global(schema: pa.Schema, matrix: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(len(batch)):
-                ids = batch.column("ids")[i].values
-                ids = np.zeros(0, np.int64) if ids is None else ids.to_numpy()
-                row_end = batch.column("row_end")[i].values.to_numpy().astype(np.int64)
-                rows = np.repeat(np.arange(len(row_end)), np.diff(row_end, prepend=0))
-                columns = ids[batch.column("columns")[i].values.to_numpy()]
+                row_end, columns, counts = (unpacked(batch.column(name)[i].as_py(), LOCAL) for name in _MATRIX)
+                ids = np.zeros(len(columns), np.int64)  # a shard has no more words than cells
+                if (pairs := batch.column("pairs")[i].values) is not None:
+                    place, number = pairs.flatten()
+                    ids[place.to_numpy()] = number.to_numpy()
+                rows = np.repeat(np.arange(len(row_end)), np.diff(row_end, prepend=np.int32(0)))
+                columns = ids[columns]
                 order = np.lexsort((columns, rows))
-                columns, counts = columns[order], batch.column("counts")[i].values.to_numpy()[order]
+                columns, counts = columns[order], counts[order]
                 sums = np.bincount(rows, weights=counts, minlength=len(row_end)).astype(np.int64)
                 nonzero = np.bincount(rows[counts > 0], minlength=len(row_end))
                 lists = {"row_sum": sums, "row_nonzero": nonzero}
                 if matrix:
                     lists |= {"row_end": row_end, "columns": columns, "counts": counts}
                 arrays = [
-                    _one(field.type, lists[field.name]) if field.name in lists else batch.column(field.name).slice(i, 1)
+                    _one(field.type, lists[field.name], GLOBAL) if field.name in lists else batch.column(field.name).slice(i, 1)
                     for field in schema
                 ]
                 yield pa.RecordBatch.from_arrays(arrays, schema=schema)
@@ -175,25 +206,21 @@ def _global(schema: pa.Schema, matrix: bool) -> Callable:
     return run
 
 
-def global_shards(shard_rows: DataFrame, words: DataFrame, matrix: bool = True) -> DataFrame:
-    """The shards with columns numbered by the whole corpus (``words``), and each row's sum and nonzero count.
+def global_shards(shard_rows: DataFrame, matrix: bool = True) -> DataFrame:
+    """The shards with columns numbered by the whole corpus, and each row's sum and nonzero count.
 
     ``matrix=False`` leaves out the cells, where only the totals are wanted.
     """
-    own = shard_rows.select("shard", F.posexplode("words").alias("place", "word"))
     ids = (
-        own.join(words, "word")
+        numbered_words(shard_rows)
         .groupBy("shard")
-        .agg(F.sort_array(F.collect_list(F.struct("place", "pos"))).alias("pairs"))  # as many as the shard has words
-        .select("shard", F.col("pairs.pos").alias("ids"))
+        .agg(F.collect_list(F.struct("place", "number")).alias("pairs"))  # as many as the shard has words
     )
     known = shard_rows.drop("words").join(ids, "shard", "left")
-    kinds = {f.name: f.type for f in _SHARD} | {
-        "row_sum": pa.list_(pa.int64()), "row_nonzero": pa.list_(pa.int64()), "columns": pa.list_(pa.int64())
-    }
+    kinds = {f.name: f.type for f in _SHARD} | {"row_sum": pa.list_(pa.int64()), "row_nonzero": pa.list_(pa.int64())}
     names = ["shard", *_PER_ROW, "row_sum", "row_nonzero", *(_MATRIX if matrix else ())]
     schema = pa.schema([(n, kinds[n]) for n in names])
-    sql = {f.name: f.dataType.simpleString() for f in shard_rows.schema} | _MATRIX
+    sql = {f.name: f.dataType.simpleString() for f in shard_rows.schema}
     sql |= {"row_sum": "array<bigint>", "row_nonzero": "array<bigint>"}
     return known.mapInArrow(_global(schema, matrix), ", ".join(f"{n} {sql[n]}" for n in names))
 
@@ -201,17 +228,15 @@ def global_shards(shard_rows: DataFrame, words: DataFrame, matrix: bool = True)
 def failed_filters(docs: DataFrame) -> DataFrame:
     """part, doc_id and ``failed`` (bits of the filters A to E, as numbers 1, 2, 4, 8, 16) of every document."""
     local = shards(docs)
-    totals = global_shards(local, dictionary(local), matrix=False)
+    totals = global_shards(local, matrix=False)
     names = (*_PER_ROW, "row_sum", "row_nonzero")
     each = totals.select(F.explode(F.arrays_zip(*names)).alias("row")).select("row.*")
     few = F.when(F.col("row_sum") < MIN_WORDS, _A).otherwise(0)
     same = F.when(100 * F.col("row_nonzero") < MIN_DISTINCT_PERCENT * F.col("row_sum"), _B).otherwise(0)
     bits = (F.col("flags") + few + same).cast("int").alias("bits")
     rows = written(each.select("part", "doc_id", "digest", bits), "audit-rows")
-    copies = (
-        rows.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
-        .filter("n > 1").select("digest", "first_id")
-    )
+    firsts = rows.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
+    copies = written(firsts.filter("n > 1").select("digest", "first_id"), "audit-copies")  # stored: Spark can split the join
     copy = F.when(F.col("doc_id") > F.col("first_id"), _E).otherwise(0)
     return rows.join(copies, "digest", "left").select("part", "doc_id", (F.col("bits") + copy).alias("failed"))
 

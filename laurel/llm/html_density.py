@@ -21,6 +21,9 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
+from collections import defaultdict
+from collections.abc import Iterable
 from html import unescape
 
 import pyarrow as pa
@@ -102,12 +105,42 @@ class _Node:
         self.words: set[str] = set()  # words of class and id that speak against it
 
 
+class _Open:
+    """Open elements: their tags from the outside in, and for each tag the places where it stands."""
+
+    def __init__(self) -> None:
+        self.tags: list[str] = []
+        self.places: dict[str, list[int]] = defaultdict(list)
+
+    def __len__(self) -> int:
+        return len(self.tags)
+
+    def push(self, tag: str) -> None:
+        self.places[tag].append(len(self.tags))
+        self.tags.append(tag)
+
+    def cut(self, upto: int) -> None:
+        """Ends all elements from the place ``upto`` on."""
+        while len(self.tags) > upto:
+            self.places[self.tags.pop()].pop()
+
+    def innermost(self, tags: Iterable[str]) -> int:
+        """The place of the innermost open element of ``tags``, -1 if there is none. As long as the set, not the page."""
+        return max((self.places[tag][-1] for tag in tags if self.places.get(tag)), default=-1)
+
+    def outermost(self, tags: Iterable[str], inside: int) -> int:
+        """The place of the outermost open element of ``tags`` inside of the place ``inside``, or the number of elements."""
+        found = [places[bisect_right(places, inside)] for tag in tags if (places := self.places.get(tag)) and places[-1] > inside]
+        return min(found, default=len(self.tags))
+
+
 def _parse(html: str) -> tuple[_Node, list[str | None]]:
     """The tree without elements that are always left out, and the text runs in page order (None between blocks)."""
     root = _Node("#root", None, 0)
     runs: list[str | None] = []
-    stack = [root]
-    skipping: list[str] = []  # open left-out elements
+    stack, standing = [root], _Open()  # open nodes, and their tags
+    standing.push(root.tag)
+    skipping = _Open()  # open left-out elements
     links = articles = position = 0
 
     def close(upto: int) -> None:
@@ -119,35 +152,30 @@ def _parse(html: str) -> tuple[_Node, list[str | None]]:
             node.end = len(runs)
             links -= node.tag == "a"
             articles -= node.tag in ("article", "main")
+        standing.cut(upto)
 
     def implied(ends: set[str], scopes: set[str]) -> bool:
         """Ends the outermost open left-out element of ``ends`` in the innermost scope; whether no scope was met."""
-        upto = len(skipping)
-        for depth in range(len(skipping) - 1, -1, -1):
-            if skipping[depth] in ends:
-                upto = depth
-            elif skipping[depth] in scopes:
-                del skipping[upto:]
-                return False
-        del skipping[upto:]
-        return True
+        scope = skipping.innermost(scopes - ends)
+        skipping.cut(skipping.outermost(ends, scope))
+        return scope < 0
 
     def start_in_left_out(tag: str) -> None:
         """Ends the open left-out elements that the start of ``tag`` ends, alone or with an element around them."""
-        if skipping[-1] == "head" and tag not in HEAD:
-            skipping.pop()
+        if skipping.tags[-1] == "head" and tag not in HEAD:
+            skipping.cut(len(skipping) - 1)
         for ends, scopes, kept_scopes in (
             ({"p"}, P_SCOPES, BLOCKS) if tag in BLOCKS else (set(), set(), set()),
             (LEFT_ENDS.get(tag, set()), LEFT_SCOPES.get(tag, set()), SCOPES.get(tag, {"table"})),
         ):
             if ends and skipping and implied(ends, scopes) and skipping:
-                around = next((n.tag for n in reversed(stack) if n.tag in ends or n.tag in kept_scopes), None)
-                if around in ends:
-                    skipping.clear()  # that element is closed below
+                around = standing.innermost({*ends, *kept_scopes})
+                if around >= 0 and standing.tags[around] in ends:
+                    skipping.cut(0)  # that element is closed below
 
     def text(value: str) -> None:
-        if skipping == ["head"] and value.strip():
-            skipping.clear()
+        if skipping.tags == ["head"] and value.strip():
+            skipping.cut(0)
         if value and not skipping:
             value = unescape(value)
             runs.append(value)
@@ -164,19 +192,15 @@ def _parse(html: str) -> tuple[_Node, list[str | None]]:
         position = token.end()
         if token["end"]:
             tag = token["end"].lower()
-            if tag in skipping:
-                while skipping.pop() != tag:
-                    pass
+            if skipping.places.get(tag):
+                skipping.cut(skipping.places[tag][-1])
                 continue
-            if skipping and not (tag in BLOCKS and any(node.tag == tag for node in stack)):
+            place = standing.innermost([tag])
+            if skipping and not (tag in BLOCKS and place >= 0):
                 continue
-            skipping.clear()  # the end of a block around the left-out element ends that too
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag == tag:
-                    close(depth)
-                    break
-                if tag not in BLOCKS and stack[depth].tag in BLOCKS:
-                    break  # an inline end tag does not end the block it stands in
+            skipping.cut(0)  # the end of a block around the left-out element ends that too
+            if place > 0 and (tag in BLOCKS or standing.innermost(BLOCKS) < place):
+                close(place)  # an inline end tag does not end the block it stands in
         elif token["start"]:
             tag, attributes = token["start"].lower(), token["attributes"]
             if tag in RAW and not attributes.endswith("/"):
@@ -187,28 +211,23 @@ def _parse(html: str) -> tuple[_Node, list[str | None]]:
             if skipping:
                 start_in_left_out(tag)
             if skipping:
-                skipping += [tag] * (tag not in VOID and not attributes.endswith("/"))
+                if tag not in VOID and not attributes.endswith("/"):
+                    skipping.push(tag)
                 continue
             if tag in BLOCKS:
-                for depth in range(len(stack) - 1, 0, -1):
-                    if stack[depth].tag == "p":
-                        close(depth)
-                        break
-                    if stack[depth].tag in BLOCKS:
-                        break
+                paragraph = standing.innermost(["p"])
+                if paragraph > 0 and paragraph >= standing.innermost(BLOCKS):
+                    close(paragraph)
             if tag in ENDS:
-                for depth in range(len(stack) - 1, 0, -1):
-                    if stack[depth].tag in SCOPES[tag]:
-                        break
-                    if stack[depth].tag in ENDS[tag]:
-                        close(depth)
-                        break
+                ended = standing.innermost(ENDS[tag] - SCOPES[tag])
+                if ended > 0 and ended > standing.innermost(SCOPES[tag]):
+                    close(ended)
             always, words = _left_out(tag, attributes, articles > 0)
             if always or (words and (tag in VOID or attributes.endswith("/"))):
                 if tag in BLOCKS:
                     runs.append(None)
                 if tag not in VOID and not attributes.endswith("/"):
-                    skipping.append(tag)
+                    skipping.push(tag)
                 continue
             if tag in MATH and not words:
                 continue
@@ -222,6 +241,7 @@ def _parse(html: str) -> tuple[_Node, list[str | None]]:
             node.words = words
             stack[-1].children.append(node)
             stack.append(node)
+            standing.push(tag)
             links += tag == "a"
             articles += tag in ("article", "main")
     if position < len(html):
