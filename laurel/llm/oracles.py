@@ -130,25 +130,28 @@ def _quality() -> str:
         "word_length": "100 * word_chars / greatest(n_words, 1)",
     }
     measures = ", ".join(f"CAST(floor({ratio}) AS BIGINT) AS {name}" for name, ratio in ratios.items())
-    least = " ".join(f"WHEN '{name}' THEN {value}" for name, value in quality.LEAST_DISTANCE.items())
+    upper = "CASE measure {} END".format(" ".join(f"WHEN '{m}' THEN {q}" for m, (q, _) in quality.TAILS.items()))
+    reach = "CASE measure {} END".format(" ".join(f"WHEN '{m}' THEN {r}" for m, (_, r) in quality.TAILS.items()))
     failed = f"(n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEATED_PERCENT} * n_words)"
 
     def limits(name: str, *keys: str) -> str:
-        """Limits per group and measure: quartiles of the values rounded down to their buckets."""
+        """Limits per group and measure: quantiles of the values rounded down to their buckets."""
         by = ", ".join((*keys, "measure"))
         return f"""
     {name}_placed AS (
       SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY bucket) AS rank, count(*) OVER (PARTITION BY {by}) AS n
       FROM bucketed),
     {name} AS (
-      SELECT {by}, max(n) AS n, min(bucket) FILTER (4 * rank >= n) AS q1, min(bucket) FILTER (4 * rank >= 3 * n) AS q3,
-             {quality.SPREAD} * greatest(q3 - q1, CASE measure {least} END) AS reach, q3 + reach AS most,
-             CASE measure WHEN 'word_length' THEN q1 - reach END AS fewest
+      SELECT {by}, max(n) AS n, min(bucket) FILTER (2 * rank >= n) AS middle,
+             min(bucket) FILTER (100 * rank >= {upper} * n) AS high, min(bucket) FILTER (100 * rank >= (100 - {upper}) * n) AS low,
+             high + {reach} * greatest(high - middle, 1) AS most,
+             CASE measure WHEN 'word_length' THEN low - {reach} * greatest(middle - low, 1) END AS fewest
       FROM {name}_placed GROUP BY {by})"""
 
     def pick(column: str) -> str:
-        return f"""CASE WHEN g.n >= {quality.MIN_DOCS} THEN g.{column}
-                   WHEN l.n >= {quality.MIN_DOCS} THEN l.{column} ELSE o.{column} END"""
+        """The group's limit drawn to its language's, which is drawn to the one of all documents."""
+        parent = f"floor((l.n * l.{column} + {quality.PARENT_DOCS} * o.{column}) / (l.n + {quality.PARENT_DOCS}))"
+        return f"floor((g.n * g.{column} + {quality.PARENT_DOCS} * {parent}) / (g.n + {quality.PARENT_DOCS}))"
 
     return f"""
     WITH docs AS (

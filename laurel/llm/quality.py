@@ -2,10 +2,13 @@
 
 Method: every measure of a document falls into a bucket of a quantile sketch whose bucket limits are fixed
 (one bucket per integer below 512, then 256 buckets per power of two, so a quantile is off by less than 0.4 %).
-Sketches are bucket counts: they merge by addition, in any order, with the same result. Each (language, source)
-gets the limits ``q75 + spread * max(q75 - q25, least)`` and, for the mean word length, also the mirrored lower limit,
-read from its sketch; a group of fewer than ``min_docs`` documents uses the merged sketch of its language, and a small
-language that of all documents. The limits are then joined to the documents and filter them.
+Sketches are bucket counts: they merge by addition, in any order, with the same result. From its sketch each
+(language, source) reads the limits ``upper + reach * max(upper - median, 1)``, where ``upper`` is a high quantile
+(``TAILS``: 90 % where junk is a mode of its own, 99 % where clean texts have a long tail), and for the mean word length
+also the mirrored lower limit. A limit is then drawn towards that of the language, and the language's towards that of
+all documents, as if ``PARENT_DOCS`` documents of the larger group were mixed in: a small group follows its parent, a
+large one itself, with no switch between. The limits are joined to the documents and filter them. A group of which over
+a tenth is junk widens its own limits; that is the price of limits that follow a source.
 
 Measures (integers, so that sketches and limits are exact): symbols per mille of word characters, repeated
 lines per mille of lines with a word, repeated words per mille of words, mean word length in hundredths.
@@ -29,10 +32,9 @@ from laurel.llm.common import per_text, utf8, written
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
-SPREAD = 6
-MIN_DOCS = 50
-# measure -> least quartile distance, in the measure's unit
-LEAST_DISTANCE = {"symbols": 10, "dup_lines": 90, "repeats": 60, "word_length": 25}
+PARENT_DOCS = 200
+# measure -> upper quantile in per cent, and how often its distance from the median is added
+TAILS = {"symbols": (90, 1), "dup_lines": (99, 1), "repeats": (99, 1), "word_length": (90, 3)}
 STATS = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, n_lines bigint"
 _STATS = pa.struct([(part.split()[0], pa.int64()) for part in STATS.split(", ")])
 
@@ -121,46 +123,46 @@ def merged(sketch: DataFrame, *keys: str) -> DataFrame:
 
 
 def limits(sketch: DataFrame, *keys: str) -> DataFrame:
-    """Per group (``keys``): number of documents and the limits of each measure. Windows hold a group's buckets."""
+    """Per group (``keys``): number of documents and its own limits of each measure. Windows hold a group's buckets."""
     order = Window.partitionBy(*keys, "measure").orderBy("bucket")
     whole = Window.partitionBy(*keys, "measure")
     placed = sketch.withColumn("upto", F.sum("n").over(order)).withColumn("total", F.sum("n").over(whole))
 
-    def quantile(quarter: int) -> Column:
-        return F.min(F.when(4 * F.col("upto") >= quarter * F.col("total"), F.col("bucket")))
+    def quantile(percent: int) -> Column:
+        return F.min(F.when(100 * F.col("upto") >= percent * F.col("total"), F.col("bucket")))
 
-    quartiles = placed.groupBy(*keys, "measure").agg(
-        F.max("total").alias("n_docs"), quantile(1).alias("q1"), quantile(3).alias("q3")
+    levels = {100 - upper for upper, _ in TAILS.values()} | {upper for upper, _ in TAILS.values()} | {50}
+    read = placed.groupBy(*keys, "measure").agg(
+        F.max("total").alias("n_docs"), *(quantile(level).alias(f"q{level}") for level in sorted(levels))
     )
     columns = [F.max("n_docs").alias("n_docs")]
-    for name, least in LEAST_DISTANCE.items():
-        reach = SPREAD * F.greatest(F.col("q3") - F.col("q1"), F.lit(least))
-        columns.append(F.max(F.when(F.col("measure") == name, F.col("q3") + reach)).alias(f"{name}_most"))
+    for name, (upper, reach) in TAILS.items():
+        high, low, middle = F.col(f"q{upper}"), F.col(f"q{100 - upper}"), F.col("q50")
+        most = high + reach * F.greatest(high - middle, F.lit(1))
+        columns.append(F.max(F.when(F.col("measure") == name, most)).alias(f"{name}_most"))
         if name == "word_length":
-            columns.append(F.max(F.when(F.col("measure") == name, F.col("q1") - reach)).alias(f"{name}_least"))
-    return quartiles.groupBy(*keys).agg(*columns)
+            least = low - reach * F.greatest(middle - low, F.lit(1))
+            columns.append(F.max(F.when(F.col("measure") == name, least)).alias(f"{name}_least"))
+    return read.groupBy(*keys).agg(*columns)
+
+
+def drawn(own: Column, n_docs: Column, parent: Column) -> Column:
+    """A group's limit after ``PARENT_DOCS`` documents of its parent are mixed in."""
+    return F.floor((n_docs * own + PARENT_DOCS * parent) / (n_docs + PARENT_DOCS))
 
 
 def thresholds(docs: DataFrame, stats: str = "stats", lang: str = "lang", source: str = "source") -> DataFrame:
-    """One row per (language, source): its limits, or those of the next larger group if it is small."""
+    """One row per (language, source): its limits, drawn towards those of its language and of all documents."""
     sketch = written(sketches(docs, stats, lang, source), "quality-sketch")
     own = limits(sketch, "g_lang", "g_source")
-    names = [c for c in own.columns if c not in ("g_lang", "g_source")]
-
-    def renamed(df: DataFrame, prefix: str) -> DataFrame:
-        return df.select(*(F.col(c).alias(prefix + c) for c in df.columns))
-
-    by_lang = renamed(limits(merged(sketch, "g_lang"), "g_lang"), "l_")
+    names = [c for c in own.columns if c not in ("g_lang", "g_source", "n_docs")]
     overall = limits(merged(sketch)).first()  # one row of limits
-    joined = own.join(by_lang, F.col("g_lang").eqNullSafe(F.col("l_g_lang")))
-    picked = [
-        F.when(F.col("n_docs") >= MIN_DOCS, F.col(c))
-        .when(F.col("l_n_docs") >= MIN_DOCS, F.col(f"l_{c}"))
-        .otherwise(F.lit(overall[c]))
-        .alias(c)
-        for c in names
-        if c != "n_docs"
-    ]
+    by_lang = limits(merged(sketch, "g_lang"), "g_lang").select(
+        F.col("g_lang").alias("p_lang"),
+        *(drawn(F.col(c), F.col("n_docs"), F.lit(overall[c])).alias(f"p_{c}") for c in names),
+    )
+    joined = own.join(by_lang, F.col("g_lang").eqNullSafe(F.col("p_lang")))
+    picked = (drawn(F.col(c), F.col("n_docs"), F.col(f"p_{c}")).alias(c) for c in names)
     return joined.select("g_lang", "g_source", *picked)
 
 
@@ -175,7 +177,7 @@ def with_verdict(
     )
     value = measures(stats)
     within = F.lit(True)
-    for name in LEAST_DISTANCE:
+    for name in TAILS:
         within = within & (value[name] <= F.col(f"__limits.{name}_most"))
     within = within & (value["word_length"] >= F.col("__limits.word_length_least"))
     return (

@@ -7,6 +7,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from laurel.llm import cgk, licenses, mixing, quality, simhash, suffix_trees, unigram
 
@@ -262,6 +263,29 @@ def test_unigram_ties_take_the_longest_piece():
     assert unigram.Unigram(pieces, byte_pieces=True).count("é") == 3
 
 
+def test_quality_limits_follow_each_source(spark):
+    """Many distinct limits on the given tables; a shift planted in one source moves its limits alone."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    measured = quality.written(quality.with_stats(docs).drop("text"), "test-quality")
+
+    def limits_of(table):
+        return {(r.g_lang, r.g_source): r.asDict() for r in quality.thresholds(table).collect()}
+
+    plain = limits_of(measured)
+    for name in quality.TAILS:
+        assert len({row[f"{name}_most"] for row in plain.values()}) >= 10, name
+    planted = max(r.source for r in docs.select("source").distinct().collect() if r.source)
+    more = F.struct(*(
+        (F.col(f"stats.{c}") + F.when(F.col("source") == planted, F.col("stats.word_chars") / 10).otherwise(0)).cast("long").alias(c)
+        if c == "n_symbols" else F.col(f"stats.{c}") for c in measured.schema["stats"].dataType.names
+    ))
+    shifted = limits_of(measured.withColumn("stats", more))
+    for key, row in shifted.items():
+        moved = row["symbols_most"] - plain[key]["symbols_most"]
+        assert (moved >= 10) if key[1] == planted else (moved < 5), (key, moved)
+        assert row["repeats_most"] == plain[key]["repeats_most"]
+
+
 @pytest.mark.parametrize("name", ["repeats", "simhash", "mix", "licences", "quality", "tokens"])
 def test_empty_table(spark, odd_docs, name):
     empty = odd_docs.limit(0)
