@@ -12,13 +12,13 @@ code generation, unlike wide decimals.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from laurel.operators.groupwise import with_group_stats, with_position
 from laurel.operators.enrich import combine_seasons
 from laurel.operators.history import listing_order
-from laurel.sources.staging import staged
+from laurel.sources.staging import bucket_count, staged
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -42,22 +42,34 @@ def candidate_name() -> Column:
     return F.when(F.col("cat_group") == "series", F.col("work")).otherwise(F.col("person"))
 
 
+def _contest_buckets(spark: SparkSession, sf_dir: str) -> int:
+    return bucket_count(spark, f"{sf_dir}/lineitem.parquet")
+
+
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with their part and order, dealt out by order in the end.
+
+    Narrow lines meet their parts first, so that names travel once.  The small side is
+    hashed and the order's join has partitions by the input's size: neither sorts much at a time.
+    """
+    n = _contest_buckets(spark, sf_dir)
     orders = table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("l_orderkey"),
         month_number("o_orderdate").alias("period"),
         F.col("o_orderpriority").alias("category"),
-    )
+    ).repartition(n, "l_orderkey")
     part = table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("l_partkey"), "p_name", F.col("p_brand").alias("work")
     )
+    lines = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", cents("l_extendedprice").alias("cents")
+    )
     person = F.when(F.col("category") < "4", F.col("p_name")).otherwise("")
     return (
-        table(spark, sf_dir, "lineitem")
+        lines.join(part.hint("shuffle_hash"), "l_partkey")
+        .repartition(n, "l_orderkey")
         .join(orders, "l_orderkey")
-        .join(part, "l_partkey")
         .withColumn("person", person)
-        .withColumn("cents", cents("l_extendedprice"))
     )
 
 
@@ -114,17 +126,22 @@ def with_listing_pos(nominees: DataFrame) -> DataFrame:
 def shortlists(spark: SparkSession, sf_dir: str, tie_width: int | None = None) -> DataFrame:
     """One contest per order, its lines as nominees; no aggregation, no cap.
 
-    Staged: position queries read it two to four times each.
+    Staged in buckets of the contest, as position queries read it two to four times each.
     """
-    base = staged(spark, sf_dir, "shortlists", SOURCES, lambda: _shortlists(spark, sf_dir))
-    if tie_width is None:
-        return base.drop("cents")
-    level = F.floor(F.col("cents") / (tie_width * 100))
-    tied = with_group_stats(base, ["contest"], __best=F.max(level))
-    return tied.withColumn("won", (level == F.col("__best")).cast("int")).drop("cents", "__best")
+    buckets = (_contest_buckets(spark, sf_dir), "contest")
+    base = staged(spark, sf_dir, "shortlists", SOURCES, lambda: _shortlists(spark, sf_dir), buckets=buckets)
+    level = (lambda c: F.floor(F.col(c) / (tie_width * 100))) if tie_width else F.col  # the best has the highest level
+    return (
+        base.withColumn("cat_group", cat_group())
+        .withColumn("candidate", candidate_name())
+        .withColumn("won", (level("cents") == level("best")).cast("int"))
+        .withColumn("score", F.col("cents") / 100.0)
+        .drop("cents", "best")
+    )
 
 
 def _shortlists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order's lines stand together already: the window moves and sorts nothing."""
     lines = _lines(spark, sf_dir).select(
         F.col("l_orderkey").alias("contest"),
         "period",
@@ -136,14 +153,7 @@ def _shortlists(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_suppkey").alias("supp_id"),
         "cents",
     )
-    lines = with_group_stats(lines, ["contest"], best=F.max("cents"))
-    return (
-        lines.withColumn("cat_group", cat_group())
-        .withColumn("candidate", candidate_name())
-        .withColumn("won", (F.col("cents") == F.col("best")).cast("int"))
-        .withColumn("score", F.col("cents") / 100.0)
-        .drop("best")
-    )
+    return lines.withColumn("best", F.max("cents").over(Window.partitionBy("contest")))
 
 
 # Listing order of an order's lines; the price settles repeated line numbers.
