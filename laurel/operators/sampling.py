@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from laurel.operators.groupwise import with_position, with_running_totals, with_group_stats
@@ -16,9 +16,14 @@ def row_hash(keys: Sequence[str], seed: int | Column) -> Column:
     return F.md5(F.concat_ws("|", *keys, last))
 
 
-def slot_numbers(df: DataFrame, contest: Sequence[str], row_key: Sequence[str], seed: int = 0, ties: Sequence[str] = ()) -> DataFrame:
-    """1..n inside each contest in hash order; the hash prefix splits big contests."""
+def slot_numbers(
+    df: DataFrame, contest: Sequence[str], row_key: Sequence[str], seed: int = 0, ties: Sequence[str] = (), small: bool = False
+) -> DataFrame:
+    """1..n inside each contest in hash order; the hash prefix splits big contests, ``small`` ones are ranked whole."""
     hashed = df.withColumn("__h", row_hash([*contest, *row_key], seed))
+    if small:
+        place = F.row_number().over(Window.partitionBy(*contest).orderBy("__h", *row_key, *ties))
+        return hashed.withColumn("slot", place.cast("bigint")).drop("__h")
     return with_position(
         hashed, contest, F.substring("__h", 1, 2), ["__h", *row_key, *ties], "slot"
     ).drop("__h")

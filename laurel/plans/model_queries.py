@@ -18,6 +18,7 @@ from laurel.plans.relational_queries import ACTING_COEFS, SERIES_COEFS
 from laurel.session import scratch_path
 from laurel.schema import CONTEST
 from laurel.sources import tables
+from laurel.sources.staging import staged
 from laurel.streaming.history import read_history, stream_history
 
 ROW = "period, category, person, work"
@@ -277,7 +278,8 @@ def pseudo_r2(spark: SparkSession, d: str) -> DataFrame:
 def multinomial_slot(spark: SparkSession, d: str) -> DataFrame:
     """Winner slot from the five slots' last seasons, without intercept: log odds against the first slot."""
     terms = [f"later_season_{s}" for s in range(1, 6)]
-    wide = wide_contests(spark, d, ["later_season"])
+    build = lambda: wide_contests(spark, d, ["later_season"]).select("winning_slot", *terms)
+    wide = staged(spark, d, "slots", tables.SOURCES, build)  # fits pass over it again and again
     matrix = glm.multinomial_slot(wide, terms).coefficientMatrix.toArray()
     rows = [(s + 1, t, float(matrix[s][j] - matrix[0][j])) for s in range(1, 5) for j, t in enumerate(terms)]
     return spark.createDataFrame(rows, "slot int, term string, estimate double").select(

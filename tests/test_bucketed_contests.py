@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from laurel.operators import sampling
+from laurel.plans.cohort_queries import wide_contests
 from laurel.sources import tables
 from laurel.sources.staging import bucket_count, forget_staged
 
@@ -35,14 +37,18 @@ def folder(spark, tmp_path_factory):
 
 
 @pytest.mark.parametrize(
-    "name", ["exclude_contests_with"]
+    "name", ["exclude_contests_with", "wide_contests", "slot_number"]
 )
 def test_contests_are_not_shuffled_again(spark, folder, name):
     """After staging, rows of contests stay in their buckets: only counts by few levels are exchanged."""
     kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as on tables too large for it
+    if name != "wide_contests":  # its ratings, a row for each work and month, are small whatever the lines
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as on tables too large for it
     try:
-        out = __spark_entry__.queries()[name](spark, folder)
+        if name == "wide_contests":  # what multinomial_slot fits
+            out = wide_contests(spark, folder, ["later_season"])
+        else:
+            out = __spark_entry__.queries()[name](spark, folder)
         plan = out._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
@@ -70,3 +76,12 @@ def test_buckets_grow_with_the_input(spark, folder, monkeypatch):
     assert bucket_count(spark, path) == int(spark.conf.get("spark.sql.shuffle.partitions"))
     monkeypatch.setattr("laurel.sources.staging.BUCKET_BYTES", 100)
     assert bucket_count(spark, path) > 20
+
+
+def test_small_contests_are_placed_as_large_ones(spark):
+    rows = [(c, k, n % 4, n, int(n % 3 == (c or 0) % 3)) for c in (1, 2, None) for k in ("a", "b", None) for n in range(c or 6)]
+    df = spark.createDataFrame(rows, "c int, k string, v int, n int, won int")
+    slots = [
+        sorted(map(repr, map(tuple, sampling.slot_numbers(df, ["c", "k"], ["n"], 3, small=small).collect()))) for small in (False, True)
+    ]
+    assert slots[0] == slots[1]
