@@ -23,13 +23,15 @@ from pyspark.sql import functions as F
 OrderBy = Sequence["str | Column"]
 
 
-def join_null_safe(df: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
+def join_null_safe(df: DataFrame, other: DataFrame, keys: Sequence[str], never_null: bool = False) -> DataFrame:
     """Left join on equal keys in which null equals null: rows with a null key are one group.
 
-    Keeps the columns of ``df``, then those of ``other`` that are no keys.
+    Keeps the columns of ``df``, then those of ``other`` that are no keys.  Where the keys are
+    ``never_null`` a plain equality does, which leaves rows in the buckets that a table has of them.
     """
     renamed = other.select(*[F.col(k).alias(f"__key_{i}") for i, k in enumerate(keys)], *[c for c in other.columns if c not in keys])
-    matched = [F.col(k).eqNullSafe(F.col(f"__key_{i}")) for i, k in enumerate(keys)]
+    equal = Column.__eq__ if never_null else Column.eqNullSafe
+    matched = [equal(F.col(k), F.col(f"__key_{i}")) for i, k in enumerate(keys)]
     condition = F.lit(True) if not matched else reduce(Column.__and__, matched)
     return df.join(renamed, condition, "left").drop(*[f"__key_{i}" for i in range(len(keys))])
 
@@ -137,19 +139,23 @@ def with_first_rank_capped(
 
 
 def with_average_rank_capped(
-    df: DataFrame, keys: Sequence[str], value: str, cap: int, name: str
+    df: DataFrame, keys: Sequence[str], value: str, cap: int, name: str, never_null: bool = False
 ) -> DataFrame:
     """``least(average rank of ties, cap)``.
 
     Rows are first counted per distinct value.  The ``cap``-th distinct value
-    already ranks at or beyond the cap, so only ``cap - 1`` values are ranked.
+    already ranks at or beyond the cap, so only ``cap - 1`` values are ranked; a
+    group's ranks are one row, which is joined by the group's keys alone
+    (``never_null``: see ``join_null_safe``).
     """
     keys = list(keys)
     cells = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
     head = top_k(cells, keys, [value], cap - 1, "__i")
     before = Window.partitionBy(*keys).orderBy("__i").rowsBetween(Window.unboundedPreceding, -1)
     rank = F.coalesce(F.sum("__n").over(before), F.lit(0)) + (F.col("__n") + 1) / F.lit(2.0)
-    ranks = head.select(*keys, value, F.least(rank, F.lit(float(cap))).alias(name))
-    return join_null_safe(df, ranks, [*keys, value]).select(
-        *df.columns, F.coalesce(F.col(name), F.lit(float(cap))).alias(name)
+    ranked = head.select(*keys, F.struct(F.col(value).alias("v"), F.least(rank, F.lit(float(cap))).alias("r")).alias("__r"))
+    ranks = ranked.groupBy(*keys).agg(F.collect_list("__r").alias("__ranks"))
+    own = F.filter("__ranks", lambda x: x["v"].eqNullSafe(F.col(value)))
+    return join_null_safe(df, ranks, keys, never_null).select(
+        *df.columns, F.coalesce(F.get(own, F.lit(0))["r"], F.lit(float(cap))).alias(name)
     )

@@ -569,7 +569,7 @@ AVG_RANK_SQL = f"""(SELECT *, least(rank() OVER (PARTITION BY contest ORDER BY {
 
 
 def average_ranked(spark: SparkSession, d: str) -> DataFrame:
-    return groupwise.with_average_rank_capped(acting_lists(spark, d), ["contest"], "surname", 5, "alph_pos")
+    return groupwise.with_average_rank_capped(acting_lists(spark, d), ["contest"], "surname", 5, "alph_pos", never_null=True)
 
 
 @query("average_rank_capped", f"SELECT contest, line, part_id, supp_id, score, alph_pos FROM {AVG_RANK_SQL}")

@@ -66,7 +66,7 @@ def glm_single_factor(spark: SparkSession, d: str) -> DataFrame:
 def length_flagged(spark: SparkSession, d: str) -> DataFrame:
     """Acting nominees of the orders with their name-length position flag and last season."""
     lists = acting_lists(spark, d).withColumn("len", text.name_length("person"))
-    ranked = groupwise.with_average_rank_capped(lists, ["contest"], "len", 5, "len_pos")
+    ranked = groupwise.with_average_rank_capped(lists, ["contest"], "len", 5, "len_pos", never_null=True)
     seasons = tables.seasons(spark, d)
     lagged = enrich.lag_join(ranked, seasons, 1, ["season"])
     return lagged.withColumn("len_1or5", F.col("len_pos").isin(1.0, 5.0))

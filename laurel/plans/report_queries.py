@@ -353,7 +353,7 @@ _WITHOUT = AVG_RANK_SQL.replace(
 @query("rp_32", MQ.nested(MQ.single_factor_sql(_WITHOUT)))
 def rp_32(spark: SparkSession, d: str) -> DataFrame:
     lists = enrich.exclude_contests_with(acting_lists(spark, d), ["contest"], F.col("person") == "blue anvil")
-    ranked = groupwise.with_average_rank_capped(lists, ["contest"], "surname", 5, "alph_pos")
+    ranked = groupwise.with_average_rank_capped(lists, ["contest"], "surname", 5, "alph_pos", never_null=True)
     return glm.single_factor_logit(ranked, "alph_pos")
 
 

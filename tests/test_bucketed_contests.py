@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from laurel.operators import sampling
+from laurel.operators import groupwise, sampling
 from laurel.plans.cohort_queries import wide_contests
 from laurel.sources import tables
 from laurel.sources.staging import bucket_count, forget_staged
@@ -37,7 +37,7 @@ def folder(spark, tmp_path_factory):
 
 
 @pytest.mark.parametrize(
-    "name", ["exclude_contests_with", "wide_contests", "slot_number"]
+    "name", ["exclude_contests_with", "wide_contests", "slot_number", "glm_single_factor"]
 )
 def test_contests_are_not_shuffled_again(spark, folder, name):
     """After staging, rows of contests stay in their buckets: only counts by few levels are exchanged."""
@@ -85,3 +85,12 @@ def test_small_contests_are_placed_as_large_ones(spark):
         sorted(map(repr, map(tuple, sampling.slot_numbers(df, ["c", "k"], ["n"], 3, small=small).collect()))) for small in (False, True)
     ]
     assert slots[0] == slots[1]
+
+
+def test_average_ranks_of_null_and_tied_values(spark):
+    """Null keys are one group unless ``never_null``; a null value is a value."""
+    df = spark.createDataFrame([(k, v) for k in (1, None) for v in (None, "a", "a", "b", "c", "d", "e")], "k int, v string")
+    want = {None: 1.0, "a": 2.5, "b": 4.0, "c": 5.0, "d": 5.0, "e": 5.0}
+    for never_null in (False, True):
+        ranked = groupwise.with_average_rank_capped(df, ["k"], "v", 5, "r", never_null=never_null).collect()
+        assert len(ranked) == 14 and all(r.r == want[r.v] for r in ranked if r.k == 1 or not never_null)
