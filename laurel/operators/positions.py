@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -21,18 +22,22 @@ def collated(df: DataFrame, order: Sequence[str | Column], collation: str | None
     return [F.collate(column, collation) if collation and name in text else column for name, column in columns]
 
 
-def _earlier_than_pick(df: DataFrame, keys: Sequence[str], pick: Column, order: Column) -> DataFrame:
+def _earlier_than_pick(df: DataFrame, keys: Sequence[str], pick: Column, order: Column, small: bool) -> DataFrame:
     """Per contest: rows, and rows whose ``order`` sorts before ``pick``.
 
     A position is one more than a count of smaller rows, so nothing is sorted:
-    two partial aggregations and a join on the contest.
+    two partial aggregations and a join on the contest.  ``small`` contests take a
+    window in place of the join, and rows that stand by contest are not moved.
     """
     keys = list(keys)
     rows = df.select(*keys, order.alias("__o"), "won", *[c for c in ("pos",) if c in df.columns])
-    picks = rows.groupBy(*keys).agg(pick.alias("__pick"))
+    if small:
+        known = reduce(Column.__and__, [F.col(k).isNotNull() for k in keys])  # as in a join, null equals nothing
+        picked = rows.withColumn("__pick", F.when(known, pick.over(Window.partitionBy(*keys))))
+    else:
+        picked = rows.join(rows.groupBy(*keys).agg(pick.alias("__pick")), keys, "left")
     return (
-        rows.join(picks, keys, "left")
-        .groupBy(*keys)
+        picked.groupBy(*keys)
         .agg(
             F.count(F.lit(1)).alias("__n"),
             F.count(F.when(F.col("__o") < F.col("__pick"), 1)).alias("__before"),
@@ -49,13 +54,15 @@ def winner_position(
     name: str = "winner_pos",
     drop_no_winner: bool = False,
     collation: str | None = None,
+    small: bool = False,
 ) -> DataFrame:
     """Position of the first winner in the sorted contest, capped; texts sort by ``collation``.
 
-    A contest without winner counts as the cap unless ``drop_no_winner``.
+    A contest without winner counts as the cap unless ``drop_no_winner``.  ``small``: every contest
+    fits a task, as one order's lines do.
     """
     first_winner = F.min(F.when(F.col("won") == 1, F.col("__o")))
-    out = _earlier_than_pick(df, keys, first_winner, F.struct(*collated(df, order, collation)))
+    out = _earlier_than_pick(df, keys, first_winner, F.struct(*collated(df, order, collation)), small)
     if drop_no_winner:
         out = out.filter("__has")
     pos = F.when(F.col("__has"), F.least(F.col("__before") + 1, F.lit(cap))).otherwise(F.lit(cap))

@@ -37,7 +37,7 @@ def folder(spark, tmp_path_factory):
 
 
 @pytest.mark.parametrize(
-    "name", ["exclude_contests_with", "wide_contests", "slot_number", "glm_single_factor"]
+    "name", ["exclude_contests_with", "wide_contests", "slot_number", "glm_single_factor", "winner_position_collated"]
 )
 def test_contests_are_not_shuffled_again(spark, folder, name):
     """After staging, rows of contests stay in their buckets: only counts by few levels are exchanged."""
