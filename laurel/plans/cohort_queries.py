@@ -455,7 +455,7 @@ def position_table(
 ) -> DataFrame:
     lists = tables.shortlists(spark, d, tie_width).filter(F.col("cat_group") == group)
     lists = lists.withColumn("surname", text.surname("person"))
-    return positions.winner_position(lists, ["contest", "category"], [*order, *tables.LINE_KEY], collation=collation)
+    return positions.winner_position(lists, ["contest", "category"], [*order, *tables.LINE_KEY], collation=collation, small=True)
 
 
 def winpos_sql(order: str, group: str = "acting", src: str = "t_short") -> str:

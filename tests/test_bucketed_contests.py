@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from laurel.operators import groupwise, sampling
+from laurel.operators import groupwise, positions, sampling
 from laurel.plans.cohort_queries import wide_contests
 from laurel.sources import tables
 from laurel.sources.staging import bucket_count, forget_staged
@@ -37,7 +37,7 @@ def folder(spark, tmp_path_factory):
 
 
 @pytest.mark.parametrize(
-    "name", ["exclude_contests_with", "wide_contests", "slot_number", "glm_single_factor", "winner_position_collated"]
+    "name", ["exclude_contests_with", "glm_single_factor", "winner_position_collated", "rp_28", "wide_contests", "slot_number", "winner_position"]
 )
 def test_contests_are_not_shuffled_again(spark, folder, name):
     """After staging, rows of contests stay in their buckets: only counts by few levels are exchanged."""
@@ -81,6 +81,10 @@ def test_buckets_grow_with_the_input(spark, folder, monkeypatch):
 def test_small_contests_are_placed_as_large_ones(spark):
     rows = [(c, k, n % 4, n, int(n % 3 == (c or 0) % 3)) for c in (1, 2, None) for k in ("a", "b", None) for n in range(c or 6)]
     df = spark.createDataFrame(rows, "c int, k string, v int, n int, won int")
+    both = [
+        {repr(tuple(r)) for r in positions.winner_position(df, ["c", "k"], ["v", "n"], small=small).collect()} for small in (False, True)
+    ]
+    assert both[0] == both[1]
     slots = [
         sorted(map(repr, map(tuple, sampling.slot_numbers(df, ["c", "k"], ["n"], 3, small=small).collect()))) for small in (False, True)
     ]
